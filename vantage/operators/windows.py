@@ -146,3 +146,65 @@ def last_n_oldest_first(df: DataFrame, keys: Sequence[str], seq_col: str, n: int
     kept = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
     w2 = Window.partitionBy(*_cols(keys)).orderBy(F.col(seq_col))
     return kept.withColumn("pos", (F.row_number().over(w2) - 1).cast("int")).drop("_rn")
+
+
+# ---------------------------------------------------------------- hot-key-safe
+# Exact "rank within key" and "previous row within key" without putting a whole
+# key into one window partition: rows are bucketed by time; per-bucket counts
+# (or last rows) are tiny partial aggregates whose own window runs over one row
+# per (key, bucket); the big side is windowed per (key, bucket) only.
+
+def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
+    cond = None
+    for c in cols:
+        e = left[c].eqNullSafe(right[c])
+        cond = e if cond is None else cond & e
+    return cond
+
+
+def _bucketed(df: DataFrame, ts_col: str, bucket: str) -> DataFrame:
+    return df.withColumn("_b", F.floor(F.unix_micros(F.col(ts_col)) / F.lit(interval_us(bucket))).cast("long"))
+
+
+def rank_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], ts_col: str = "ts",
+                  bucket: str = "1 hour", out_col: str = "rank") -> DataFrame:
+    """1-based ``row_number()`` within ``keys`` ordered by ``order`` (which must
+    start with ``ts_col``), computed as per-bucket offset + rank in bucket."""
+    keys = list(keys)
+    d = _bucketed(df, ts_col, bucket)
+    counts = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*_cols(keys)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    offs = offs.select(*[F.col(k).alias("_k_" + k) for k in keys], F.col("_b").alias("_k_b"), "_off")
+    cond = None
+    for k in keys:
+        e = F.col(k).eqNullSafe(F.col("_k_" + k))
+        cond = e if cond is None else cond & e
+    cond = cond & (F.col("_b") == F.col("_k_b"))
+    j = d.join(offs, cond, "inner").drop(*["_k_" + k for k in keys], "_k_b")
+    wr = Window.partitionBy(*_cols(keys), F.col("_b")).orderBy(*_cols(order))
+    return j.withColumn(out_col, (F.col("_off") + F.row_number().over(wr)).cast("long")).drop("_b", "_off")
+
+
+def prev_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str],
+                  ts_col: str = "ts", bucket: str = "1 hour", prefix: str = "prev_") -> DataFrame:
+    """``lag(v)`` for each of ``values`` within ``keys`` ordered by ``order``
+    (starting with ``ts_col``); NULL for a key's first row."""
+    keys, values = list(keys), list(values)
+    d = _bucketed(df, ts_col, bucket)
+    last = (d.groupBy(*keys, "_b")
+            .agg(F.max_by(F.struct(*_cols(values)), F.struct(*_cols(order))).alias("_last")))
+    wl = Window.partitionBy(*_cols(keys)).orderBy("_b")
+    pl = last.withColumn("_pl", F.lag("_last").over(wl)).drop("_last")
+    pl = pl.select(*[F.col(k).alias("_k_" + k) for k in keys], F.col("_b").alias("_k_b"), "_pl")
+    cond = None
+    for k in keys:
+        e = F.col(k).eqNullSafe(F.col("_k_" + k))
+        cond = e if cond is None else cond & e
+    cond = cond & (F.col("_b") == F.col("_k_b"))
+    j = d.join(pl, cond, "inner").drop(*["_k_" + k for k in keys], "_k_b")
+    wr = Window.partitionBy(*_cols(keys), F.col("_b")).orderBy(*_cols(order))
+    first = F.row_number().over(wr) == 1
+    for v in values:
+        j = j.withColumn(prefix + v, F.when(first, F.col("_pl")[v]).otherwise(F.lag(v).over(wr)))
+    return j.drop("_b", "_pl")
