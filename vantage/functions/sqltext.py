@@ -99,3 +99,9 @@ def truncate_text(s, max_len: int, suffix: str = "...") -> Column:
     c = _c(s)
     keep = max_len - len(suffix) if suffix else max_len
     return F.when(F.length(c) > max_len, F.concat(F.substring(c, 1, keep), F.lit(suffix))).otherwise(c)
+
+
+def cut_text(s, n: int, suffix: str = "...") -> Column:
+    """First ``n`` characters plus ``suffix`` when longer than ``n``."""
+    c = _c(s)
+    return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit(suffix))).otherwise(c)

@@ -63,6 +63,7 @@ def bind_events(events: DataFrame) -> DataFrame:
                 (et == "error").alias("is_error"),
                 F.col("user_id").cast("int").alias("user_id"),
                 k.alias("k"),
+                F.col("value").alias("value"),
             ))
 
 
@@ -88,6 +89,7 @@ ev AS (
          'SELECT * FROM ' || event_type || ' WHERE id = ' || CAST(k AS VARCHAR) AS sql,
          event_type = 'error' AS is_error,
          CAST(user_id AS INTEGER) AS user_id,
-         k
+         k,
+         value
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
 )"""
