@@ -30,16 +30,15 @@ def interval_us(spec: str) -> int:
     return int(float(n) * mult)
 
 
-def flag_repeats(df: DataFrame, keys: Sequence[str], window: str, threshold: int,
-                 ts_col: str = "ts", seq_col: str = "seq", out_col: str = "is_n1",
-                 valid: Column | None = None) -> DataFrame:
-    """Flag a row when >= ``threshold`` rows with the same ``keys`` fall in
-    ``[ts - window, ts]``, counting itself and only earlier arrivals
-    (order ``ts, seq``).  Rows where ``valid`` is false never flag.
+def window_count(df: DataFrame, keys: Sequence[str], window: str, ts_col: str = "ts",
+                 seq_col: str = "seq", out_col: str = "n_in_window", closed_left: bool = True) -> DataFrame:
+    """Rows with the same ``keys`` in ``[ts - window, ts]`` (or ``(ts - window,
+    ts]`` when ``closed_left`` is false), counting the row itself and only
+    earlier arrivals (order ``ts, seq``).
 
     Plan: rows are bucketed by ``floor(ts / window)``; every row is also copied
     (keys + order columns only) into the next bucket as context.  Inside a
-    (keys, bucket) partition:  count = row_number - rows older than ts-window.
+    (keys, bucket) partition: count = row_number - rows older than the window.
     Two buckets bound each partition, so a hot key is spread over time.
     """
     w_us = interval_us(window)
@@ -51,16 +50,27 @@ def flag_repeats(df: DataFrame, keys: Sequence[str], window: str, threshold: int
     u = own.unionByName(ctx, allowMissingColumns=True)
     part = Window.partitionBy(*_cols(keys), F.col("_b"))
     w_rows = part.orderBy(F.col("_us"), F.col(seq_col))
-    w_before = part.orderBy(F.col("_us")).rangeBetween(Window.unboundedPreceding, -(w_us + 1))
+    edge = -(w_us + 1) if closed_left else -w_us
+    w_before = part.orderBy(F.col("_us")).rangeBetween(Window.unboundedPreceding, edge)
     n = F.row_number().over(w_rows) - F.count(F.lit(1)).over(w_before)
-    flag = n >= F.lit(threshold)
-    if valid is not None:
-        flag = flag & F.coalesce(valid, F.lit(False))
-    return (u.withColumn(out_col, flag)
+    return (u.withColumn(out_col, n.cast("long"))
             .filter(F.col("_own"))
             .drop("_us", "_b", "_own"))
 
 
+def flag_repeats(df: DataFrame, keys: Sequence[str], window: str, threshold: int,
+                 ts_col: str = "ts", seq_col: str = "seq", out_col: str = "is_n1",
+                 valid: Column | None = None) -> DataFrame:
+    """Flag a row when >= ``threshold`` rows with the same ``keys`` fall in
+    ``[ts - window, ts]``, counting itself and only earlier arrivals
+    (order ``ts, seq``).  Rows where ``valid`` is false never flag."""
+    c = window_count(df, keys, window, ts_col, seq_col, "_n")
+    flag = F.col("_n") >= F.lit(threshold)
+    if valid is not None:
+        flag = flag & F.coalesce(valid, F.lit(False))
+    return c.withColumn(out_col, flag).drop("_n")
+
+
 def flag_n1(events: DataFrame, window: str = "2 seconds", threshold: int = 10) -> DataFrame:
     """W1 + C1 on the event stream: signature = normalised SQL per environment;
     empty SQL never flags."""
