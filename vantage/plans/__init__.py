@@ -1,7 +1,7 @@
 """Named queries over the driver tables (see ``registry``)."""
 
 from vantage.plans.registry import REGISTRY, Query, query  # noqa: F401
-from vantage.plans import access, budgets, errors, logs, profiles, tables, telemetry, upgrade  # noqa: F401
+from vantage.plans import access, budgets, errors, logs, overview, profiles, tables, telemetry, upgrade  # noqa: F401
 
 
 def all_queries() -> dict[str, Query]:
