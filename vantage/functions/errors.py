@@ -34,8 +34,21 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# The same white-space set as characters, for the (non-regex) trim functions.
+WS_CHARS = ("\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def trim_ws(s) -> Column:
-    return F.regexp_replace(_c(s), f"^{WS}+|{WS}+$", "")
+    return F.trim(_c(s), F.lit(WS_CHARS))
+
+
+def ltrim_ws(s) -> Column:
+    return F.ltrim(_c(s), F.lit(WS_CHARS))
+
+
+def rtrim_ws(s) -> Column:
+    return F.rtrim(_c(s), F.lit(WS_CHARS))
 
 
 def is_identifier(s) -> Column:
@@ -47,17 +60,21 @@ def lines(s) -> Column:
 
 
 def first_non_empty_line(s) -> Column:
-    """First line that is non-blank after trimming; the whole text if none."""
+    """First line that is non-blank after trimming; the whole text if none.
+
+    Leading white space (blank lines included) is stripped once, then the
+    text up to the next newline is taken: no per-line array is built."""
     c = _c(s)
-    kept = F.filter(F.transform(lines(c), lambda x: trim_ws(x)), lambda x: x != "")
-    return F.coalesce(F.get(kept, 0), c)
+    head = F.substring_index(ltrim_ws(c), "\n", 1)
+    line = rtrim_ws(head)
+    return F.when(line != "", line).otherwise(c)
 
 
 def error_type(message) -> Column:
     """Identifier before ': ' on the last line, else that whole line;
     empty message -> UnknownError."""
     m = trim_ws(message)
-    last = trim_ws(F.element_at(lines(m), -1))
+    last = trim_ws(F.substring_index(m, "\n", -1))
     ident = F.regexp_extract(last, r"^([A-Za-z0-9_.]+): ", 1)
     return F.when(m == "", F.lit(UNKNOWN_ERROR)).when(ident != "", ident).otherwise(last)
 
@@ -94,6 +111,10 @@ def extract_traceback(message) -> Column:
 def origin_frame(traceback) -> Column:
     """C14: innermost frame struct(file, line, function); NULL if no frame."""
     tb = _c(traceback)
+    return F.when(F.instr(tb, 'File "') > 0, _frame(tb))
+
+
+def _frame(tb: Column) -> Column:
     files = F.regexp_extract_all(tb, F.lit(FRAME_PATTERN), F.lit(1))
     nums = F.regexp_extract_all(tb, F.lit(FRAME_PATTERN), F.lit(2))
     funcs = F.regexp_extract_all(tb, F.lit(FRAME_PATTERN), F.lit(3))

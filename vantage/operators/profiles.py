@@ -200,19 +200,24 @@ def compute_edges(chain: DataFrame) -> DataFrame:
 def compute_stats(chain: DataFrame) -> DataFrame:
     """Per recording total ms, node count, max depth, bottlenecks
     (ms >= max(2 * (sum div n), 10)), slowest node (first on ties) and the
-    trigger field of the first depth-0 node that has one."""
-    g = chain.groupBy("rec").agg(
+    trigger field of the first depth-0 node that has one.
+
+    The bottleneck threshold needs the recording's totals first: a window
+    over the recording supplies them, and the final aggregate runs on the
+    same partitioning (one exchange, the chain is evaluated once)."""
+    w = Window.partitionBy("rec")
+    thr = F.greatest(F.floor(F.sum(F.col("duration_ms").cast("long")).over(w) / F.count(F.lit(1)).over(w)) * 2,
+                     F.lit(10))
+    c = chain.withColumn("_thr", thr)
+    g = c.groupBy("rec").agg(
         F.sum(F.col("duration_ms").cast("long")).alias("total_ms"), F.count(F.lit(1)).alias("node_count"),
         F.max("depth").alias("max_depth"),
         F.max_by("node_id", F.struct(F.col("duration_ms"), (-F.col("idx")).alias("neg"))).alias("slowest_node"),
         F.max("duration_ms").alias("slowest_ms"),
         F.min_by("trigger_field", F.when((F.col("depth") == 0) & (F.coalesce(F.col("trigger_field"), F.lit("")) != ""),
-                                          F.col("idx"))).alias("trigger_field"))
-    thr = F.greatest(F.floor(F.col("total_ms") / F.col("node_count")) * 2, F.lit(10))
-    b = (chain.join(g.select("rec", thr.alias("_thr")), "rec")
-         .groupBy("rec").agg(F.count_if(F.col("duration_ms") >= F.col("_thr")).alias("bottleneck_count")))
-    return (g.join(b, "rec")
-            .withColumn("slowest_node", F.when(F.col("slowest_ms") > 0, F.col("slowest_node")).otherwise(F.lit("")))
+                                          F.col("idx"))).alias("trigger_field"),
+        F.count_if(F.col("duration_ms") >= F.col("_thr")).alias("bottleneck_count"))
+    return (g.withColumn("slowest_node", F.when(F.col("slowest_ms") > 0, F.col("slowest_node")).otherwise(F.lit("")))
             .withColumn("slowest_ms", F.greatest(F.col("slowest_ms"), F.lit(0)))
             .withColumn("trigger_field", F.coalesce(F.col("trigger_field"), F.lit(""))))
 

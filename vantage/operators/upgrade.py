@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.functions.errors import trim_ws
+from vantage.functions.errors import ltrim_ws, trim_ws
 
 RULES_FILE = os.path.join(os.path.dirname(os.path.dirname(__file__)), "data", "deprecation_rules.json")
 # The supported version order.
@@ -268,27 +268,28 @@ def is_comment(trimmed: Column) -> Column:
     return trimmed.startswith("#") | trimmed.startswith("<!--") | trimmed.startswith("//")
 
 
-def contains_any(text: Column, literals: list[str]) -> Column:
-    """True when ``text`` contains any of ``literals``.  One Aho-Corasick pass
-    per line inside an Arrow-batched pandas UDF (the automaton is built once
-    per batch); falls back to built-in ``contains`` tests when the library is
-    missing."""
+def literal_hits(text: Column, literals: list[str]) -> Column:
+    """Indices of ``literals`` occurring in ``text`` (array<int>), from one
+    Aho-Corasick pass per value inside an Arrow-batched pandas UDF; the
+    automaton is built once per batch.  Without the library, built-in
+    ``contains`` tests give the same array."""
+    lits = tuple(literals)
     try:
         import ahocorasick  # noqa: F401
     except ImportError:  # pragma: no cover
-        return F.exists(F.array(*[F.lit(x) for x in literals]), lambda x: text.contains(x))
-    lits = tuple(literals)
+        return F.filter(F.array(*[F.when(text.contains(x), F.lit(i)) for i, x in enumerate(lits)]),
+                        lambda x: x.isNotNull())
 
-    @F.pandas_udf("boolean")
-    def _any(s: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<int>")
+    def _hits(s: pd.Series) -> pd.Series:
         import ahocorasick
         a = ahocorasick.Automaton()
         for i, w in enumerate(lits):
             a.add_word(w, i)
         a.make_automaton()
-        return s.map(lambda t: t is not None and next(a.iter(t), None) is not None)
+        return s.map(lambda t: sorted({i for _, i in a.iter(t)}) if t is not None else [])
 
-    return _any(text)
+    return _hits(text)
 
 
 def hits_type() -> str:
@@ -300,8 +301,13 @@ def code_scan(lines: DataFrame, rules: DataFrame, patterns: list[Pattern]) -> Da
     per (file, line, old_name, field, model) in rule order (line findings
     before whole-content ones).  Only .py and .xml files are scanned;
     comment lines are skipped except by the whole-content rule."""
-    trimmed = trim_ws(F.col("line"))
-    d = lines.filter(F.col("ext").isin(".py", ".xml")).withColumn("_comment", is_comment(trimmed))
+    lits = sorted({p.literal for p in patterns if p.literal})
+    lit_id = {x: i for i, x in enumerate(lits)}
+    d = (lines.filter(F.col("ext").isin(".py", ".xml"))
+         .withColumn("_comment", is_comment(ltrim_ws(F.col("line"))))
+         .withColumn("_lits", literal_hits(F.col("line"), lits)))
+    if all(p.literal for p in patterns):
+        d = d.filter(F.size("_lits") > 0)  # lines without any rule's target name cannot match
     arrays = []
     for lang, src_rank in (("py", 0), ("xml", 0), ("py_content", 1)):
         pats = [p for p in patterns if p.lang == lang]
@@ -311,13 +317,15 @@ def code_scan(lines: DataFrame, rules: DataFrame, patterns: list[Pattern]) -> Da
         cond = F.col("ext") == ext
         if lang != "py_content":
             cond = cond & ~F.col("_comment")
-        lits = sorted({p.literal for p in pats})
-        prefilter = contains_any(F.col("line"), lits) if all(lits) else F.lit(True)
+
+        def test(p):
+            rx = F.col("line").rlike(java_regex(p.regex))
+            return (F.array_contains(F.col("_lits"), F.lit(lit_id[p.literal])) & rx) if p.literal else rx
         hits = F.array_distinct(F.filter(
-            F.array(*[F.when(F.col("line").rlike(java_regex(p.regex)),
-                             F.struct(F.lit(src_rank).alias("src"), F.lit(p.ord).alias("ord"))) for p in pats]),
+            F.array(*[F.when(test(p), F.struct(F.lit(src_rank).alias("src"), F.lit(p.ord).alias("ord")))
+                      for p in pats]),
             lambda x: x.isNotNull()))
-        arrays.append(F.when(cond & prefilter, hits).otherwise(F.array().cast(hits_type())))
+        arrays.append(F.when(cond, hits).otherwise(F.array().cast(hits_type())))
     # one pass over the lines: all three pattern sets evaluated in one projection
     found = (d.select("path", "ext", "line_no", "line", F.explode(F.concat(*arrays)).alias("_h"))
              .select("path", "ext", "line_no", "line", F.col("_h.ord").alias("ord"), F.col("_h.src").alias("_src")))

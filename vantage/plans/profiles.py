@@ -18,7 +18,7 @@ from vantage.operators.budgets import batches
 from vantage.operators.windows import interval_us
 from vantage.plans.registry import query
 from vantage.plans.telemetry import _n1_cte, flagged_events
-from vantage.sources.tables import EVENTS_CTE_SQL, table
+from vantage.sources.tables import EVENTS_CTE_SQL, table, telemetry_events
 
 REC_WINDOW = "1 hour"
 REC = ["env_id", "period"]
@@ -202,7 +202,7 @@ def q_compute_stats(spark, sf_dir):
 # plain method frame.  Units by environment: ns, us, ms.
 
 def profile_rows(spark, sf_dir):
-    ev = batches(flagged_events(spark, sf_dir), REC_WINDOW)
+    ev = batches(telemetry_events(spark, sf_dir), REC_WINDOW)
     pid = F.concat(F.col("env_id"), F.lit("@"), (F.unix_micros("period") / 1000000).cast("long").cast("string"))
     name = (F.when(F.col("category") == "orm",
                    F.concat(F.lit("_compute_"), F.col("method"), F.lit("_"), (F.col("k") % 3).cast("string")))
