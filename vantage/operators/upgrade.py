@@ -292,6 +292,11 @@ def literal_hits(text: Column, literals: list[str]) -> Column:
     return _hits(text)
 
 
+def _sql_str(v: str) -> str:
+    """A Spark SQL string literal (backslash and quote escaped)."""
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def hits_type() -> str:
     return "array<struct<src:int,ord:int>>"
 
@@ -318,13 +323,14 @@ def code_scan(lines: DataFrame, rules: DataFrame, patterns: list[Pattern]) -> Da
         if lang != "py_content":
             cond = cond & ~F.col("_comment")
 
-        def test(p):
-            rx = F.col("line").rlike(java_regex(p.regex))
-            return (F.array_contains(F.col("_lits"), F.lit(lit_id[p.literal])) & rx) if p.literal else rx
-        hits = F.array_distinct(F.filter(
-            F.array(*[F.when(test(p), F.struct(F.lit(src_rank).alias("src"), F.lit(p.ord).alias("ord")))
-                      for p in pats]),
-            lambda x: x.isNotNull()))
+        # one SQL expression for the whole pattern set: a single parse instead of
+        # thousands of client-side Column constructions
+        arms_sql = []
+        for p in pats:
+            rx = f"line RLIKE {_sql_str(java_regex(p.regex))}"
+            test = f"array_contains(_lits, {lit_id[p.literal]}) AND {rx}" if p.literal else rx
+            arms_sql.append(f"CASE WHEN {test} THEN named_struct('src', {src_rank}, 'ord', {p.ord}) END")
+        hits = F.expr(f"array_distinct(filter(array({', '.join(arms_sql)}), x -> x IS NOT NULL))")
         arrays.append(F.when(cond, hits).otherwise(F.array().cast(hits_type())))
     # one pass over the lines: all three pattern sets evaluated in one projection
     found = (d.select("path", "ext", "line_no", "line", F.explode(F.concat(*arrays)).alias("_h"))
