@@ -33,16 +33,17 @@ def group_closure(edges: DataFrame, src: str = "group_id", dst: str = "implied_i
     """All (group_id, implied_id) pairs reachable over one or more edges.
     Unknown target ids are kept; a group reaching itself through a cycle
     appears as its own implied id."""
-    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct()
-    known = cut_lineage(e)
-    frontier = known
+    e = cut_lineage(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct())
+    known, frontier = e, e
     for _ in range(max_rounds):
         step = (frontier.alias("f").join(e.alias("e"), F.col("f.b") == F.col("e.a"))
                 .select(F.col("f.a").alias("a"), F.col("e.b").alias("b")).distinct())
+        # each round's delta is checkpointed, so ``known`` (a union of
+        # checkpointed deltas) never has deep lineage
         new = cut_lineage(step.join(known, ["a", "b"], "left_anti"))
         if new.isEmpty():
             break
-        known = cut_lineage(known.unionByName(new))
+        known = known.unionByName(new)
         frontier = new
     return known.select(F.col("a").alias(src), F.col("b").alias(dst))
 
@@ -382,19 +383,19 @@ def access_trace(requests: DataFrame, schema_models: Sequence[str], access_rules
         s5 = F.when(model == m, st5).otherwise(s5)
     s4 = s4.otherwise(F.lit(SKIPPED))
 
+    # one projection for all stages (no chain of withColumn re-analyses)
     stop1 = (s1 != OK) | su
-    out = (requests
-           .withColumn("s1_user", s1)
-           .withColumn("s2_groups", F.when(stop1, F.lit(None)).otherwise(F.lit(OK)))
-           .withColumn("s3_model_acl", F.when(stop1, F.lit(None)).otherwise(s3)))
-    stop3 = stop1 | (F.col("s3_model_acl") != OK)
-    out = out.withColumn("s4_record_rules", F.when(stop3, F.lit(None)).otherwise(s4))
-    stop4 = stop3 | (F.col("s4_record_rules") != OK)
-    out = out.withColumn("s5_domain", F.when(stop4, F.lit(None)).otherwise(s5))
+    c3 = F.when(stop1, F.lit(None)).otherwise(s3)
+    stop3 = stop1 | (s3 != OK)
+    c4 = F.when(stop3, F.lit(None)).otherwise(s4)
+    stop4 = stop3 | (s4 != OK)
+    c5 = F.when(stop4, F.lit(None)).otherwise(s5)
+    out = requests.select("*", s1.alias("s1_user"), F.when(stop1, F.lit(None)).otherwise(F.lit(OK)).alias("s2_groups"),
+                          c3.alias("s3_model_acl"), c4.alias("s4_record_rules"), c5.alias("s5_domain"))
     stages = ["s1_user", "s2_groups", "s3_model_acl", "s4_record_rules", "s5_domain"]
     failing = F.lit(None).cast("string")
-    for s in reversed(stages):
-        failing = F.when(F.col(s).isin(DENIED, ERROR), F.lit(s)).otherwise(failing)
+    for s_ in reversed(stages):
+        failing = F.when(F.col(s_).isin(DENIED, ERROR), F.lit(s_)).otherwise(failing)
     any_error = F.lit(False)
     for s_ in stages:
         any_error = any_error | F.coalesce(F.col(s_) == ERROR, F.lit(False))
