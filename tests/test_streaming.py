@@ -44,3 +44,65 @@ def test_ingest_is_idempotent(spark, tmp_path):
     want = eo.group_errors(eo.error_events(bind_events(spark.read.parquet(src)))).select(
         "env_id", "signature", "occurrence_count")
     assert merged.exceptAll(want).count() == 0 and want.exceptAll(merged).count() == 0
+
+
+def test_cooldown_stream_equals_batch(spark, tmp_path):
+    import random
+    from datetime import datetime, timedelta
+
+    from vantage.operators.budgets import cooldown_fold
+    from vantage.streaming.stateful import cooldown_stream, use_rocksdb
+
+    rnd = random.Random(11)
+    rows, t = [], datetime(2024, 1, 1)
+    for i in range(200):
+        t += timedelta(minutes=rnd.choice([1, 3, 7, 12]))
+        rows.append((f"k{i % 3}", t, i))
+    df = spark.createDataFrame(rows, "key string, ts timestamp, seq long")
+    land = str(tmp_path / "breaches")
+    # two files -> two micro-batches: state must carry the last kept time across them
+    df.filter("seq < 100").coalesce(1).write.parquet(land + "/a")
+    df.filter("seq >= 100").coalesce(1).write.parquet(land + "/b")
+    use_rocksdb(spark)
+    src = (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
+           .option("recursiveFileLookup", "true").parquet(land))
+    q = (cooldown_stream(src, ["key"], "ts", "10 minutes").writeStream.format("memory").queryName("cool_out")
+         .outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {r.seq for r in spark.sql("SELECT seq FROM cool_out").collect()}
+    want = {r.seq for r in cooldown_fold(df, ["key"], "ts", "10 minutes").collect()}
+    assert got == want
+
+
+def test_counter_delta_stream_equals_batch(spark, tmp_path):
+    import random
+
+    from vantage.operators.windows import counter_deltas
+    from vantage.streaming.stateful import counter_delta_stream, use_rocksdb
+
+    rnd = random.Random(2)
+    rows, calls = [], {}
+    for poll in range(1, 41):
+        for q in range(5):
+            if rnd.random() < 0.15:
+                continue  # query missing from this poll's top list
+            c = calls.get(q, 0) + rnd.choice([0, 0, 3, 10])
+            if rnd.random() < 0.05:
+                c = 1  # counter reset
+            calls[q] = c
+            rows.append(("e", q, poll, c, float(c * 7 + poll), 50.0))
+    df = spark.createDataFrame(rows, "env_id string, queryid int, poll_seq long, calls long, total_ms double, "
+                                     "max_ms double")
+    land = str(tmp_path / "polls")
+    df.filter("poll_seq <= 20").coalesce(1).write.parquet(land + "/a")
+    df.filter("poll_seq > 20").coalesce(1).write.parquet(land + "/b")
+    use_rocksdb(spark)
+    src = (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
+           .option("recursiveFileLookup", "true").parquet(land))
+    q = (counter_delta_stream(src, ["env_id", "queryid"]).writeStream.format("memory").queryName("delta_out")
+         .outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {(r.queryid, r.poll_seq, r.delta_calls, r.duration_ms) for r in spark.sql("SELECT * FROM delta_out").collect()}
+    want = {(r.queryid, r.poll_seq, r.delta_calls, r.duration_ms)
+            for r in counter_deltas(df, ["env_id", "queryid"]).collect()}
+    assert got == want and len(want) > 0
