@@ -209,3 +209,18 @@ SELECT * FROM (
 def q_top_stats(spark, sf_dir):
     return st.top_k_per_key(orm_stats(spark, sf_dir), ["env_id"],
                             [F.col("total_ms").desc(), F.col("period").desc(), F.col("model"), F.col("method")], 20)
+
+
+@query("batch_ingest", WITH_STATS + """
+SELECT env_id, period, model, method, call_count, total_ms, avg_ms, CAST(nullif(max_ms, 0) AS DOUBLE) AS max_ms,
+       CAST(nullif(p95_ms, 0) AS DOUBLE) AS p95_ms, n1_detected, nullif(sample_sql, '') AS sample_sql
+FROM stats""", ops="SRC4 SRC5 N6 P2 SNK1")
+def q_batch_ingest(spark, sf_dir):
+    from vantage.sources import json_batches as jb
+    ev = flagged_events(spark, sf_dir)
+    docs = jb.envelopes(st.window_stats(ev, STATS_WINDOW), st.batch_summary(ev, STATS_WINDOW, slow_threshold_ms=SLOW_MS),
+                        interval_us(STATS_WINDOW) // 1000)
+    parsed = docs.select(jb.parse_batches(F.col("json")).alias("b")).select("b.*")
+    # nullable integer columns are exposed as doubles (NULL-safe in every client)
+    return (jb.stats_rows(jb.valid_batches(parsed))
+            .withColumn("max_ms", F.col("max_ms").cast("double")).withColumn("p95_ms", F.col("p95_ms").cast("double")))
