@@ -64,3 +64,23 @@ def test_compute_chain_fixture(spark):
     rows = [("q", i, "m", f"f{i}", "x", d, [], "") for i, d in enumerate([5, 8, 200])]
     s = po.compute_stats(po.compute_chain(spark.createDataFrame(rows, df.schema))).first()
     assert s.bottleneck_count == 1
+
+
+def test_stored_waterfall_simple_and_lanes(spark):
+    import json
+    simple = json.dumps([{"label": "ORM", "ms": 200, "model": "a", "method": "read"},
+                         {"label": "SQL", "ms": 500}, {"label": "SQL", "duration_ms": 100},
+                         {"label": "Python", "ms": 200}])
+    detailed = json.dumps([{"category": "orm", "duration_ms": 120, "start_ms": 0, "model": "m", "method": "x"},
+                           {"category": "sql", "ms": 80, "start_ms": 10, "parent_id": "span-0"}])
+    df = spark.createDataFrame([("s", simple, '[{"model": "a", "method": "read"}]'), ("d", detailed, None),
+                                ("bad", "{not json", None)], "rec string, waterfall string, n1_patterns string")
+    sp = po.stored_spans(df)
+    s = {r.pos: r for r in sp.filter("rec = 's'").collect()}
+    assert [s[i].start_ms for i in range(4)] == [0, 200, 700, 800] and s[0].is_n1
+    d = {r.pos: r for r in sp.filter("rec = 'd'").collect()}
+    assert (d[1].start_ms, d[1].depth, d[1].duration_ms) == (10, 1, 80)
+    assert sp.filter("rec = 'bad'").count() == 0
+    lanes = {r.category: r for r in po.waterfall_lanes(sp.filter("rec = 's'").withColumnRenamed("duration_ms", "ms"),
+                                                        ["rec"]).collect()}
+    assert (lanes["sql"].total_ms, lanes["sql"].pct, lanes["sql"].pos) == (600, 60.0, 0)

@@ -72,3 +72,12 @@ def test_domain_semantics(spark):
     assert ev("[('missing', '=', 1)]") is False and ev("['!', ('missing', '=', 1)]") is True
     assert ev("[('s', 'child_of', 1)]") is True
     assert ev("[]") is True and ev("[('s', '=',") is False
+
+
+def test_schema_index_from_json(spark):
+    js = ('{"Sale.Order": {"fields": {"Partner_ID": {"type": "many2one"}, "amount": {}}}, '
+          '"broken.model": "not-an-object", "res.partner": {"fields": {}}}')
+    df = spark.createDataFrame([("e", js)], "env_id string, models string")
+    rows = {(r.model, r.field) for r in up.schema_index_from_json(df).collect()}
+    assert ("sale.order", "partner_id") in rows and ("sale.order", "amount") in rows
+    assert ("broken.model", None) in rows and ("res.partner", None) in rows

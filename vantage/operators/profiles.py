@@ -274,3 +274,62 @@ def frame_time(frames: DataFrame, samples: DataFrame, id_col: str = "profile_id"
             .withColumn("duration_ms", F.greatest(F.col("duration_ms"), F.lit(1)))
             .withColumnRenamed("name", "method_name")
             .join(dur, id_col, "left"))
+
+
+# ------------------------------------------------- stored waterfalls
+
+SPAN_SCHEMA = T.ArrayType(T.StructType([
+    T.StructField("label", T.StringType()), T.StructField("category", T.StringType()),
+    T.StructField("ms", T.IntegerType()), T.StructField("duration_ms", T.IntegerType()),
+    T.StructField("start_ms", T.IntegerType()), T.StructField("model", T.StringType()),
+    T.StructField("method", T.StringType()), T.StructField("module", T.StringType()),
+    T.StructField("sql", T.StringType()), T.StructField("is_n1", T.BooleanType()),
+    T.StructField("is_error", T.BooleanType()), T.StructField("parent_id", T.StringType()),
+]))
+PATTERN_SCHEMA = T.ArrayType(T.StructType([T.StructField("model", T.StringType()),
+                                           T.StructField("method", T.StringType())]))
+
+
+def infer_category(label: Column) -> Column:
+    """Category from a span label (unknown -> python)."""
+    return (F.when(label.isin("SQL", "sql"), "sql").when(label.isin("ORM", "orm"), "orm")
+            .when(label.isin("RPC", "rpc"), "rpc").when(label.isin("HTTP", "http"), "http")
+            .otherwise("python"))
+
+
+def stored_spans(recordings: DataFrame, rec: str = "rec", waterfall_col: str = "waterfall",
+                 n1_col: str = "n1_patterns") -> DataFrame:
+    """N1 + N2 + W7 + W14: unnest stored waterfall JSON.  The detailed format
+    (any span with a start or a category) keeps explicit timing; the simple
+    format lays spans out back to back (running sum).  Malformed or empty JSON
+    gives no spans.  N+1 is also set from the recording's pattern list."""
+    spans = F.coalesce(F.from_json(F.col(waterfall_col), SPAN_SCHEMA), F.array().cast(SPAN_SCHEMA))
+    keys = F.transform(F.coalesce(F.from_json(F.col(n1_col), PATTERN_SCHEMA), F.array().cast(PATTERN_SCHEMA)),
+                       lambda p: F.concat_ws(":", p["model"], p["method"]))
+    detailed = F.exists(spans, lambda s: (F.coalesce(s["start_ms"], F.lit(0)) > 0)
+                        | (F.coalesce(s["category"], F.lit("")) != ""))
+    d = recordings.select(rec, detailed.alias("_detailed"), keys.alias("_n1keys"),
+                          F.posexplode(spans).alias("pos", "s"))
+    s = F.col("s")
+    ms, dur = F.coalesce(s["ms"], F.lit(0)), F.coalesce(s["duration_ms"], F.lit(0))
+    cat = F.when(F.col("_detailed") & (F.coalesce(s["category"], F.lit("")) != ""), s["category"]) \
+        .otherwise(infer_category(F.coalesce(s["label"], F.lit(""))))
+    duration = F.when(F.col("_detailed"), F.when(dur != 0, dur).otherwise(ms)).otherwise(F.when(ms != 0, ms).otherwise(dur))
+    model, method = F.coalesce(s["model"], F.lit("")), F.coalesce(s["method"], F.lit(""))
+    label = (F.when(F.coalesce(s["label"], F.lit("")) != "", s["label"])
+             .when((model != "") & (method != ""), F.concat(model, F.lit("."), method))
+             .when(model != "", model).otherwise(cat))
+    is_n1 = F.coalesce(s["is_n1"], F.lit(False)) | F.array_contains(F.col("_n1keys"), F.concat(model, F.lit(":"), method))
+    out = d.select(rec, "pos", "_detailed", F.concat(F.lit("span-"), F.col("pos").cast("string")).alias("span_id"),
+                   cat.alias("category"), label.alias("label"), duration.alias("duration_ms"),
+                   F.coalesce(s["start_ms"], F.lit(0)).alias("_start"), s["module"].alias("module"),
+                   model.alias("model"), method.alias("method"),
+                   cut_text(F.coalesce(s["sql"], F.lit("")), 200, "...").alias("sql"), is_n1.alias("is_n1"),
+                   F.coalesce(s["is_error"], F.lit(False)).alias("is_error"),
+                   F.coalesce(s["parent_id"], F.lit("")).alias("parent_id"))
+    w = Window.partitionBy(rec).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("duration_ms").over(w), F.lit(0)).cast("int")
+    out = (out.withColumn("start_ms", F.when(F.col("_detailed"), F.col("_start")).otherwise(offset))
+           .withColumn("depth", F.when(F.col("_detailed") & (F.col("parent_id") != ""), 1).otherwise(0)))
+    order = Window.partitionBy(rec).orderBy("start_ms", "depth", "pos")
+    return out.withColumn("order", F.row_number().over(order) - 1).drop("_detailed", "_start")

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vantage.functions.errors import ltrim_ws, trim_ws
 
@@ -346,3 +347,16 @@ def code_scan(lines: DataFrame, rules: DataFrame, patterns: list[Pattern]) -> Da
                         .otherwise(snip))
             .select("path", "line_no", "ord", "kind", "severity", "model", "field", "old_name", "new_name",
                     "from_version", "to_version", "snippet"))
+
+
+def schema_index_from_json(snapshots: DataFrame, env_col: str = "env_id", json_col: str = "models") -> DataFrame:
+    """SRC6 / N4: schema snapshot JSON {model: {fields: {name: ...}}} -> (env,
+    model, field) with lower-cased names.  The map is parsed as
+    map<string,string> first so one malformed model does not void the rest;
+    a model whose value does not parse is present with no fields."""
+    outer = F.from_json(F.col(json_col), T.MapType(T.StringType(), T.StringType()))
+    m = snapshots.select(env_col, F.explode(outer).alias("model", "raw"))
+    fields = F.from_json(F.col("raw"), T.StructType([T.StructField("fields", T.MapType(T.StringType(), T.StringType()))]))
+    return (m.select(env_col, F.lower("model").alias("model"), F.map_keys(fields["fields"]).alias("_f"))
+            .select(env_col, "model", F.explode_outer("_f").alias("field"))
+            .withColumn("field", F.lower("field")))
