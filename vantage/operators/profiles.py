@@ -45,22 +45,29 @@ def category_label(cat: Column) -> Column:
     return e.otherwise(cat)
 
 
-def waterfall_spans(events: DataFrame, rec_keys: Sequence[str]) -> DataFrame:
+def waterfall_spans(events: DataFrame, rec_keys: Sequence[str], bucket: str = "1 minute") -> DataFrame:
     """R16 + W8 + W12: spans in timestamp order (seq breaks ties), start offset
     in whole ms from the first event, label, default category python, SQL cut
-    at 200 chars + '...'."""
+    at 200 chars + '...'.
+
+    A recording may be large, so neither the ordinal nor the offset sorts a
+    whole recording in one task: the ordinal comes from ``rank_in_group``
+    (time-bucketed) and the first timestamp from a partial ``min`` joined
+    back on the recording key."""
+    from vantage.operators.windows import rank_in_group
     rec_keys = list(rec_keys)
-    w = Window.partitionBy(*_cols(rec_keys))
-    wo = w.orderBy("ts", "seq")
-    first_us = F.min(F.unix_micros("ts")).over(w)
+    first = events.groupBy(*rec_keys).agg(F.min(F.unix_micros("ts")).alias("_first_us"))
+    ranked = rank_in_group(events, rec_keys, ["ts", "seq"], bucket=bucket, out_col="_rank")
+    e = ranked.join(first, rec_keys)
     cat = F.when(F.coalesce(F.col("category"), F.lit("")) == "", F.lit("python")).otherwise(F.col("category"))
-    return events.select(
+    pos = F.col("_rank") - 1
+    return e.select(
         *rec_keys,
-        F.concat(F.lit("span-"), (F.row_number().over(wo) - 1).cast("string")).alias("span_id"),
-        (F.row_number().over(wo) - 1).alias("pos"),
+        F.concat(F.lit("span-"), pos.cast("string")).alias("span_id"),
+        pos.cast("int").alias("pos"),
         event_label().alias("label"), cat.alias("category"),
         F.col("duration_ms").alias("ms"),
-        F.floor((F.unix_micros("ts") - first_us) / 1000).cast("long").alias("start_ms"),
+        F.floor((F.unix_micros("ts") - F.col("_first_us")) / 1000).cast("long").alias("start_ms"),
         "model", "method", "module",
         cut_text(F.coalesce(F.col("sql"), F.lit("")), 200, "...").alias("sql"),
         "is_n1", "is_error", "seq")
