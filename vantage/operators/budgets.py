@@ -71,7 +71,7 @@ def function_breakdown(batch_events: DataFrame, keys: Sequence[str] = ("env_id",
     w = Window.partitionBy(*keys, "module").orderBy(F.col("duration_ms").desc(), "model", "method", "category")
     return (f.join(mod_total, keys + ["module"])
             .withColumn("pct", pct_hundredths("duration_ms", "_mod_ms"))
-            .withColumn("pos", F.row_number().over(w) - 1)
+            .withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
             .drop("_mod_ms"))
 
 

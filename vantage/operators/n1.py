@@ -63,7 +63,8 @@ def score_patterns(patterns: DataFrame, enrichment: DataFrame | None = None) ->
 def rank_patterns(scored: DataFrame, limit: int = 50) -> DataFrame:
     """A1 ordering: top ``limit`` per env by total ms (model, method break ties)."""
     w = Window.partitionBy("env_id").orderBy(F.col("total_duration_ms").desc(), "model", "method")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    return (scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+            .withColumn("rank", F.col("rank").cast("long")))
 
 
 def n1_windows(stats: DataFrame, since=None) -> DataFrame:

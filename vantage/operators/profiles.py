@@ -64,7 +64,7 @@ def waterfall_spans(events: DataFrame, rec_keys: Sequence[str], bucket: str = "1
     return e.select(
         *rec_keys,
         F.concat(F.lit("span-"), pos.cast("string")).alias("span_id"),
-        pos.cast("int").alias("pos"),
+        pos.cast("long").alias("pos"),
         event_label().alias("label"), cat.alias("category"),
         F.col("duration_ms").alias("ms"),
         F.floor((F.unix_micros("ts") - F.col("_first_us")) / 1000).cast("long").alias("start_ms"),
@@ -83,7 +83,7 @@ def waterfall_lanes(spans: DataFrame, rec_keys: Sequence[str]) -> DataFrame:
     denom = F.when(tot == 0, F.lit(1)).otherwise(tot)
     return (lanes.withColumn("pct", pct_hundredths("total_ms", denom))
             .withColumn("label", category_label(F.col("category")))
-            .withColumn("pos", F.row_number().over(w.orderBy(F.col("total_ms").desc(), "category")) - 1))
+            .withColumn("pos", (F.row_number().over(w.orderBy(F.col("total_ms").desc(), "category")) - 1).cast("long")))
 
 
 def waterfall_summary(spans: DataFrame, rec_keys: Sequence[str]) -> DataFrame:

@@ -123,4 +123,5 @@ def top_k_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
     """T1 per key: ``row_number() <= k``; Spark inserts a WindowGroupLimit on
     both sides of the exchange, so a hot key ships only k rows per partition."""
     w = Window.partitionBy(*_cols(keys)).orderBy(*order)
-    return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
+    return (df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
+            .withColumn(rank_col, F.col(rank_col).cast("long")))

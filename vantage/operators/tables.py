@@ -65,7 +65,7 @@ def page(df: DataFrame, keys: Sequence[str], order: Sequence[Column], page_no: i
             .withColumn("total_pages", tp)
             .withColumn("page", F.lit(p)).withColumn("per_page", F.lit(pp))
             .withColumn("has_next", F.lit(p) < tp).withColumn("has_prev", F.lit(p > 1))
-            .withColumn("row_in_page", F.col("_rn") - lo - 1).drop("_rn"))
+            .withColumn("row_in_page", (F.col("_rn") - lo - 1).cast("long")).drop("_rn"))
 
 
 def page_global(df: DataFrame, order: Sequence[Column], page_no: int | None, per_page: int | None) -> DataFrame:

@@ -261,7 +261,7 @@ def file_lines(files: DataFrame, path_col: str = "path", content_col: str = "con
     ext = F.lower(F.regexp_extract(F.col(path_col), r"(\.[^./\\]*)$", 1))
     return (files.select(F.col(path_col).alias("path"), ext.alias("ext"),
                          F.posexplode(F.split(F.col(content_col), "\n")).alias("pos", "line"))
-            .select("path", "ext", (F.col("pos") + 1).alias("line_no"), "line"))
+            .select("path", "ext", (F.col("pos") + 1).cast("long").alias("line_no"), "line"))
 
 
 def is_comment(trimmed: Column) -> Column:

@@ -112,7 +112,7 @@ def keep_newest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     shuffle, so a hot key ships at most n rows per input partition."""
     w = Window.partitionBy(*_cols(keys)).orderBy(*order)
     out = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
-    return out.withColumnRenamed("_rn", rank_col) if rank_col else out.drop("_rn")
+    return out.withColumn(rank_col, F.col("_rn").cast("long")).drop("_rn") if rank_col else out.drop("_rn")
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
