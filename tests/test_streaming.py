@@ -106,3 +106,30 @@ def test_counter_delta_stream_equals_batch(spark, tmp_path):
     want = {(r.queryid, r.poll_seq, r.delta_calls, r.duration_ms)
             for r in counter_deltas(df, ["env_id", "queryid"]).collect()}
     assert got == want and len(want) > 0
+
+
+def test_repeat_tracker_stream_equals_batch(spark, tmp_path):
+    import random
+    from datetime import datetime, timedelta
+
+    from vantage.operators.windows import flag_repeats
+    from vantage.streaming.stateful import repeat_flags_stream, use_rocksdb
+
+    rnd = random.Random(9)
+    rows, t = [], datetime(2024, 1, 1)
+    for i in range(300):
+        t += timedelta(seconds=rnd.choice([0, 1, 1, 2, 4]))
+        rows.append((f"s{rnd.randrange(2)}", t, i))
+    df = spark.createDataFrame(rows, "key string, ts timestamp, seq long")
+    land = str(tmp_path / "ev")
+    df.filter("seq < 150").coalesce(1).write.parquet(land + "/a")
+    df.filter("seq >= 150").coalesce(1).write.parquet(land + "/b")
+    use_rocksdb(spark)
+    src = (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
+           .option("recursiveFileLookup", "true").parquet(land))
+    q = (repeat_flags_stream(src, ["key"], "5 seconds", 4).writeStream.format("memory").queryName("rep_out")
+         .outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {r.seq: r.is_n1 for r in spark.sql("SELECT seq, is_n1 FROM rep_out").collect()}
+    want = {r.seq: r.is_n1 for r in flag_repeats(df, ["key"], "5 seconds", 4).collect()}
+    assert got == want and any(want.values())

@@ -98,3 +98,44 @@ def counter_delta_stream(snapshots: DataFrame, keys: list[str]) -> DataFrame:
     return snapshots.groupBy(*keys).transformWithStateInPandas(CounterDeltaProcessor(), schema, "Append", "None")
 
 
+
+
+class RepeatTracker(StatefulProcessor):
+    """Per key (env, SQL signature) keep the timestamps inside the window;
+    an event is flagged when, after pruning older ones and adding itself, at
+    least ``threshold`` remain.  Only the window's timestamps are kept."""
+
+    def __init__(self, window_us: int, threshold: int):
+        self.window_us = window_us
+        self.threshold = threshold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.recent = handle.getListState("recent", T.StructType([T.StructField("t", T.LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True)
+        t = (pdf["ts"].astype("int64") // 1000).to_numpy()
+        order = sorted(range(len(pdf)), key=lambda i: (t[i], pdf["seq"].iat[i]))
+        recent = [r[0] for r in self.recent.get()] if self.recent.exists() else []
+        flags = [False] * len(pdf)
+        for i in order:
+            cut = t[i] - self.window_us
+            recent = [x for x in recent if x >= cut]
+            recent.append(int(t[i]))
+            flags[i] = len(recent) >= self.threshold
+        self.recent.clear()
+        if recent:
+            self.recent.put([(x,) for x in recent])
+        out = pdf.copy()
+        out["is_n1"] = flags
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def repeat_flags_stream(events: DataFrame, keys: list[str], window: str, threshold: int) -> DataFrame:
+    """S2 on a streaming DataFrame that has ``ts`` and ``seq``."""
+    schema = T.StructType(events.schema.fields + [T.StructField("is_n1", T.BooleanType())])
+    return events.groupBy(*keys).transformWithStateInPandas(
+        RepeatTracker(interval_us(window), threshold), schema, "Append", "None")
