@@ -1,7 +1,8 @@
 """Named queries over the driver tables (see ``registry``)."""
 
 from vantage.plans.registry import REGISTRY, Query, query  # noqa: F401
-from vantage.plans import access, budgets, errors, logs, overview, profiles, reports, tables, telemetry, upgrade  # noqa: F401
+from vantage.plans import (access, budgets, errors, logs, overview, profiles, records, reports,  # noqa: F401
+                           tables, telemetry, upgrade)
 
 
 def all_queries() -> dict[str, Query]:
