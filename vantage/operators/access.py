@@ -32,19 +32,22 @@ def group_closure(edges: DataFrame, src: str = "group_id", dst: str = "implied_i
                   max_rounds: int = 64) -> DataFrame:
     """All (group_id, implied_id) pairs reachable over one or more edges.
     Unknown target ids are kept; a group reaching itself through a cycle
-    appears as its own implied id."""
-    e = cut_lineage(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct())
-    known, frontier = e, e
+    appears as its own implied id.
+
+    Path doubling: each round joins the known pairs with themselves, so after
+    k rounds every path of length <= 2^k is present (log2(diameter) rounds).
+    Pairs already known are removed with ``left_anti``, cycles therefore
+    terminate and diamonds add no duplicates.  Each round's new pairs are
+    checkpointed into the shared checkpoint directory, so the union of
+    checkpointed deltas never builds deep lineage."""
+    known = cut_lineage(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct())
     for _ in range(max_rounds):
-        step = (frontier.alias("f").join(e.alias("e"), F.col("f.b") == F.col("e.a"))
-                .select(F.col("f.a").alias("a"), F.col("e.b").alias("b")).distinct())
-        # each round's delta is checkpointed, so ``known`` (a union of
-        # checkpointed deltas) never has deep lineage
+        step = (known.alias("x").join(known.alias("y"), F.col("x.b") == F.col("y.a"))
+                .select(F.col("x.a").alias("a"), F.col("y.b").alias("b")).distinct())
         new = cut_lineage(step.join(known, ["a", "b"], "left_anti"))
         if new.isEmpty():
             break
-        known = known.unionByName(new)
-        frontier = new
+        known = cut_lineage(known.unionByName(new))
     return known.select(F.col("a").alias(src), F.col("b").alias(dst))
 
 
