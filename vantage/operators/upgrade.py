@@ -290,7 +290,9 @@ def literal_hits(text: Column, literals: list[str]) -> Column:
         a.make_automaton()
         return s.map(lambda t: sorted({i for _, i in a.iter(t)}) if t is not None else [])
 
-    return _hits(text)
+    # non-deterministic: keeps the optimizer from copying the UDF call into
+    # the filter that follows (one Aho-Corasick pass per line, not two)
+    return _hits.asNondeterministic()(text)
 
 
 def _sql_str(v: str) -> str:

@@ -17,6 +17,7 @@ from vantage.operators import profiles as po
 from vantage.operators.budgets import batches
 from vantage.operators.windows import interval_us
 from vantage.plans.registry import query
+from vantage.session import cut_lineage
 from vantage.plans.telemetry import _n1_cte, flagged_events
 from vantage.sources.tables import EVENTS_CTE_SQL, table, telemetry_events
 
@@ -175,7 +176,9 @@ FROM (SELECT rec, model, node_id, unnest(depends_on) AS dep FROM chain) c
 JOIN fidx f ON f.rec = c.rec AND f.model = c.model AND f.field_name = c.dep
 WHERE f.src <> c.node_id""", ops="J14")
 def q_compute_edges(spark, sf_dir):
-    return po.compute_edges(chain(spark, sf_dir))
+    # the chain feeds three branches: materialise the Python fold once (a
+    # reliable checkpoint in the shared checkpoint dir) instead of re-running it
+    return po.compute_edges(cut_lineage(chain(spark, sf_dir)))
 
 
 @query("compute_stats", _CHAIN_SQL + """,
