@@ -84,3 +84,28 @@ def test_stored_waterfall_simple_and_lanes(spark):
     lanes = {r.category: r for r in po.waterfall_lanes(sp.filter("rec = 's'").withColumnRenamed("duration_ms", "ms"),
                                                         ["rec"]).collect()}
     assert (lanes["sql"].total_ms, lanes["sql"].pct, lanes["sql"].pos) == (600, 60.0, 0)
+
+
+def test_greedy_chain_matches_fold_on_dense_keys(spark):
+    from vantage.operators.chains import greedy_chain
+    rnd = random.Random(21)
+    rows, t = [], datetime(2024, 1, 1)
+    for i in range(2000):
+        t += timedelta(seconds=rnd.choice([5, 20, 60, 200, 700]))
+        rows.append(("hot" if i % 3 else f"k{i % 7}", t, i))  # one key holds two thirds of the rows
+    df = spark.createDataFrame(rows, "key string, ts timestamp, seq long")
+    got = {r.seq for r in greedy_chain(df, ["key"], "ts", "seq", "10 minutes").filter("kept").collect()}
+    want = {r.seq for r in bo.cooldown_fold_local(df, ["key"], "ts", "10 minutes").collect()}
+    assert got == want
+
+
+def test_cooldown_hybrid_routes_hot_keys(spark):
+    rnd = random.Random(4)
+    rows, t = [], datetime(2024, 1, 1)
+    for i in range(600):
+        t += timedelta(minutes=rnd.choice([1, 4, 9, 13]))
+        rows.append(("hot" if i % 4 else "cold", t, i))
+    df = spark.createDataFrame(rows, "key string, ts timestamp, seq long")
+    got = {r.seq for r in bo.cooldown_fold(df, ["key"], "ts", "10 minutes", hot_key_rows=200).collect()}
+    want = {r.seq for r in bo.cooldown_fold_local(df, ["key"], "ts", "10 minutes").collect()}
+    assert got == want
