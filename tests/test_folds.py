@@ -109,3 +109,20 @@ def test_cooldown_hybrid_routes_hot_keys(spark):
     got = {r.seq for r in bo.cooldown_fold(df, ["key"], "ts", "10 minutes", hot_key_rows=200).collect()}
     want = {r.seq for r in bo.cooldown_fold_local(df, ["key"], "ts", "10 minutes").collect()}
     assert got == want
+
+
+def test_login_lockout_distributed_equals_fold(spark):
+    rnd = random.Random(8)
+    rows, t = [], datetime(2024, 1, 1)
+    for i in range(1500):
+        t += timedelta(minutes=rnd.choice([0, 1, 2, 3, 7, 20]), seconds=rnd.choice([0, 11, 37]))
+        ident = "bot" if i % 5 else f"u{i % 3}"  # one identifier holds most attempts
+        rows.append((ident, i, t, rnd.random() < 0.08))
+    df = spark.createDataFrame(rows, "identifier string, seq long, ts timestamp, success boolean")
+    cols = ["identifier", "seq", "attempt", "locked", "locked_until"]
+    got = {tuple(r) for r in to.login_lockout_distributed(df, "15 minutes", 5, "30 minutes").select(*cols).collect()}
+    want = {tuple(r) for r in to.login_lockout_local(df, "15 minutes", 5, "30 minutes").select(*cols).collect()}
+    assert got == want
+    hybrid = {tuple(r) for r in to.login_lockout(df, "15 minutes", 5, "30 minutes", hot_key_rows=100)
+              .select(*cols).collect()}
+    assert hybrid == want

@@ -182,12 +182,74 @@ def request_rate(requests: DataFrame, keys: Sequence[str], window: str, limit: i
 LOCK_SCHEMA = "identifier string, seq long, ts timestamp, success boolean, attempt long, locked boolean, locked_until timestamp"
 
 
+HOT_IDENTIFIER_ROWS = 50_000
+
+
 def login_lockout(attempts: DataFrame, window: str = "15 minutes", max_attempts: int = 5,
-                  lockout: str = "30 minutes") -> DataFrame:
+                  lockout: str = "30 minutes", hot_key_rows: int = HOT_IDENTIFIER_ROWS) -> DataFrame:
     """Per identifier, failures count from the first failure of a window
     (the counter expires ``window`` after it); success clears the counter; a
-    failure at count >= max locks until ts + lockout.  Ordered fold per
-    identifier (``applyInPandas``)."""
+    failure at count >= max locks until ts + lockout.
+
+    Identifiers with at most ``hot_key_rows`` attempts run an ordered fold
+    (``applyInPandas``); hotter ones run the distributed form, so no
+    identifier is gathered into one task."""
+    keys = ["identifier"]
+    sizes = attempts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot_keys = sizes.filter(F.col("_n") > hot_key_rows).select(*keys)
+    small = attempts.join(sizes.filter(F.col("_n") <= hot_key_rows).select(*keys), keys, "left_semi")
+    out = login_lockout_local(small, window, max_attempts, lockout)
+    if not hot_keys.isEmpty():  # a control decision on per-key counts
+        hot = attempts.join(hot_keys, keys, "left_semi")
+        out = out.unionByName(login_lockout_distributed(hot, window, max_attempts, lockout))
+    return out
+
+
+def login_lockout_distributed(attempts: DataFrame, window: str = "15 minutes", max_attempts: int = 5,
+                              lockout: str = "30 minutes") -> DataFrame:
+    """U10 without a per-identifier fold.
+
+    1. segment = number of successes up to the attempt (bucketed running sum):
+       a success resets the counter, so segments are independent.
+    2. window starts within a segment form a greedy gap chain (the first
+       failure, then the first failure at or after start + window, ...).
+    3. a failure's window start lies within ``window`` before it: a window
+       per (segment, time bucket) with the previous bucket's starts as context.
+    4. attempt = rank of the failure within its window (bucketed rank)."""
+    from vantage.operators.chains import greedy_chain
+    from vantage.operators.windows import interval_us, rank_in_group, running_sum_in_group
+    w_us, l_us = interval_us(window), interval_us(lockout)
+    a = attempts.select("identifier", "seq", "ts", "success")
+    seg = running_sum_in_group(a.withColumn("_succ", F.col("success").cast("long")), ["identifier"],
+                               ["ts", "seq"], "_succ", out_col="_seg").drop("_succ")
+    fails = seg.filter(~F.col("success"))
+    starts = greedy_chain(fails, ["identifier", "_seg"], "ts", "seq", window, out_col="_start")
+    s2 = (starts.withColumn("_t", F.unix_micros("ts"))
+          .withColumn("_b", F.floor(F.col("_t") / F.lit(w_us)).cast("long")))
+    marker = F.when(F.col("_start"), F.struct(F.col("_t").alias("t"), F.col("seq").alias("s")))
+    own = s2.withColumn("_m", marker).withColumn("_own", F.lit(True))
+    ctx = (s2.filter("_start").select("identifier", "_seg", "_t", "seq", (F.col("_b") + 1).alias("_b"))
+           .withColumn("_m", F.struct(F.col("_t").alias("t"), F.col("seq").alias("s"))).withColumn("_own", F.lit(False)))
+    u = own.unionByName(ctx, allowMissingColumns=True)
+    wl = (Window.partitionBy("identifier", "_seg", "_b").orderBy("_t", "seq")
+          .rowsBetween(Window.unboundedPreceding, 0))
+    located = (u.withColumn("_win", F.last("_m", ignorenulls=True).over(wl)).filter("_own")
+               .drop("_own", "_m", "_b", "_t"))
+    ranked = rank_in_group(located, ["identifier", "_seg", "_win"], ["ts", "seq"], bucket="1 minute",
+                           out_col="attempt")
+    failed = ranked.select("identifier", "seq", "ts", "success", "attempt",
+                           (F.col("attempt") >= max_attempts).alias("locked"))
+    failed = failed.withColumn("locked_until", F.when(F.col("locked"), F.timestamp_micros(
+        F.unix_micros("ts") + F.lit(l_us))))
+    ok = seg.filter(F.col("success")).select("identifier", "seq", "ts", "success", F.lit(0).cast("long").alias("attempt"),
+                                             F.lit(False).alias("locked"),
+                                             F.lit(None).cast("timestamp").alias("locked_until"))
+    return failed.unionByName(ok)
+
+
+def login_lockout_local(attempts: DataFrame, window: str = "15 minutes", max_attempts: int = 5,
+                        lockout: str = "30 minutes") -> DataFrame:
+    """U10 as an ordered fold per identifier (``applyInPandas``)."""
     import pandas as pd
 
     from vantage.operators.windows import interval_us

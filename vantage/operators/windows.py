@@ -218,3 +218,25 @@ def prev_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     for v in values:
         j = j.withColumn(prefix + v, F.when(first, F.col("_pl")[v]).otherwise(F.lag(v).over(wr)))
     return j.drop("_b", "_pl")
+
+
+def running_sum_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], value_col: str,
+                         ts_col: str = "ts", bucket: str = "1 hour", out_col: str = "running") -> DataFrame:
+    """Running ``sum(value_col)`` within ``keys`` ordered by ``order`` (which
+    starts with ``ts_col``), inclusive: per-bucket sums give the offset of
+    earlier buckets, the big side is windowed per (key, bucket) only."""
+    keys = list(keys)
+    d = _bucketed(df, ts_col, bucket)
+    sums = d.groupBy(*keys, "_b").agg(F.sum(value_col).alias("_n"))
+    w = Window.partitionBy(*_cols(keys)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = sums.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    offs = offs.select(*[F.col(k).alias("_k_" + k) for k in keys], F.col("_b").alias("_k_b"), "_off")
+    cond = None
+    for k in keys:
+        e = F.col(k).eqNullSafe(F.col("_k_" + k))
+        cond = e if cond is None else cond & e
+    cond = cond & (F.col("_b") == F.col("_k_b"))
+    j = d.join(offs, cond, "inner").drop(*["_k_" + k for k in keys], "_k_b")
+    wr = (Window.partitionBy(*_cols(keys), F.col("_b")).orderBy(*_cols(order))
+          .rowsBetween(Window.unboundedPreceding, 0))
+    return j.withColumn(out_col, (F.col("_off") + F.sum(value_col).over(wr)).cast("long")).drop("_b", "_off")
