@@ -38,3 +38,15 @@ def test_retention_policy_defaults(spark):
             p.raw_logs_days, p.audit_log_days) == (7, 7, 30, 10, -1, 90)
     p = one(spark, parse_policy(F.col("a")), "not json")
     assert p.error_traces_days == 7 and p.audit_log_days == 90
+
+
+def test_pull_since_and_stat_scan(spark):
+    from vantage.sources.incremental import pull_since, stat_snapshot_scan
+    df = spark.createDataFrame([(i, f"r{i}") for i in range(1, 11)], "id long, v string")
+    batch, mark = pull_since(df, "id", 4, 3)
+    assert [r.id for r in batch.collect()] == [5, 6, 7] and mark.first().hwm == 7
+    _, empty = pull_since(df, "id", 10, 3)
+    assert empty.first().hwm == 10
+    stats = spark.createDataFrame([("e", "SET x = 1", 9), ("e", "begin", 8), ("e", "SELECT 1", 5), ("e", "SELECT 2", 7)],
+                                  "env_id string, query string, total_ms long")
+    assert [r.query for r in stat_snapshot_scan(stats, top=1).collect()] == ["SELECT 2"]

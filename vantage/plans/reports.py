@@ -15,7 +15,7 @@ from vantage.plans import profiles as pp
 from vantage.plans import tables as pt
 from vantage.plans import upgrade as pu
 from vantage.plans.registry import query
-from vantage.sources.tables import table
+from vantage.sources.tables import EVENTS_CTE_SQL, table
 
 RECENT_RECORDINGS = 100
 TAIL_LINES = 1000
@@ -118,3 +118,46 @@ def q_orphan_refs(spark, sf_dir):
     ref = F.concat(F.lit("traces/"), F.col("tenant_id").cast("string"), F.lit("/"), F.col("o_orderkey").cast("string"),
                    F.lit(".json.gz"))
     return to.orphan_refs(expired.withColumn("raw_trace_ref", ref), "raw_trace_ref")
+
+
+# ------------------------------------------------- incremental pulls, stat scans
+
+PULL_HWM, PULL_LIMIT = 5000, 200
+
+
+@query("error_pull", "WITH " + EVENTS_CTE_SQL + f"""
+SELECT seq, ts, env_id, model, method FROM ev WHERE is_error AND seq > {PULL_HWM} ORDER BY seq LIMIT {PULL_LIMIT}""",
+       ops="SRC2 T4 F13")
+def q_error_pull(spark, sf_dir):
+    from vantage.sources.incremental import pull_since
+    from vantage.sources.tables import telemetry_events
+    ev = telemetry_events(spark, sf_dir).filter(F.col("is_error")).select("seq", "ts", "env_id", "model", "method")
+    batch, _ = pull_since(ev, "seq", PULL_HWM, PULL_LIMIT)
+    return batch
+
+
+_STAT_QUERY_SQL = """
+CASE method WHEN 'view' THEN sql WHEN 'click' THEN 'BEGIN' WHEN 'error' THEN 'rollback'
+            WHEN 'purchase' THEN 'SET LOCAL statement_timeout = ' || CAST(k AS VARCHAR)
+            ELSE 'SHOW ' || method END"""
+
+
+@query("stat_scan", "WITH " + EVENTS_CTE_SQL + f""",
+s AS (SELECT env_id, {_STAT_QUERY_SQL} AS query, count(*) AS calls, CAST(sum(duration_ms) AS BIGINT) AS total_ms,
+             max(duration_ms) AS max_ms FROM ev GROUP BY 1, 2),
+f AS (SELECT * FROM s WHERE query NOT LIKE 'SET %' AND query NOT LIKE 'SHOW %' AND query NOT LIKE 'RESET %'
+        AND query NOT LIKE 'DEALLOCATE %' AND NOT regexp_matches(query, '(?i)^(BEGIN|COMMIT|ROLLBACK)'))
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY env_id ORDER BY total_ms DESC, query) AS rank FROM f)
+WHERE rank <= 500""", ops="SRC3 F4 T1")
+def q_stat_scan(spark, sf_dir):
+    from vantage.sources.incremental import stat_snapshot_scan
+    from vantage.sources.tables import telemetry_events
+    ev = telemetry_events(spark, sf_dir)
+    m = F.col("method")
+    q = (F.when(m == "view", F.col("sql")).when(m == "click", F.lit("BEGIN")).when(m == "error", F.lit("rollback"))
+         .when(m == "purchase", F.concat(F.lit("SET LOCAL statement_timeout = "), F.col("k").cast("string")))
+         .otherwise(F.concat(F.lit("SHOW "), m)))
+    stats = (ev.withColumn("query", q).groupBy("env_id", "query")
+             .agg(F.count(F.lit(1)).alias("calls"), F.sum(F.col("duration_ms").cast("long")).alias("total_ms"),
+                  F.max("duration_ms").alias("max_ms")))
+    return stat_snapshot_scan(stats)
