@@ -133,3 +133,26 @@ def test_repeat_tracker_stream_equals_batch(spark, tmp_path):
     got = {r.seq: r.is_n1 for r in spark.sql("SELECT seq, is_n1 FROM rep_out").collect()}
     want = {r.seq: r.is_n1 for r in flag_repeats(df, ["key"], "5 seconds", 4).collect()}
     assert got == want and any(want.values())
+
+
+def test_sinks_partitioned_writes(spark, tmp_path):
+    from datetime import datetime
+
+    from vantage.streaming.ingest import write_table, write_traces
+
+    rows = [("t1", "env0", "sig-a", "tb 1", datetime(2024, 1, 1, 10)),
+            ("t1", "env0", "sig-a", "tb 2", datetime(2024, 1, 2, 11)),
+            ("t2", "env2", "sig-b", "tb 3", datetime(2024, 1, 2, 12))]
+    df = spark.createDataFrame(rows, "tenant_id string, env_id string, signature string, traceback string, "
+                                     "period timestamp")
+    traces = str(tmp_path / "traces")
+    write_traces(df, traces)
+    assert os.path.isdir(os.path.join(traces, "tenant_id=t1", "env_id=env0", "signature=sig-a"))
+    assert any(f.endswith(".gz") for _, _, fs in os.walk(traces) for f in fs)
+    assert spark.read.json(traces).count() == 3
+    table = str(tmp_path / "table")
+    write_table(df, table)
+    write_table(df, table)  # append
+    back = spark.read.parquet(table)
+    assert back.count() == 6 and {r.date.isoformat() for r in back.select("date").distinct().collect()} == {
+        "2024-01-01", "2024-01-02"}
