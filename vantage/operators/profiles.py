@@ -267,13 +267,14 @@ def frame_time(frames: DataFrame, samples: DataFrame, id_col: str = "profile_id"
     occ = s.select(id_col, "unit", F.explode("stack").alias("frame_idx"),
                    F.coalesce(F.col("weight"), F.lit(0.0)).alias("weight"))
     cf = frames.filter(is_compute_method(F.col("name")))
+    # name and file travel with the frame through one join
     j = occ.join(cf, [id_col, "frame_idx"])
-    per_unit = j.groupBy(id_col, "frame_idx", "unit").agg(F.sum("weight").alias("w"))
-    per_frame = (per_unit.withColumn("_ms", F.col("w") / F.when(F.lower(F.col("unit")) == "nanoseconds", F.lit(1e6))
-                                     .when(F.lower(F.col("unit")) == "microseconds", F.lit(1e3)).otherwise(F.lit(1.0)))
-                 .groupBy(id_col, "frame_idx").agg(F.sum("_ms").alias("_ms"))
-                 .withColumn("ms", F.floor(F.col("_ms")).cast("long")))
-    named = per_frame.join(cf, [id_col, "frame_idx"])
+    per_unit = j.groupBy(id_col, "frame_idx", "name", "file", "unit").agg(F.sum("weight").alias("w"))
+    scale = (F.when(F.lower(F.col("unit")) == "nanoseconds", F.lit(1e6))
+             .when(F.lower(F.col("unit")) == "microseconds", F.lit(1e3)).otherwise(F.lit(1.0)))
+    named = (per_unit.withColumn("_ms", F.col("w") / scale)
+             .groupBy(id_col, "frame_idx", "name", "file").agg(F.sum("_ms").alias("_ms"))
+             .withColumn("ms", F.floor(F.col("_ms")).cast("long")))
     dur = (s.select(id_col, "p_idx", "duration").distinct()
            .groupBy(id_col).agg(F.floor(F.sum("duration")).cast("long").alias("profile_duration_ms")))
     return (named.groupBy(id_col, "name")

@@ -32,6 +32,9 @@ REGISTRY: dict[str, Query] = {}
 def query(name: str, sql: str | None, ops: str = ""):
     def deco(fn: QueryFn) -> QueryFn:
         def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # event times are wall-clock (NTZ) values: every cast and window in
+            # the library assumes the session time zone is UTC
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return to_ntz(fn(spark, sf_dir))
         wrapped.__name__ = fn.__name__
         wrapped.__doc__ = fn.__doc__
