@@ -1,23 +1,24 @@
 """Server-log assembly and parsing (R1, R2, R3, C8-C11, SRC1).
 
 Lines arrive as (file, line_no, value).  R1 numbers entries with a running
-count of header lines per file (a rotated log file is the unit, so the window
-is bounded by the rotation size) and gathers each entry's continuation lines
-with one aggregate.
+count of header lines per file (bucketed by line number, so no file is sorted
+in one task) and gathers each entry's continuation lines with one aggregate.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vantage.functions import errors as fe
 from vantage.functions.sqltext import model_from_sql, parse_query_message, sql_method
+from vantage.operators.windows import running_sum_in_group
 
 # Fixed value: header layout "date time,ms pid LEVEL db logger: message".
 LOG_HEADER_PATTERN = (r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3})\s+(\d+)\s+"
                       r"(DEBUG|INFO|WARNING|ERROR|CRITICAL)\s+(\S+)\s+(\S+?):\s(.*)$")
 MAX_LINE = 1 << 20
+LINE_BUCKET = 1 << 20  # lines per bucket for running counts
 
 
 def parse_timestamp(s: Column) -> Column:
@@ -40,9 +41,13 @@ def assemble_entries(lines: DataFrame) -> DataFrame:
     """Header lines start entries, other lines append; lines before the
     first header are dropped.  Lines are capped at 1 MB."""
     v = F.substring(F.col("value"), 1, MAX_LINE)
-    d = lines.select("file", "line_no", v.alias("value")).withColumn("_h", F.col("value").rlike(LOG_HEADER_PATTERN))
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("entry", F.sum(F.col("_h").cast("int")).over(w)).filter(F.col("entry") > 0)
+    d = (lines.select("file", "line_no", v.alias("value"))
+         .withColumn("_h", F.col("value").rlike(LOG_HEADER_PATTERN)).withColumn("_hi", F.col("_h").cast("long")))
+    # entry id = running count of header lines; bucketed by line number so a
+    # large file is never sorted in one task
+    d = (running_sum_in_group(d, ["file"], ["line_no"], "_hi", ts_col="line_no", bucket=LINE_BUCKET,
+                              out_col="entry")
+         .drop("_hi").filter(F.col("entry") > 0))
     g = (d.groupBy("file", "entry")
          .agg(F.max(F.when(F.col("_h"), F.col("value"))).alias("header"),
               F.min(F.when(F.col("_h"), F.col("line_no"))).alias("line_no"),

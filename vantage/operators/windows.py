@@ -172,7 +172,12 @@ def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Col
     return cond
 
 
-def _bucketed(df: DataFrame, ts_col: str, bucket: str) -> DataFrame:
+def _bucketed(df: DataFrame, ts_col: str, bucket) -> DataFrame:
+    """Bucket by time (``bucket`` like '1 hour' on a timestamp column) or by
+    position (``bucket`` an int width on an integer column such as a line
+    number)."""
+    if isinstance(bucket, int):
+        return df.withColumn("_b", F.floor(F.col(ts_col) / F.lit(bucket)).cast("long"))
     return df.withColumn("_b", F.floor(F.unix_micros(F.col(ts_col)) / F.lit(interval_us(bucket))).cast("long"))
 
 
