@@ -50,3 +50,16 @@ def test_pull_since_and_stat_scan(spark):
     stats = spark.createDataFrame([("e", "SET x = 1", 9), ("e", "begin", 8), ("e", "SELECT 1", 5), ("e", "SELECT 2", 7)],
                                   "env_id string, query string, total_ms long")
     assert [r.query for r in stat_snapshot_scan(stats, top=1).collect()] == ["SELECT 2"]
+
+
+def test_breakdown_and_envelopes(spark):
+    from vantage.sources import json_batches as jb
+    df = spark.createDataFrame([('{"sql_ms": 200, "orm_ms": 300}',), ("oops",)], "a string")
+    r = df.select(jb.parse_breakdown(F.col("a")).alias("b")).collect()
+    assert r[0].b.sql_ms == 200 and r[0].b.functions == []
+    hb = one(spark, jb.parse_heartbeat(F.col("a")), '{"agent_version": "1.2", "status": "online"}')
+    assert hb.status == "online" and hb.metadata == "{}"
+    env = spark.createDataFrame([("e1", '{"lines": ["a", "b"]}'), ("e2", "bad"), ("e3", '{"lines": []}')],
+                                "env_id string, payload string")
+    rows = [(x.env_id, x.pos, x.line) for x in jb.log_line_rows(env).collect()]
+    assert rows == [("e1", 0, "a"), ("e1", 1, "b")]

@@ -68,3 +68,39 @@ def envelopes(stats: DataFrame, summary: DataFrame, window_ms: int) -> DataFrame
                            F.coalesce("orm_stats", F.array().cast(T.ArrayType(ORM_STAT))).alias("orm_stats"),
                            "summary")).alias("json"))
     return doc
+
+
+# ------------------------------------------------ breakdowns and envelopes
+
+BREAKDOWN = T.StructType([
+    T.StructField("sql_ms", T.LongType()), T.StructField("sql_count", T.LongType()),
+    T.StructField("orm_ms", T.LongType()), T.StructField("orm_count", T.LongType()),
+    T.StructField("python_ms", T.LongType()),
+    T.StructField("functions", T.ArrayType(T.StructType([
+        T.StructField("model", T.StringType()), T.StructField("method", T.StringType()),
+        T.StructField("category", T.StringType()), T.StructField("duration_ms", T.LongType()),
+        T.StructField("call_count", T.LongType()), T.StructField("pct", T.DoubleType())]))),
+])
+HEARTBEAT = T.StructType([T.StructField("agent_version", T.StringType()), T.StructField("status", T.StringType()),
+                          T.StructField("metadata", T.StringType())])
+LOG_LINES = T.StructType([T.StructField("lines", T.ArrayType(T.StringType()))])
+
+
+def parse_breakdown(json_col: Column) -> Column:
+    """Stored breakdown JSON -> typed struct; missing functions -> []."""
+    b = F.from_json(json_col, BREAKDOWN)
+    return b.withField("functions", F.coalesce(b["functions"], F.array().cast(BREAKDOWN["functions"].dataType)))
+
+
+def parse_heartbeat(json_col: Column) -> Column:
+    """Heartbeat envelope; missing metadata -> '{}'."""
+    h = F.from_json(json_col, HEARTBEAT)
+    return h.withField("metadata", F.coalesce(h["metadata"], F.lit("{}")))
+
+
+def log_line_rows(envelopes: DataFrame, json_col: str = "payload") -> DataFrame:
+    """Log-line envelopes -> one row per line with its position; empty or
+    malformed envelopes give no rows."""
+    p = F.from_json(F.col(json_col), LOG_LINES)
+    return envelopes.select("*", F.posexplode(F.coalesce(p["lines"], F.array().cast("array<string>")))
+                            .alias("pos", "line")).drop(json_col)
