@@ -13,8 +13,8 @@ import numpy as np
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; a batch holds whole texts, so it is kept small.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch; a batch holds whole texts, so it is kept small.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 #: Longest piece, in bytes, that is hashed at once (cut between words).
 SEGMENT = 1 << 20
 
@@ -24,8 +24,9 @@ _MASK = (1 << 64) - 1
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of ``BATCH_ROWS`` texts for the Python stages of this session."""
+    """Small Arrow batches for the Python stages of this session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def held_out(doc_id: Column) -> Column:
