@@ -10,10 +10,9 @@
 3. Projected gradient, distributed: a step needs the expected tokens of the
    domains only, one aggregate over (tokens, posteriors) with as many sums as there
    are domains.  The step that a document takes is a function of its posteriors
-   and of these sums, so rates are never stored or sent: they are the fold of the
-   past steps, ``max(0, rate - step . posteriors)``, evaluated in the plan.
-   Steps are scaled by the inverse of the domains' second moments, which makes
-   them as long as possible whatever the domains' sizes.
+   and of these sums, ``rate = max(0, rate - step . posteriors)``, evaluated in the
+   plan; rates are written every ``KEPT_STEPS`` steps.  Step lengths are spectral
+   (from the change of the gaps), or the safe one where the gap has grown.
 4. Whole copies are the rate's floor, and one more with the probability of its
    fraction, drawn by a hash of doc_id.
 
@@ -37,15 +36,35 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vantage.llm.language_id import features, largest
+from vantage.llm.language_id import largest
 from vantage.llm.text import lowered, small_batches, words
 from vantage.session import cut_lineage
 
-TRAIN_DOCS = 800
+TRAIN_DOCS = 600
+#: Hash bits of a feature, and bytes hashed at once.
+BITS, PIECE = 12, 1 << 18
+WIDTH = 1 << BITS
 #: Share of the tokens that each domain shall have.
-TARGETS = {"clean_high": 0.45, "clean_low": 0.5, "toxic_high": 0.01, "toxic_low": 0.04}
+TARGETS = {"clean_high": 0.85, "clean_low": 0.1, "toxic_high": 0.04, "toxic_low": 0.01}
 #: Projected gradient ends when no domain's share is off by more, or moves by less, than this.
-CLOSE, ROUNDS = 1e-7, 60
+CLOSE, ROUNDS = 1e-6, 48
+#: Steps that a rate is unfolded over before it is written.
+KEPT_STEPS = 8
+
+
+def features(text: str | None) -> tuple[int, np.ndarray]:
+    """(words, damped counts of hashed words and of hashed byte pairs, each of length 1)."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    _, _, h = words(lowered(text))
+    out = np.zeros((2, WIDTH), np.float32)
+    out[0] = np.bincount((h >> np.uint64(64 - BITS)).astype(np.int64), minlength=WIDTH)
+    for s in range(0, len(raw), PIECE):
+        a = np.frombuffer(raw[s : s + PIECE + 1], np.uint8).astype(np.uint32)
+        pair = (a[:-1] * np.uint32(256) + a[1:]) * np.uint32(2654435761)
+        out[1] += np.bincount(pair >> np.uint32(32 - BITS), minlength=WIDTH)
+    out = np.sqrt(out)
+    out /= np.maximum(np.sqrt((out**2).sum(axis=1, keepdims=True)), 1e-9)
+    return len(h), out.ravel()
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -57,7 +76,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _fit(x: np.ndarray, label: np.ndarray, k: int, prior: np.ndarray, rounds: int = 200, ridge: float = 1e-3) -> np.ndarray:
+def _fit(x: np.ndarray, label: np.ndarray, k: int, prior: np.ndarray, rounds: int = 200, ridge: float = 2e-5) -> np.ndarray:
     """Softmax regression by accelerated gradient steps, each class weighted as in ``prior``."""
     x = np.c_[x, np.ones(len(x), np.float32)].astype(np.float32)
     weight = (prior / np.bincount(label, minlength=k))[label].astype(np.float32)
@@ -88,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, np
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(d, f.tobytes()) for d, t in zip(pdf.domain, pdf.text, strict=True) if (f := features(t)) is not None]
+            rows = [(d, features(t)[1].tobytes()) for d, t in zip(pdf.domain, pdf.text, strict=True) if t]
             yield pd.DataFrame(rows, columns=["domain", "x"])
 
     rows = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # TRAIN_DOCS rows of each of four domains
@@ -113,14 +132,11 @@ def memberships(docs: DataFrame, domains: list[str], prior: np.ndarray, weights:
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         w = sent.value
         for texts in batches:
-            n, p = [], np.tile(prior, (len(texts), 1))
-            found = []
+            n, p = np.zeros(len(texts), np.int64), np.tile(prior, (len(texts), 1))
             for i, t in enumerate(texts):
-                n.append(len(words(lowered(t))[0]))
-                if k > 1 and (f := features(t)) is not None:
-                    found.append((i, f))
-            if found:
-                p[[i for i, _ in found]] = _softmax(np.array([f for _, f in found]) @ w[:-1] + w[-1])
+                n[i], f = features(t)
+                if n[i]:
+                    p[i] = _softmax((f @ w[:-1] + w[-1])[None, :])[0]
             yield pd.DataFrame({"n": n, "p": list(p)})
 
     out = docs.select("doc_id", *keep, judge(F.coalesce(F.col("text"), F.lit(""))).alias("j"))
@@ -128,58 +144,60 @@ def memberships(docs: DataFrame, domains: list[str], prior: np.ndarray, weights:
                       *[F.get("j.p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(domains)])
 
 
-def rate(steps: list[np.ndarray], domains: list[str]) -> Column:
-    """The rate after ``steps``: their fold over the posteriors, starting from 1."""
-    one = F.lit(1.0)
-    if not steps:
-        return one
-    past = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
+def moved(now: Column, step: np.ndarray, domains: list[str]) -> Column:
+    """One projected step of the rate ``now``."""
+    for x, d in zip(step, domains, strict=True):
+        now = now - F.lit(float(x)) * F.col(f"p_{d}")
+    return F.greatest(F.lit(0.0), now)
 
-    def move(now: Column, s: Column) -> Column:
-        for i, d in enumerate(domains):
-            now = now - s[i] * F.col(f"p_{d}")
-        return F.greatest(F.lit(0.0), now)
 
-    return F.aggregate(past, one, move)
-
-
-def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float]) -> tuple[list[np.ndarray], np.ndarray]:
-    """(steps of the projected gradient, reached shares) for ``members`` as ``memberships`` gives them."""
+def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float]) -> tuple[DataFrame, np.ndarray]:
+    """(``members`` with a column ``rate``, shares of the original tokens reached by each domain)."""
+    out = members.withColumn("rate", F.lit(1.0))
     k = len(domains)
     goal = np.array([targets.get(d, 0.0) for d in domains])
-    if not k or goal.sum() <= 0:
-        return [], np.zeros(k)
-    goal = goal / goal.sum()
     n, p = F.col("n_tokens").cast("double"), [F.col(f"p_{d}") for d in domains]
-    moments = [F.sum(n * p[i] * p[j]).alias(f"m_{i}_{j}") for i in range(k) for j in range(i, k)]
-    row = members.agg(F.sum(n).alias("n"), *moments).first()
-    if not row["n"]:
-        return [], np.zeros(k)
-    second = np.array([[row[f"m_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / row["n"]
-    scale = np.linalg.inv(second + 1e-9 * np.trace(second) * np.eye(k))
-    steps: list[np.ndarray] = []
-    share = np.zeros(k)
-    for _ in range(ROUNDS):
-        now = rate(steps, domains)
-        got = members.agg(*[F.sum(n * x * now).alias(f"t_{i}") for i, x in enumerate(p)]).first()
-        before, share = share, np.array([got[f"t_{i}"] for i in range(k)]) / row["n"]
-        if np.abs(share - goal).max() < CLOSE or np.abs(share - before).max() < CLOSE:
-            break
-        steps.append(np.round(scale @ (share - goal), 12))
-    return steps, share
+    total = members.agg(F.sum(n).alias("n")).first()["n"] if k and goal.sum() > 0 else None
+    if not total:
+        return out, np.zeros(k)
+    goal = goal / goal.sum()
+    row = members.agg(*[F.sum(n * p[i] * p[j]).alias(f"m_{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+    second = np.array([[row[f"m_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / total
+    safe = 1 / np.linalg.eigvalsh(second)[-1]
+    length, before, left, best = safe, None, 0, np.inf
+    rate = F.col("rate")
+    for turn in range(ROUNDS):
+        got = out.agg(*[F.sum(n * x * rate).alias(f"t_{i}") for i, x in enumerate(p)]).first()
+        share = np.array([got[f"t_{i}"] for i in range(k)]) / total
+        gap = share - goal
+        if before is not None:
+            change = gap - before
+            if np.abs(gap).max() < CLOSE or np.abs(change).max() < CLOSE:
+                break
+            # spectral step: the change of the gaps alone tells the curvature along the last step
+            curve = change @ second @ change
+            worse = gap @ gap > best
+            length = safe if worse or curve <= 0 else max(safe, float(change @ change / curve))
+        best = min(best, float(gap @ gap))
+        before = gap
+        rate = moved(rate, np.round(length * gap, 12), domains)
+        left += 1
+        if left == KEPT_STEPS:
+            out, rate, left = cut_lineage(out.withColumn("rate", rate)), F.col("rate"), 0
+    return out.withColumn("rate", rate), share
 
 
 def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ``keep``, n_tokens, domain (the likeliest), posterior columns, rate, copies of every row."""
     domains, prior, weights = train(docs, labels)
     members = cut_lineage(memberships(docs, domains, prior, weights, list(keep)))
-    steps, _ = fit_rates(members, domains, targets or TARGETS)
+    out, _ = fit_rates(members, domains, targets or TARGETS)
     posts = [F.col(f"p_{d}") for d in domains]
     domain = F.lit(None).cast("string")
     if domains:
         best = F.greatest(*posts) if len(posts) > 1 else posts[0]
         domain = F.coalesce(*[F.when(p == best, F.lit(d)) for d, p in zip(domains, posts, strict=True)])
-    out = members.withColumn("domain", domain).withColumn("rate", rate(steps, domains))
+    out = out.withColumn("domain", domain)
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(1 << 20)
     copies = (F.floor("rate") + (drawn < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
     return out.withColumn("copies", copies)
