@@ -64,6 +64,8 @@ def remember(spark: SparkSession, table: str, state: str) -> DataFrame:
     """Run the stream over the new files of ``table`` and return its state: digest, best, n."""
     keys = {"spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+            # a partition's share of the state can be small: do not allocate its files ahead
+            "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
             "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
             "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200"}
     before = {k: spark.conf.get(k, None) for k in keys}
