@@ -5,9 +5,9 @@ after it, or after ``WRAP`` words, so that a long paragraph is several lines.
 Lines are compared by their words (A-Z lower-cased); what stands between two
 words belongs to the line before, and a line without words is no line.
 
-1. Every run of ``WINDOW`` lines with ``MIN_WORDS`` words or more is hashed; a
-   document names each window hash once.
-2. A window is repeated if two documents name it: smallest and largest doc_id of
+1. Every run of ``WINDOW`` lines with ``MIN_WORDS`` words or more is hashed; it
+   goes with the doc_id.
+2. A window is repeated if two documents have it: smallest and largest doc_id of
    its hash differ (a map-side aggregate, no list of documents).
 3. A repeated window is removed everywhere but in the document with the smallest
    doc_id; inside one document every occurrence after the first goes too.
@@ -25,7 +25,7 @@ names.  Texts are read whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantage.llm.text import lowered, run_hashes, small_batches, words
+from vantage.llm.text import lowered, mix, run_hashes, small_batches, words
 
 WINDOW = 3
 #: Words after which a line is wrapped.
 WRAP = 16
 #: Windows of fewer words recur by chance and prove nothing.
 MIN_WORDS = 10
+#: Characters of texts that are cut into lines together (one longer text is a piece of its own).
+PIECE = 1 << 17
 _LAST = (1 << 63) - 1
 
 _SPACE = np.zeros(256, bool)
@@ -77,44 +79,87 @@ def windows(count: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, run_hashes(hashes, at, at + WINDOW).view(np.int64)
 
 
-def cut(text: str | None, gone: np.ndarray) -> tuple[str | None, int, int]:
-    """(text without covered lines, lines, lines removed); ``gone``: sorted hashes of
-    windows that stand in an earlier document."""
-    if not text:
-        return text, 0, 0
-    data = lowered(text)
+def pieces(texts: Iterable[str | None]) -> Iterator[list[str]]:
+    """The texts in lists of about ``PIECE`` characters; one array pass serves a list."""
+    piece, size = [], 0
+    for t in texts:
+        piece.append(t or "")
+        size += len(piece[-1])
+        if size > PIECE:
+            yield piece
+            piece, size = [], 0
+    if piece:
+        yield piece
+
+
+def _joined(texts: list[str]) -> tuple[bytes, np.ndarray]:
+    """All texts lower-cased in one, a line break between them, and where each begins (and the end)."""
+    datas = [lowered(t) for t in texts]
+    return b"\n".join([*datas, b""]), np.cumsum([0, *(len(d) + 1 for d in datas)])
+
+
+def _windows_of_all(data: bytes, begin: np.ndarray):
+    """(line starts, first line of each window, its hash, its text) over joined texts."""
     start, count, hashes = lines(data)
+    owner = np.searchsorted(begin, start, side="right") - 1
     at, h = windows(count, hashes)
+    inside = owner[at] == owner[at + WINDOW - 1] if len(at) else np.zeros(0, bool)
+    return start, owner, at[inside], h[inside]
+
+
+def cut_all(texts: list[str], gone: list[np.ndarray | None]) -> list[tuple[str, int, int]]:
+    """(text without covered lines, lines, lines removed) of each text; ``gone``: its windows
+    that stand in an earlier document."""
+    data, begin = _joined(texts)
+    start, owner, at, h = _windows_of_all(data, begin)
+    n_lines = np.bincount(owner, minlength=len(texts))
+    # later occurrences in the same text
     later = np.ones(len(h), bool)
-    later[np.unique(h, return_index=True)[1]] = False
-    if len(gone):
-        later |= gone[np.minimum(np.searchsorted(gone, h), len(gone) - 1)] == h
+    later[np.unique(mix(h.view(np.uint64) + mix(owner[at].astype(np.uint64))), return_index=True)[1]] = False
+    edge = np.searchsorted(owner[at], np.arange(len(texts) + 1))
+    for i, g in enumerate(gone):
+        if g is not None and len(g):
+            part = slice(edge[i], edge[i + 1])
+            later[part] |= np.isin(h[part], g)
     if not later.any():
-        return text, len(start), 0
+        return [(t, int(n), 0) for t, n in zip(texts, n_lines, strict=True)]
     covered = np.zeros(len(start) + 1, np.int64)
     np.add.at(covered, at[later], 1)
     np.add.at(covered, at[later] + WINDOW, -1)
     drop = np.cumsum(covered)[:-1] > 0
-    edge = np.append(start, len(data))
+    n_drop = np.bincount(owner[drop], minlength=len(texts))
+    line = np.searchsorted(owner, np.arange(len(texts) + 1))
+    out = []
+    for i, t in enumerate(texts):
+        if n_drop[i]:
+            t = _without(t, start[line[i] : line[i + 1]] - begin[i], drop[line[i] : line[i + 1]])
+        out.append((t, int(n_lines[i]), int(n_drop[i])))
+    return out
+
+
+def _without(text: str, start: np.ndarray, drop: np.ndarray) -> str:
+    """``text`` without the lines ``drop``; a line reaches to the first word of the next one."""
+    raw = text.encode("utf-8", "surrogatepass")
+    edge = np.append(start, len(raw))
     change = np.diff(drop.astype(np.int8), prepend=0, append=0)
-    raw, out, past = text.encode("utf-8", "surrogatepass"), [], 0
+    kept, past = [], 0
     for a, b in zip(edge[np.flatnonzero(change == 1)], edge[np.flatnonzero(change == -1)], strict=True):
-        out.append(raw[past:a])
+        kept.append(raw[past:a])
         past = b
-    return b"".join([*out, raw[past:]]).decode("utf-8", "surrogatepass"), len(start), int(drop.sum())
+    return b"".join([*kept, raw[past:]]).decode("utf-8", "surrogatepass")
 
 
 def window_rows(docs: DataFrame) -> DataFrame:
-    """(h, id): each window hash once for every document that has it."""
+    """(h, id): the window hashes of every document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = batch.column("id").to_numpy(), []
-            for text in batch.column("text"):
-                found.append(np.unique(windows(*lines(lowered(text.as_py()))[1:])[1]))
-            n = [len(f) for f in found]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(found or [np.zeros(0, np.int64)])), pa.array(np.repeat(ids, n))], names=["h", "id"])
+            ids, done = batch.column("id").to_numpy(), 0
+            for texts in pieces(batch.column("text").to_pylist()):
+                own = ids[done : done + len(texts)]
+                done += len(texts)
+                _, owner, at, h = _windows_of_all(*_joined(texts))
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(own[owner[at]])], names=["h", "id"])
 
     return (docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"),
                         F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -136,14 +181,18 @@ def _deduplicated(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("text string, n_lines long, n_removed long")
     def apply(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        none = np.zeros(0, np.int64)
         for texts, gone in batches:
-            yield pd.DataFrame([cut(t, none if g is None else np.asarray(g, np.int64))
-                                for t, g in zip(texts, gone, strict=True)], columns=["text", "n_lines", "n_removed"])
+            out, done = [], 0
+            for piece in pieces(texts):
+                some = gone.iloc[done : done + len(piece)]
+                done += len(piece)
+                out += cut_all(piece, [None if g is None else np.asarray(g, np.int64) for g in some])
+            yield pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
 
     gone = removals(docs)
     whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.struct("*").alias("doc"))
-    return whole.join(gone, "id", "left").select("doc", apply("doc.text", "gone").alias("cut"))
+    done = whole.join(gone, "id", "left").select("doc", apply("doc.text", "gone").alias("cut"))
+    return done.withColumn("cut", F.col("cut").withField("text", F.when(F.col("doc.text").isNotNull(), F.col("cut.text"))))
 
 
 def line_counts(docs: DataFrame) -> DataFrame:
