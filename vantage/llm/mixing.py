@@ -42,7 +42,7 @@ from vantage.session import cut_lineage
 
 TRAIN_DOCS = 600
 #: Hash bits of a feature, and bytes hashed at once.
-BITS, PIECE = 12, 1 << 18
+BITS, PIECE = 11, 1 << 18
 WIDTH = 1 << BITS
 #: Share of the tokens that each domain shall have.
 TARGETS = {"clean_high": 0.85, "clean_low": 0.1, "toxic_high": 0.04, "toxic_low": 0.01}
