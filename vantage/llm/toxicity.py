@@ -8,8 +8,8 @@
   weighted by ``DECAY`` to the length it spans in both strings; gaps cost, but do
   not hide a match.  Values are divided by the landmark's own value, so that a
   unit that contains the landmark scores 1 or little less.
-* Landmarks are units of the labelled texts: those whose document frequency
-  differs most between the classes, passing over near copies of one already taken.
+* Landmarks are units of the labelled texts: those whose documents are
+  toxic most surely more often than others, passing over near copies of one already taken.
 * A sentence is described by its best unit for each landmark, mapped by the
   inverse root of the landmarks' kernel matrix (Nystroem), and judged by a linear
   SVM that is trained on labelled sentences (each has its document's label).
@@ -45,6 +45,9 @@ from vantage.llm.text import held_out, small_batches
 TRAIN_DOCS = 2500
 #: Landmarks, and units considered for them.
 LANDMARKS, CANDIDATES = 48, 384
+#: Log likelihood ratio above which a unit's documents are toxic too often to be chance
+#: (some hundred thousand units are tried).
+EVIDENCE = 30.0
 #: Units this alike (normalised kernel) are not both landmarks.
 ALIKE = 0.75
 #: Share of a landmark's letter pairs that a unit must have to be compared at all.
@@ -55,7 +58,7 @@ DECAY, ORDER = 0.6, 3
 #: Letters of a unit that are compared at once; longer units are cut into overlapping windows.
 WINDOW = 32
 #: Units that a worker remembers; beyond it the memo starts anew.
-MEMO = 200_000
+MEMO = 300_000
 #: Characters of texts whose new units are compared together.
 PIECE_CHARS = 1 << 20
 THRESHOLD = 0.3
@@ -172,9 +175,9 @@ class Landmarks:
         at = {units[i]: i for i in np.flatnonzero(rows.max(axis=1, initial=0) >= FLOOR)}
         self.memo.update({t: rows[at[u]] if u in at else None for t, u in unit.items()})
 
-    def sentences(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
+    def sentences(self, texts: list[str], count_all: bool = True) -> list[tuple[np.ndarray, int]]:
         """For each text, the best similarities of every sentence that comes near a
-        landmark, and the number of all its sentences."""
+        landmark, and the number of all its sentences (unless ``count_all``, 0 where none comes near)."""
         lows = [joined(t) for t in texts]
         tokens = [set(low.split()) for low in lows]
         if len(self.memo) > MEMO:
@@ -184,23 +187,25 @@ class Landmarks:
         none, out, memo = np.zeros((0, len(self.words)), np.float32), [], self.memo
         for low, ts in zip(lows, tokens, strict=True):
             near = {t for t in ts if memo[t] is not None}
+            if not near and not count_all:
+                out.append((none, 0))
+                continue
             parts = [s for s in _SENTENCE.split(low) if s and not s.isspace()]
-            found = [np.max([memo[t] for t in hit], axis=0) for s in parts if (hit := near.intersection(s.split()))] \
-                if near else []
+            found = [np.max([memo[t] for t in hit], axis=0) for s in parts if (hit := near.intersection(s.split()))]
             out.append((np.array(found, np.float32) if found else none, len(parts)))
         return out
 
-    def batch(self, texts: Iterable[str]) -> Iterator[tuple[np.ndarray, int]]:
+    def batch(self, texts: Iterable[str], count_all: bool = True) -> Iterator[tuple[np.ndarray, int]]:
         """``sentences`` over pieces of a batch with about ``PIECE_CHARS`` characters each."""
         piece, size = [], 0
         for text in texts:
             piece.append(text or "")
             size += len(piece[-1])
             if size > PIECE_CHARS:
-                yield from self.sentences(piece)
+                yield from self.sentences(piece, count_all)
                 piece, size = [], 0
         if piece:
-            yield from self.sentences(piece)
+            yield from self.sentences(piece, count_all)
 
 
 def joined(text: str | None) -> str:
@@ -229,7 +234,7 @@ class Model:
         if not self.marks:
             return [self.prior for _ in texts]
         bias, out = self.weights[-1], []
-        for rows, n in self.marks.batch(texts):
+        for rows, n in self.marks.batch(texts, count_all=False):
             x = summarise(rows @ self.root @ self.weights[:-1] + bias if len(rows) else rows[:, 0], bias, n)
             out.append(float(1 / (1 + np.exp(-(x @ self.scale[:-1] + self.scale[-1])))))
         return out
@@ -309,10 +314,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return Model([], np.zeros((0, 0)), np.zeros(1), np.zeros(1), 1.0 if n.get(1) else 0.0)
-    a, b = F.col("bad") + 0.5, F.col("n") - F.col("bad") + 0.5
-    z = F.log(a / (n[1] + 1) / (b / (n[0] + 1))) / F.sqrt(1 / a + 1 / b)
+    # likelihood ratio of the unit's documents against the share of toxic ones
+    a, b, p = F.col("bad"), F.col("n") - F.col("bad"), n[1] / (n[0] + n[1])
+    part = lambda x, share: F.when(x > 0, x * F.log(x / (F.col("n") * share))).otherwise(0.0)
+    z = F.when(a > F.col("n") * p, 2 * (part(a, p) + part(b, 1 - p))).otherwise(0.0)
     best = (sample.mapInPandas(units, "unit string, toxic int").groupBy("unit")
-            .agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).filter("n >= 3")
+            .agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).filter(z >= EVIDENCE)
             .orderBy(F.desc(z), "unit").limit(CANDIDATES).collect())
     words = choose_landmarks([r["unit"] for r in best])
     if not words:
