@@ -12,7 +12,7 @@
    are domains.  The step that a document takes is a function of its posteriors
    and of these sums, ``rate = max(0, rate - step . posteriors)``, evaluated in the
    plan; rates are written every ``KEPT_STEPS`` steps.  Step lengths are spectral
-   (from the change of the gaps), or the safe one where the gap has grown.
+   (from the last step's change of the gaps), or the safe one where the gap has grown.
 4. Whole copies are the rate's floor, and one more with the probability of its
    fraction, drawn by a hash of doc_id.
 
@@ -135,7 +135,7 @@ def memberships(docs: DataFrame, domains: list[str], prior: np.ndarray, weights:
             n, p = np.zeros(len(texts), np.int64), np.tile(prior, (len(texts), 1))
             for i, t in enumerate(texts):
                 n[i], f = features(t)
-                if n[i]:
+                if n[i] and k > 1:
                     p[i] = _softmax((f @ w[:-1] + w[-1])[None, :])[0]
             yield pd.DataFrame({"n": n, "p": list(p)})
 
@@ -172,12 +172,10 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float])
         gap = share - goal
         if before is not None:
             change = gap - before
-            if np.abs(gap).max() < CLOSE or np.abs(change).max() < CLOSE:
+            if np.abs(gap).max() < CLOSE or np.abs(change).max() < CLOSE / 100:
                 break
-            # spectral step: the change of the gaps alone tells the curvature along the last step
-            curve = change @ second @ change
-            worse = gap @ gap > best
-            length = safe if worse or curve <= 0 else max(safe, float(change @ change / curve))
+            # spectral step: how far the last step moved the rates against how far it moved the gaps
+            length = safe if gap @ gap > 2 * best else max(safe, float(length**2 * (before @ second @ before) / (change @ change)))
         best = min(best, float(gap @ gap))
         before = gap
         rate = moved(rate, np.round(length * gap, 12), domains)
