@@ -3,7 +3,7 @@
 On a cluster the session is created by the platform; ``get_spark`` only fills
 in settings that are unset.  ``checkpoint_dir`` reads ``spark.checkpoint.dir``
 from the session and only invents a local one when nothing is configured
-(tests on local mode).
+and the master is local (tests).
 """
 
 from __future__ import annotations
@@ -43,16 +43,17 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
-    Uses the cluster's ``spark.checkpoint.dir``; only when it is unset (local
-    tests) a scratch folder is created and registered.
+    Uses the cluster's ``spark.checkpoint.dir``.  Where it is unset, a scratch
+    folder is made on ``local[*]`` only (tests); a cluster without a shared folder
+    is an error, since executors cannot see the driver's own disk.
     """
     conf = spark.sparkContext.getConf()
     d = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    d = d or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder")
         d = tempfile.mkdtemp(prefix="vantage-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return spark.sparkContext.getCheckpointDir() or d
 
