@@ -17,9 +17,9 @@ def impact_score(total_ms, occurrences, peak_calls) -> Column:
     Computed in integer hundredths so Spark and other engines round the same
     value: ms*occ*factor/10 with factor in halves -> (ms*occ*f2 + 10) div 20.
     """
-    ms, occ, peak = _c(total_ms).cast("long"), _c(occurrences).cast("long"), _c(peak_calls)
+    ms, occ, peak = _c(total_ms).cast("decimal(19,0)"), _c(occurrences).cast("decimal(18,0)"), _c(peak_calls)
     f2 = F.when(peak > 100, F.lit(4)).when(peak > 50, F.lit(3)).otherwise(F.lit(2))  # factor * 2
-    num = ms * occ * f2  # score*100 = num/20
+    num = (ms * occ).cast("decimal(37,0)") * f2.cast("decimal(1,0)")  # score*100 = num/20, beyond 64 bits
     hundredths = F.floor((num + 10) / F.lit(20))  # round half up of num/20
     return (F.when((ms == 0) | (occ == 0), F.lit(0.0))
             .otherwise(hundredths.cast("double") / 100.0))

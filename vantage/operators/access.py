@@ -48,6 +48,8 @@ def group_closure(edges: DataFrame, src: str = "group_id", dst: str = "implied_i
         if new.isEmpty():
             break
         known = cut_lineage(known.unionByName(new))
+    else:
+        raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
     return known.select(F.col("a").alias(src), F.col("b").alias(dst))
 
 
@@ -215,7 +217,8 @@ def _cmp(a: Val, b: Val, op: str) -> Column:
 def _like(a: Val, pattern, ci: bool) -> Column:
     if a.kind != "str" or not isinstance(pattern, str):
         return F.lit(False)
-    return a.col.ilike(pattern) if ci else a.col.like(pattern)
+    plain = pattern.replace("\\", "\\\\")  # a backslash escapes nothing
+    return a.col.ilike(plain) if ci else a.col.like(plain)
 
 
 def compile_domain(tree, fields: dict[str, Val], refs: dict[str, Val]) -> Column:
@@ -229,16 +232,18 @@ def compile_domain(tree, fields: dict[str, Val], refs: dict[str, Val]) -> Column
         a, b = compile_domain(tree[1], fields, refs), compile_domain(tree[2], fields, refs)
         return (a & b) if kind == "&" else (a | b)
     _, field, op, value = tree
-    if op in ("child_of", "parent_of"):
-        return F.lit(True)
     if not isinstance(field, str) or field not in fields:
         return F.lit(False)          # missing field: condition false
+    if op in ("child_of", "parent_of"):
+        return F.lit(True)
     a = fields[field]
     if isinstance(value, Ref):
         if value.name not in refs:
             return F.lit(False)      # unresolvable reference
         b = refs[value.name]
     elif isinstance(value, (list, tuple)):
+        if any(isinstance(x, Ref) and x.name not in refs for x in value):
+            return F.lit(False)      # unresolvable reference inside a list
         b = None
     else:
         try:

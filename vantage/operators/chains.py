@@ -82,6 +82,8 @@ def greedy_chain(df: DataFrame, keys: Sequence[str], ts_col: str, seq_col: str |
         kept, size = grown, grown_size
         j2 = jump.alias("x").join(jump.alias("y"), F.col("x.b") == F.col("y.a"), "left")
         jump = cut_lineage(j2.select(F.col("x.a").alias("a"), F.col("y.b").alias("b")))
+    else:
+        raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
     flagged = kept.select(F.col("a").alias("node"), F.lit(True).alias(out_col))
     return (base.withColumn("node", _node(keys)).join(flagged, "node", "left")
             .withColumn(out_col, F.coalesce(F.col(out_col), F.lit(False)))

@@ -26,7 +26,7 @@ def n1_pattern_summary(stats: DataFrame, since=None) -> DataFrame:
                  F.sum("call_count").alias("total_calls"),
                  F.max("call_count").alias("peak_calls"),
                  F.sum("total_ms").alias("total_duration_ms"),
-                 F.max("max_ms").alias("peak_ms"),
+                 F.max("total_ms").alias("peak_ms"),
                  F.min("period").alias("first_seen"),
                  F.max("period").alias("last_seen"),
                  F.max_by("sample_sql", F.struct("call_count", "period")).alias("sample_sql"))
@@ -37,15 +37,15 @@ def n1_pattern_summary(stats: DataFrame, since=None) -> DataFrame:
 def score_patterns(patterns: DataFrame, enrichment: DataFrame | None = None) -> DataFrame:
     """C2-C4 + J8: impact score, severity, suggestion, signature.
 
-    ``enrichment`` (model, method, sample_sql, signature) from recordings is
+    ``enrichment`` (env_id, model, method, sample_sql, signature) from recordings is
     left-joined: it fills an empty sample SQL and supplies the signature; else
     the signature is the normalised sample SQL.
     """
     p = patterns
     if enrichment is not None:
-        e = enrichment.select("model", "method", F.col("sample_sql").alias("_e_sql"),
+        e = enrichment.select("env_id", "model", "method", F.col("sample_sql").alias("_e_sql"),
                               F.col("signature").alias("_e_sig"), F.lit(True).alias("_e_hit"))
-        p = (p.join(e, ["model", "method"], "left")
+        p = (p.join(e, ["env_id", "model", "method"], "left")
              .withColumn("sample_sql", F.when(F.coalesce(F.col("sample_sql"), F.lit("")) == "", F.col("_e_sql"))
                          .otherwise(F.col("sample_sql")))
              .withColumn("signature", F.when(F.col("_e_hit"), F.col("_e_sig"))
@@ -86,18 +86,18 @@ def n1_timeline(stats: DataFrame, since=None, limit: int = 100) -> DataFrame:
     return per.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit).drop("_rn")
 
 
-def n1_summary(ranked: DataFrame) -> DataFrame:
-    """Per env over the listed patterns: count, wasted ms, critical / high
+def n1_summary(scored: DataFrame) -> DataFrame:
+    """Per env over all patterns: count, wasted ms, critical / high
     counts, top (model, method) = first pattern in list order with the highest
     score (a zero best score leaves it empty)."""
-    top_key = F.struct(F.col("impact_score"), (-F.col("rank")).alias("neg_rank"))
-    return (ranked.groupBy("env_id")
+    first = F.struct((-F.col("impact_score")).alias("s"), (-F.col("total_duration_ms")).alias("t"), "model", "method")
+    return (scored.groupBy("env_id")
             .agg(F.count(F.lit(1)).alias("total_patterns"),
                  F.sum("total_duration_ms").alias("total_wasted_ms"),
                  F.count_if(F.col("severity") == "critical").alias("critical_count"),
                  F.count_if(F.col("severity") == "high").alias("high_count"),
                  F.max("impact_score").alias("_top_score"),
-                 F.max_by(F.struct("model", "method"), top_key).alias("_top"))
+                 F.min(first).alias("_top"))
             .withColumn("top_model", F.when(F.col("_top_score") > 0, F.col("_top.model")).otherwise(F.lit("")))
             .withColumn("top_method", F.when(F.col("_top_score") > 0, F.col("_top.method")).otherwise(F.lit("")))
             .drop("_top", "_top_score"))

@@ -70,7 +70,7 @@ def waterfall_spans(events: DataFrame, rec_keys: Sequence[str], bucket: str = "1
         F.floor((F.unix_micros("ts") - F.col("_first_us")) / 1000).cast("long").alias("start_ms"),
         "model", "method", "module",
         cut_text(F.coalesce(F.col("sql"), F.lit("")), 200, "...").alias("sql"),
-        "is_n1", "is_error", "seq")
+        "is_n1", "is_error", "seq", F.coalesce(F.col("sql"), F.lit("")).alias("full_sql"))
 
 
 def waterfall_lanes(spans: DataFrame, rec_keys: Sequence[str]) -> DataFrame:
@@ -99,7 +99,7 @@ def waterfall_summary(spans: DataFrame, rec_keys: Sequence[str]) -> DataFrame:
                  F.count_if(cat == "sql").alias("sql_count"),
                  F.sum(F.when(cat == "orm", ms).otherwise(0)).alias("orm_ms"),
                  F.count_if(cat == "orm").alias("orm_count"),
-                 F.sum(F.when(cat.isin("python", "profiler"), ms).otherwise(0)).alias("python_ms"),
+                 F.sum(F.when(cat == "python", ms).otherwise(0)).alias("python_ms"),
                  F.count_if(F.col("is_n1")).alias("n1_count"),
                  F.sum(F.when(F.col("is_n1"), ms).otherwise(0)).alias("n1_ms"),
                  F.count_if(F.col("is_error")).alias("error_count"),
@@ -111,12 +111,12 @@ def waterfall_summary(spans: DataFrame, rec_keys: Sequence[str]) -> DataFrame:
 
 def recording_patterns(spans: DataFrame, rec_keys: Sequence[str]) -> DataFrame:
     """N+1 patterns of each recording: per (model, method) count, ms and
-    the SQL of the first flagged span."""
+    the whole SQL of the first flagged span."""
     rec_keys = list(rec_keys)
     return (spans.filter(F.col("is_n1"))
             .groupBy(*rec_keys, "model", "method")
             .agg(F.count(F.lit(1)).alias("count"), F.sum(F.col("ms").cast("long")).alias("total_ms"),
-                 F.min_by("sql", F.col("pos")).alias("sql")))
+                 F.min_by("full_sql", F.col("pos")).alias("sql")))
 
 
 # ------------------------------------------------------------ compute chains

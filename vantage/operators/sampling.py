@@ -29,7 +29,7 @@ def presets(spark: SparkSession) -> DataFrame:
 
 def draw(seq) -> F.Column:
     """Repeatable uniform draw in [0, 1e6) from an event id."""
-    return F.pmod(F.col(seq).cast("long") * DRAW_MULT, F.lit(DRAW_MOD))
+    return F.pmod(F.pmod(F.col(seq).cast("long"), F.lit(DRAW_MOD)) * DRAW_MULT, F.lit(DRAW_MOD))  # no overflow for any id
 
 
 def allow(events: DataFrame, config: DataFrame) -> DataFrame:

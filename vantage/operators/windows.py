@@ -97,7 +97,7 @@ def counter_deltas(snap: DataFrame, keys: Sequence[str], poll_col: str = "poll_s
          .withColumn("delta_calls", (F.col(calls_col) - F.col("_pc")).cast("long"))
          .filter(F.col("delta_calls") > 0)
          .withColumn("delta_ms", F.col(total_col) - F.col("_pt")))
-    avg = F.floor(F.col("delta_ms") / F.col("delta_calls")).cast("int")
+    avg = (F.col("delta_ms") / F.col("delta_calls")).cast("int")  # towards zero
     return (d.withColumn("avg_ms", avg)
             .withColumn("duration_ms", F.when(F.col("avg_ms") == 0, F.col(max_col).cast("int"))
                         .otherwise(F.col("avg_ms")))

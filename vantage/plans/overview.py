@@ -49,7 +49,7 @@ r_agg AS (SELECT env_id, count(DISTINCT period) AS recordings,
           FROM (SELECT env_id, make_timestamp(epoch_us(ts) // 3600000000 * 3600000000) AS period, is_n1
                 FROM n1 WHERE category IN ('profiler', 'orm', 'sql')) GROUP BY 1),
 p_agg AS (SELECT env_id, count(*) AS n1_patterns, count(*) FILTER (WHERE severity = 'critical') AS n1_critical
-          FROM ranked GROUP BY 1),
+          FROM sev GROUP BY 1),
 b_agg AS (SELECT env_id, count(*) FILTER (WHERE breach) AS budget_breaches FROM samples GROUP BY 1),
 bd AS (SELECT env_id, count(*) AS budgets_total, count(*) FILTER (WHERE is_active) AS budgets_active
        FROM bud GROUP BY 1)
@@ -62,7 +62,7 @@ FROM envs LEFT JOIN e_agg USING (env_id) LEFT JOIN r_agg USING (env_id) LEFT JOI
 LEFT JOIN b_agg USING (env_id) LEFT JOIN bd USING (env_id)""")
 
 
-@query("overview", _OVERVIEW_SQL, ops="A24 A6 J4")
+@query("overview", _OVERVIEW_SQL, ops="A24 J4")
 def q_overview(spark, sf_dir):
     ev = pt.flagged_events(spark, sf_dir)
     envs = ev.select("env_id").distinct()
@@ -78,8 +78,8 @@ def q_overview(spark, sf_dir):
              .groupBy("env_id").agg(F.count(F.lit(1)).alias("recordings"),
                                     F.count_if("has_n1").alias("recordings_with_n1")))
     stats = pt.st.window_stats(ev, pt.STATS_WINDOW)
-    ranked = n1ops.rank_patterns(n1ops.score_patterns(n1ops.n1_pattern_summary(stats)), pt.PATTERN_LIMIT)
-    p_agg = ranked.groupBy("env_id").agg(F.count(F.lit(1)).alias("n1_patterns"),
+    scored = n1ops.score_patterns(n1ops.n1_pattern_summary(stats))
+    p_agg = scored.groupBy("env_id").agg(F.count(F.lit(1)).alias("n1_patterns"),
                                          F.count_if(F.col("severity") == "critical").alias("n1_critical"))
     samples = bo.overhead_samples(bo.module_stats(bo.batches(ev, pb.BATCH_WINDOW)), pb.budgets(spark, sf_dir))
     b_agg = samples.groupBy("env_id").agg(F.count_if("breach").alias("budget_breaches"))

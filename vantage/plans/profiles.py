@@ -50,13 +50,13 @@ spans AS (
          (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY env_id, period)) // 1000 AS start_ms,
          model, method, module,
          CASE WHEN length(coalesce(sql, '')) > 200 THEN substr(sql, 1, 200) || '...' ELSE coalesce(sql, '') END AS sql,
-         is_n1, is_error, seq
+         is_n1, is_error, seq, coalesce(sql, '') AS full_sql
   FROM be)"""
 
 
-@query("waterfall_spans", _REC_SQL + "\nSELECT * FROM spans", ops="R16 W8 W12 C18 C19 N3")
+@query("waterfall_spans", _REC_SQL + "\nSELECT * EXCLUDE (full_sql) FROM spans", ops="R16 W8 W12 C18 C19")
 def q_waterfall_spans(spark, sf_dir):
-    return spans(spark, sf_dir)
+    return spans(spark, sf_dir).drop("full_sql")
 
 
 @query("waterfall_lanes", _REC_SQL + """,
@@ -79,7 +79,7 @@ SELECT env_id, period, CAST(sum(ms) AS BIGINT) AS total_ms, count(*) AS span_cou
        count(*) FILTER (WHERE category = 'sql') AS sql_count,
        CAST(sum(CASE WHEN category = 'orm' THEN ms ELSE 0 END) AS BIGINT) AS orm_ms,
        count(*) FILTER (WHERE category = 'orm') AS orm_count,
-       CAST(sum(CASE WHEN category IN ('python', 'profiler') THEN ms ELSE 0 END) AS BIGINT) AS python_ms,
+       CAST(sum(CASE WHEN category = 'python' THEN ms ELSE 0 END) AS BIGINT) AS python_ms,
        count(*) FILTER (WHERE is_n1) AS n1_count,
        CAST(sum(CASE WHEN is_n1 THEN ms ELSE 0 END) AS BIGINT) AS n1_ms,
        count(*) FILTER (WHERE is_error) AS error_count,
@@ -92,8 +92,8 @@ def q_waterfall_summary(spark, sf_dir):
 
 @query("recording_patterns", _REC_SQL + """
 SELECT env_id, period, model, method, count(*) AS count, CAST(sum(ms) AS BIGINT) AS total_ms,
-       first(sql ORDER BY pos) AS sql
-FROM spans WHERE is_n1 GROUP BY ALL""", ops="A17 F6")
+       first(full_sql ORDER BY pos) AS sql
+FROM spans WHERE is_n1 GROUP BY ALL""", ops="A17")
 def q_recording_patterns(spark, sf_dir):
     return po.recording_patterns(spans(spark, sf_dir), REC)
 

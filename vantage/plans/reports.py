@@ -24,7 +24,7 @@ SEARCH_TERM = "account"
 
 @query("n1_recording_merge", pp._REC_SQL + f""",
 pat AS (SELECT env_id, period, model, method, count(*) AS cnt, CAST(sum(ms) AS BIGINT) AS total_ms,
-               first(sql ORDER BY pos) AS sql
+               first(full_sql ORDER BY pos) AS sql
         FROM spans WHERE is_n1 GROUP BY ALL),
 rec AS (SELECT env_id, period FROM (
           SELECT env_id, period, row_number() OVER (PARTITION BY env_id ORDER BY period DESC) AS rn

@@ -171,9 +171,9 @@ l AS (SELECT *, lag(poll_seq) OVER w AS pp, lag(calls) OVER w AS pc, lag(total_m
 d AS (SELECT *, calls - pc AS delta_calls, total_ms - pt AS delta_ms FROM l
       WHERE pp IS NOT NULL AND poll_seq - pp = 1 AND calls - pc > 0)
 SELECT o_custkey, o_orderkey, poll_seq, delta_calls, delta_ms,
-       CAST(floor(delta_ms / delta_calls) AS INTEGER) AS avg_ms,
-       CASE WHEN CAST(floor(delta_ms / delta_calls) AS INTEGER) = 0 THEN CAST(trunc(max_ms) AS INTEGER)
-            ELSE CAST(floor(delta_ms / delta_calls) AS INTEGER) END AS duration_ms
+       CAST(trunc(delta_ms / delta_calls) AS INTEGER) AS avg_ms,
+       CASE WHEN CAST(trunc(delta_ms / delta_calls) AS INTEGER) = 0 THEN CAST(trunc(max_ms) AS INTEGER)
+            ELSE CAST(trunc(delta_ms / delta_calls) AS INTEGER) END AS duration_ms
 FROM d""", ops="W2 J16 S4(batch)")
 def q_counter_delta(spark, sf_dir):
     o = _orders(spark, sf_dir)
@@ -188,7 +188,7 @@ def q_counter_delta(spark, sf_dir):
          .withColumn("delta_calls", F.col("calls") - F.col("prev_calls"))
          .filter(F.col("delta_calls") > 0)
          .withColumn("delta_ms", F.col("total_ms") - F.col("prev_total_ms")))
-    avg = F.floor(F.col("delta_ms") / F.col("delta_calls")).cast("int")
+    avg = (F.col("delta_ms") / F.col("delta_calls")).cast("int")  # towards zero
     return d.select("o_custkey", "o_orderkey", "poll_seq", "delta_calls", "delta_ms", avg.alias("avg_ms"),
                     F.when(avg == 0, F.col("max_ms").cast("int")).otherwise(avg).alias("duration_ms"))
 

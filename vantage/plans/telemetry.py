@@ -33,9 +33,12 @@ def orm_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.window_stats(flagged_events(spark, sf_dir), STATS_WINDOW)
 
 
-def ranked_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = orm_stats(spark, sf_dir)
-    return n1ops.rank_patterns(n1ops.score_patterns(n1ops.n1_pattern_summary(stats)), PATTERN_LIMIT)
+def scored_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return n1ops.score_patterns(n1ops.n1_pattern_summary(orm_stats(spark, sf_dir)))
+
+
+def ranked_patterns(spark: SparkSession, sf_dir: str, limit: int = PATTERN_LIMIT) -> DataFrame:
+    return n1ops.rank_patterns(scored_patterns(spark, sf_dir), limit)
 
 
 # ---------------------------------------------------------------- DuckDB twins
@@ -98,7 +101,7 @@ pat AS (
          CAST(sum(call_count) AS BIGINT) AS total_calls,
          max(call_count) AS peak_calls,
          CAST(sum(total_ms) AS BIGINT) AS total_duration_ms,
-         max(max_ms) AS peak_ms,
+         max(total_ms) AS peak_ms,
          min(period) AS first_seen,
          max(period) AS last_seen,
          first(sample_sql ORDER BY call_count DESC, period DESC) AS sample_sql,
@@ -186,11 +189,11 @@ def q_n1_timeline(spark, sf_dir):
 SELECT env_id, count(*) AS total_patterns, CAST(sum(total_duration_ms) AS BIGINT) AS total_wasted_ms,
        count(*) FILTER (WHERE severity = 'critical') AS critical_count,
        count(*) FILTER (WHERE severity = 'high') AS high_count,
-       CASE WHEN max(impact_score) > 0 THEN first(model ORDER BY impact_score DESC, rank) ELSE '' END AS top_model,
-       CASE WHEN max(impact_score) > 0 THEN first(method ORDER BY impact_score DESC, rank) ELSE '' END AS top_method
-FROM ranked GROUP BY 1""", ops="A23")
+       CASE WHEN max(impact_score) > 0 THEN first(model ORDER BY impact_score DESC, total_duration_ms DESC, model, method) ELSE '' END AS top_model,
+       CASE WHEN max(impact_score) > 0 THEN first(method ORDER BY impact_score DESC, total_duration_ms DESC, model, method) ELSE '' END AS top_method
+FROM sev GROUP BY 1""", ops="A23")
 def q_n1_summary(spark, sf_dir):
-    return n1ops.n1_summary(ranked_patterns(spark, sf_dir))
+    return n1ops.n1_summary(scored_patterns(spark, sf_dir))
 
 
 @query("stats_rollup", WITH_STATS + """

@@ -78,7 +78,7 @@ class CounterDeltaProcessor(StatefulProcessor):
                 dc = int(r.calls) - int(prev[1])
                 if dc > 0:
                     dm = float(r.total_ms) - float(prev[2])
-                    avg = int(dm // dc)
+                    avg = int(dm / dc)  # towards zero
                     out.append({**r._asdict(), "delta_calls": dc, "delta_ms": dm, "avg_ms": avg,
                                 "duration_ms": int(r.max_ms) if avg == 0 else avg})
             prev = (int(r.poll_seq), int(r.calls), float(r.total_ms))
