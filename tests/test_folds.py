@@ -99,14 +99,14 @@ def test_greedy_chain_matches_fold_on_dense_keys(spark):
     assert got == want
 
 
-def test_cooldown_hybrid_routes_hot_keys(spark):
+def test_cooldown_with_a_hot_key(spark):
     rnd = random.Random(4)
     rows, t = [], datetime(2024, 1, 1)
     for i in range(600):
         t += timedelta(minutes=rnd.choice([1, 4, 9, 13]))
         rows.append(("hot" if i % 4 else "cold", t, i))
     df = spark.createDataFrame(rows, "key string, ts timestamp, seq long")
-    got = {r.seq for r in bo.cooldown_fold(df, ["key"], "ts", "10 minutes", hot_key_rows=200).collect()}
+    got = {r.seq for r in bo.cooldown_fold(df, ["key"], "ts", "10 minutes").collect()}
     want = {r.seq for r in bo.cooldown_fold_local(df, ["key"], "ts", "10 minutes").collect()}
     assert got == want
 
@@ -120,9 +120,21 @@ def test_login_lockout_distributed_equals_fold(spark):
         rows.append((ident, i, t, rnd.random() < 0.08))
     df = spark.createDataFrame(rows, "identifier string, seq long, ts timestamp, success boolean")
     cols = ["identifier", "seq", "attempt", "locked", "locked_until"]
-    got = {tuple(r) for r in to.login_lockout_distributed(df, "15 minutes", 5, "30 minutes").select(*cols).collect()}
+    got = {tuple(r) for r in to.login_lockout(df, "15 minutes", 5, "30 minutes").select(*cols).collect()}
     want = {tuple(r) for r in to.login_lockout_local(df, "15 minutes", 5, "30 minutes").select(*cols).collect()}
     assert got == want
-    hybrid = {tuple(r) for r in to.login_lockout(df, "15 minutes", 5, "30 minutes", hot_key_rows=100)
-              .select(*cols).collect()}
-    assert hybrid == want
+
+
+def test_chains_with_ties_and_null_keys(spark):
+    import datetime as dt
+
+    t0 = dt.datetime(2024, 1, 1)
+    offs = [0, 0, 30, 900, 900, 905, 1500]
+    rows = [(k, t0 + dt.timedelta(seconds=s), i) for k in ("a", None) for i, s in enumerate(offs)]
+    df = spark.createDataFrame(rows, "key string, ts timestamp, seq long")
+    got = sorted((r.key or "", r.seq) for r in bo.cooldown_fold(df, ["key"], "ts", "10 minutes").collect())
+    assert got == sorted((k, s) for k in ("a", "") for s in (0, 3, 6))
+    tries = spark.createDataFrame([(k, i, t, i == 4) for k, t, i in rows], "identifier string, seq long, ts timestamp, success boolean")
+    one = {tuple(r) for r in to.login_lockout(tries, "15 minutes", 2, "30 minutes").collect()}
+    assert one == {tuple(r) for r in to.login_lockout_local(tries.filter("identifier = 'a'"), "15 minutes", 2, "30 minutes").collect()} | {
+        (None, *r[1:]) for r in one if r[0] == "a"}

@@ -103,30 +103,22 @@ def tenths_text(part, total):
     return F.concat((F.floor(q2 / 10)).cast("long").cast("string"), F.lit("."), (q2 % 10).cast("string"))
 
 
-HOT_KEY_ROWS = 50_000
-
-
-def cooldown_fold(breaches: DataFrame, keys: Sequence[str], ts_col: str, cooldown: str,
-                  hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
+def cooldown_fold(breaches: DataFrame, keys: Sequence[str], ts_col: str, cooldown: str) -> DataFrame:
     """Keep a breach unless one was kept for the same key less than
     ``cooldown`` earlier; suppressed breaches do not extend the gap.
 
-    Greedy and order-dependent.  Keys are split by size (one partial count per
-    key): keys with at most ``hot_key_rows`` rows run the sorted fold per key
-    (``applyInPandas``, bounded input per task); hot keys run the exact
-    pointer-doubling chain of ``operators.chains``, which never gathers a key
-    into one task.  Rows must be unique per (keys, ts)."""
+    Greedy and order-dependent; every key runs the pointer-doubling chain of
+    ``operators.chains``, which never gathers a key into one task.  Of breaches
+    at one time only the first, by its other columns, can be kept; rows with
+    NULL keys are a key of their own."""
     from vantage.operators.chains import greedy_chain
     keys = list(keys)
-    sizes = breaches.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot_keys = sizes.filter(F.col("_n") > hot_key_rows).select(*keys)
-    small = breaches.join(sizes.filter(F.col("_n") <= hot_key_rows).select(*keys), keys, "left_semi")
-    out = cooldown_fold_local(small, keys, ts_col, cooldown)
-    if not hot_keys.isEmpty():  # a control decision on a per-key count, no data reaches the driver
-        hot = breaches.join(hot_keys, keys, "left_semi")
-        chained = greedy_chain(hot, keys, ts_col, None, cooldown, out_col="_kept").filter("_kept").drop("_kept")
-        out = out.unionByName(chained.select(*breaches.columns))
-    return out
+    rest = [c for c in breaches.columns if c not in (*keys, ts_col)]
+    one = (breaches.groupBy(F.struct(*keys).alias("_k"), F.col(ts_col))
+           .agg(F.min(F.struct(*rest) if rest else F.struct(F.lit(0))).alias("_row")))
+    kept = greedy_chain(one, ["_k"], ts_col, None, cooldown, out_col="_kept").filter("_kept")
+    place = {k: f"_k.{k}" for k in keys} | {c: f"_row.{c}" for c in rest} | {ts_col: ts_col}
+    return kept.select(*[F.col(place[c]).alias(c) for c in breaches.columns])
 
 
 def cooldown_fold_local(breaches: DataFrame, keys: Sequence[str], ts_col: str, cooldown: str) -> DataFrame:

@@ -10,7 +10,8 @@ but it is a path in the forest of "next" pointers:
    first event of a later non-empty bucket (found on the per-bucket summary,
    one row per non-empty bucket).  Partitions hold at most two buckets of one
    key, or one key's bucket summaries, so a hot key is spread over time.
-2. The kept events are ``head, next(head), next(next(head)), ...``: pointer
+2. The kept events are ``head, next(head), next(next(head)), ...``, where a head
+   is an event at least one gap behind the one before it: pointer
    doubling extends the kept set by jumps of 1, 2, 4, ... nodes per round
    (jump tables are squared each round), so log2(chain length) rounds of
    joins on node ids.  Each round is checkpointed into the shared
@@ -24,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vantage.operators.windows import interval_us
+from vantage.operators.windows import interval_us, prev_in_group
 from vantage.session import cut_lineage
 
 
@@ -57,7 +58,9 @@ def next_pointers(df: DataFrame, keys: Sequence[str], gap_us: int) -> DataFrame:
           .rowsBetween(1, Window.unboundedFollowing))
     later = (su.withColumn("_later", F.first("_first", ignorenulls=True).over(w2))
              .filter(F.col("_kind") == 1).select(*keys, "_b", "_later"))
-    out = in_next.join(later, keys + ["_b"], "left")
+    later = later.select(*[F.col(k).alias(f"_l_{k}") for k in [*keys, "_b"]], "_later")
+    same = [F.col(k).eqNullSafe(F.col(f"_l_{k}")) for k in [*keys, "_b"]]
+    out = in_next.join(later, same, "left")
     return out.select(*keys, "node", F.coalesce("_hit", "_later").alias("nxt"))
 
 
@@ -71,7 +74,10 @@ def greedy_chain(df: DataFrame, keys: Sequence[str], ts_col: str, seq_col: str |
     base = df.withColumn("_t", F.unix_micros(F.col(ts_col))).withColumn("_s", seq)
     ptr = cut_lineage(next_pointers(base.select(*keys, "_t", "_s"), keys, gap_us))
     jump = ptr.select(F.col("node").alias("a"), F.col("nxt").alias("b"))
-    kept = cut_lineage(base.groupBy(*keys).agg(F.min(_node(keys)).alias("a")).select("a"))
+    # a row at least one gap behind the one before it is always kept: every such row begins a chain
+    heads = prev_in_group(base.select(*keys, ts_col, "_t", "_s"), keys, [ts_col, "_s"], ["_t"], ts_col=ts_col, bucket=gap)
+    kept = cut_lineage(heads.filter(F.col("prev__t").isNull() | (F.col("_t") - F.col("prev__t") >= gap_us))
+                       .select(_node(keys).alias("a")))
     size = kept.count()  # counts of checkpointed data read the checkpoint files only
     for _ in range(max_rounds):
         reached = kept.join(jump, "a").filter(F.col("b").isNotNull()).select(F.col("b").alias("a"))

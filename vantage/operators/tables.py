@@ -182,32 +182,12 @@ def request_rate(requests: DataFrame, keys: Sequence[str], window: str, limit: i
 LOCK_SCHEMA = "identifier string, seq long, ts timestamp, success boolean, attempt long, locked boolean, locked_until timestamp"
 
 
-HOT_IDENTIFIER_ROWS = 50_000
-
-
 def login_lockout(attempts: DataFrame, window: str = "15 minutes", max_attempts: int = 5,
-                  lockout: str = "30 minutes", hot_key_rows: int = HOT_IDENTIFIER_ROWS) -> DataFrame:
+                  lockout: str = "30 minutes") -> DataFrame:
     """Per identifier, failures count from the first failure of a window
     (the counter expires ``window`` after it); success clears the counter; a
-    failure at count >= max locks until ts + lockout.
-
-    Identifiers with at most ``hot_key_rows`` attempts run an ordered fold
-    (``applyInPandas``); hotter ones run the distributed form, so no
-    identifier is gathered into one task."""
-    keys = ["identifier"]
-    sizes = attempts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot_keys = sizes.filter(F.col("_n") > hot_key_rows).select(*keys)
-    small = attempts.join(sizes.filter(F.col("_n") <= hot_key_rows).select(*keys), keys, "left_semi")
-    out = login_lockout_local(small, window, max_attempts, lockout)
-    if not hot_keys.isEmpty():  # a control decision on per-key counts
-        hot = attempts.join(hot_keys, keys, "left_semi")
-        out = out.unionByName(login_lockout_distributed(hot, window, max_attempts, lockout))
-    return out
-
-
-def login_lockout_distributed(attempts: DataFrame, window: str = "15 minutes", max_attempts: int = 5,
-                              lockout: str = "30 minutes") -> DataFrame:
-    """U10 without a per-identifier fold.
+    failure at count >= max locks until ts + lockout.  No identifier is
+    gathered into one task; attempts without identifier are one of their own.
 
     1. segment = number of successes up to the attempt (bucketed running sum):
        a success resets the counter, so segments are independent.
@@ -219,7 +199,8 @@ def login_lockout_distributed(attempts: DataFrame, window: str = "15 minutes", m
     from vantage.operators.chains import greedy_chain
     from vantage.operators.windows import interval_us, rank_in_group, running_sum_in_group
     w_us, l_us = interval_us(window), interval_us(lockout)
-    a = attempts.select("identifier", "seq", "ts", "success")
+    # a struct is equal to another with the same NULLs, so joins keep attempts without identifier
+    a = attempts.select(F.struct("identifier").alias("identifier"), "seq", "ts", "success")
     seg = running_sum_in_group(a.withColumn("_succ", F.col("success").cast("long")), ["identifier"],
                                ["ts", "seq"], "_succ", out_col="_seg").drop("_succ")
     fails = seg.filter(~F.col("success"))
@@ -244,7 +225,7 @@ def login_lockout_distributed(attempts: DataFrame, window: str = "15 minutes", m
     ok = seg.filter(F.col("success")).select("identifier", "seq", "ts", "success", F.lit(0).cast("long").alias("attempt"),
                                              F.lit(False).alias("locked"),
                                              F.lit(None).cast("timestamp").alias("locked_until"))
-    return failed.unionByName(ok)
+    return failed.unionByName(ok).withColumn("identifier", F.col("identifier.identifier"))
 
 
 def login_lockout_local(attempts: DataFrame, window: str = "15 minutes", max_attempts: int = 5,
