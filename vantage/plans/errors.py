@@ -103,7 +103,7 @@ def q_error_reopen(spark, sf_dir):
 SELECT * FROM groups
 WHERE coalesce(message ILIKE '%' || '{SEARCH_TERM}' || '%', false)
    OR coalesce(module ILIKE '%' || '{SEARCH_TERM}' || '%', false)
-   OR coalesce(model ILIKE '%' || '{SEARCH_TERM}' || '%', false)""", ops="F3 T3")
+   OR coalesce(model ILIKE '%' || '{SEARCH_TERM}' || '%', false)""", ops="F3")
 def q_error_search(spark, sf_dir):
     return _users_text(eo.search_groups(eo.group_errors(_errs(spark, sf_dir)), SEARCH_TERM))
 

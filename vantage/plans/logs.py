@@ -87,7 +87,7 @@ ent AS (SELECT file, entry, line_no,
         FROM g, PAT)"""
 
 
-@query("log_entries", _LINES_SQL + "\nSELECT * FROM ent", ops="R1 C8 C9 SRC1 S8(batch)")
+@query("log_entries", _LINES_SQL + "\nSELECT * FROM ent", ops="R1 C8 C9 S8(batch)")
 def q_log_entries(spark, sf_dir):
     return entries(spark, sf_dir)
 

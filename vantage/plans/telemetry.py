@@ -164,7 +164,7 @@ def q_p95(spark, sf_dir):
 
 
 @query("n1_patterns", WITH_STATS + _PATTERNS_CTE + """
-SELECT * FROM ranked""", ops="A1 C2 C3 C4 J8 T1")
+SELECT * FROM ranked""", ops="A1 C2 C3 C4 T1")
 def q_n1_patterns(spark, sf_dir):
     return ranked_patterns(spark, sf_dir)
 
@@ -217,7 +217,7 @@ def q_top_stats(spark, sf_dir):
 @query("batch_ingest", WITH_STATS + """
 SELECT env_id, period, model, method, call_count, total_ms, avg_ms, CAST(nullif(max_ms, 0) AS DOUBLE) AS max_ms,
        CAST(nullif(p95_ms, 0) AS DOUBLE) AS p95_ms, n1_detected, nullif(sample_sql, '') AS sample_sql
-FROM stats""", ops="SRC4 SRC5 N6 P2 SNK1")
+FROM stats""", ops="P2")
 def q_batch_ingest(spark, sf_dir):
     from vantage.sources import json_batches as jb
     ev = flagged_events(spark, sf_dir)

@@ -74,7 +74,7 @@ iss AS (
     ON r.kind IN ('method_deprecated', 'xmlid_changed'))"""
 
 
-@query("schema_scan", _SCHEMA_SQL + "\nSELECT * FROM iss", ops="R12 J9 R15 X5 N4")
+@query("schema_scan", _SCHEMA_SQL + "\nSELECT * FROM iss", ops="R12 J9 R15 X5")
 def q_schema_scan(spark, sf_dir):
     return issues(spark, sf_dir)
 
