@@ -153,6 +153,16 @@ def fan_out(alerts: DataFrame, channels: DataFrame, tenant_col: str) -> DataFram
             .withColumn("status", F.lit("pending")).withColumn("attempt", F.lit(0)))
 
 
+def pending_deliveries(outbox: DataFrame, channels: DataFrame, alerts: DataFrame, alert_key: Sequence[str],
+                       limit: int) -> DataFrame:
+    """The oldest ``limit`` pending deliveries with their channel and alert, by an
+    inner three-way join; deliveries whose channel or alert is gone are left out."""
+    ch = channels.select("channel_id", "channel_type")
+    return (outbox.filter(F.col("status") == "pending")
+            .join(ch, "channel_id").join(alerts, list(alert_key))
+            .orderBy("created_at", *alert_key, "channel_id").limit(limit))
+
+
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """W4 alias (see ``windows.latest_per_key``)."""
     return latest_per_key(df, keys, order)

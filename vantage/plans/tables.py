@@ -4,7 +4,7 @@ customers, suppliers, lineitem and the event stream.
 Bindings: a customer's orders stand for stateful rows (newest / keep-N /
 paging / retention); nations are tenants with a retention policy JSON; a
 supplier is an agent whose heartbeats are its line items' ship dates;
-customers are notification channels of the environment ``env<custkey % 3>``.
+nations are notification channels of the environment ``env<nationkey % 3>``.
 """
 
 from __future__ import annotations
@@ -236,7 +236,22 @@ def q_request_rate(spark, sf_dir):
     return to.request_rate(ev, ["identifier"], RATE_WINDOW, RATE_LIMIT)
 
 
-@query("login_lockout", None, ops="U10")
+@query("login_lockout", "WITH RECURSIVE " + EVENTS_CTE_SQL + f""",
+att AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS identifier, seq, ts, method = 'signup' AS success,
+               row_number() OVER (PARTITION BY user_id ORDER BY ts, seq) AS rn
+        FROM ev WHERE method IN ('error', 'signup')),
+f AS (
+  SELECT identifier, seq, ts, success, rn, CASE WHEN success THEN 0 ELSE 1 END AS attempt,
+         CASE WHEN NOT success THEN ts END AS began
+  FROM att WHERE rn = 1
+  UNION ALL
+  SELECT a.identifier, a.seq, a.ts, a.success, a.rn,
+         CASE WHEN a.success THEN 0 WHEN a.ts < f.began + INTERVAL '{LOCK_WINDOW}' THEN f.attempt + 1 ELSE 1 END,
+         CASE WHEN a.success THEN NULL WHEN a.ts < f.began + INTERVAL '{LOCK_WINDOW}' THEN f.began ELSE a.ts END
+  FROM f JOIN att a ON a.identifier = f.identifier AND a.rn = f.rn + 1)
+SELECT identifier, seq, ts, success, CAST(attempt AS BIGINT) AS attempt, attempt >= {LOCK_MAX} AS locked,
+       CASE WHEN attempt >= {LOCK_MAX} THEN ts + INTERVAL '{LOCK_FOR}' END AS locked_until
+FROM f""", ops="U10")
 def q_login_lockout(spark, sf_dir):
     ev = telemetry_events(spark, sf_dir).filter(F.col("method").isin("error", "signup"))
     att = ev.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("identifier"), "seq", "ts",
@@ -247,12 +262,13 @@ def q_login_lockout(spark, sf_dir):
 # ------------------------------------------------------------ alert delivery
 
 def channels(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    return c.select(F.concat(F.lit("env"), (F.col("c_custkey") % 3).cast("string")).alias("env_id"),
-                    F.col("c_custkey").alias("channel_id"),
-                    F.when(F.col("c_mktsegment") == "AUTOMOBILE", "slack")
-                    .when(F.col("c_mktsegment") == "BUILDING", "webhook").otherwise("email").alias("channel_type"),
-                    (F.col("c_acctbal") > 0).alias("is_active"))
+    """A channel per nation: a dimension of fixed size, so the fan-out grows with the alerts only."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    return n.select(F.concat(F.lit("env"), (F.col("n_nationkey") % 3).cast("string")).alias("env_id"),
+                    F.col("n_nationkey").alias("channel_id"),
+                    F.when(F.col("n_regionkey") == 0, "slack")
+                    .when(F.col("n_regionkey") == 1, "webhook").otherwise("email").alias("channel_type"),
+                    (F.col("n_regionkey") != 4).alias("is_active"))
 
 
 SPIKE = 5
@@ -263,15 +279,14 @@ alerts AS (SELECT env_id, signature, seq, ts, rn AS occurrence_count,
                   printf('%s: %d occurrences of %s', error_type, rn, substr(signature, 1, 8)) AS message
            FROM (SELECT *, row_number() OVER (PARTITION BY env_id, signature ORDER BY ts, seq) AS rn FROM err)
            WHERE rn = 5),
-ch AS (SELECT 'env' || CAST(c_custkey % 3 AS VARCHAR) AS env_id, c_custkey AS channel_id,
-              CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'slack' WHEN 'BUILDING' THEN 'webhook' ELSE 'email' END
-                AS channel_type
-       FROM customer WHERE c_acctbal > 0)"""
+ch AS (SELECT 'env' || CAST(n_nationkey % 3 AS VARCHAR) AS env_id, n_nationkey AS channel_id,
+              CASE n_regionkey WHEN 0 THEN 'slack' WHEN 1 THEN 'webhook' ELSE 'email' END AS channel_type
+       FROM nation WHERE n_regionkey <> 4)"""
+PENDING_LIMIT = 100
 
 
-def _fanout(spark, sf_dir):
-    al = eo.spike_alerts(_errs(spark, sf_dir), SPIKE).select("env_id", "signature", "seq", "ts", "message")
-    return to.fan_out(al, channels(spark, sf_dir), "env_id")
+def _alerts(spark, sf_dir):
+    return eo.spike_alerts(_errs(spark, sf_dir), SPIKE).select("env_id", "signature", "seq", "ts", "message")
 
 
 @query("alert_fanout", "WITH " + EVENTS_CTE_SQL + "," + _SPIKE_SQL + """
@@ -279,14 +294,19 @@ SELECT a.env_id, a.signature, a.seq, a.ts, a.message, ch.channel_id, ch.channel_
        'pending' AS status, 0 AS attempt
 FROM alerts a JOIN ch USING (env_id)""", ops="J17 SNK5 C17")
 def q_alert_fanout(spark, sf_dir):
-    return _fanout(spark, sf_dir)
+    return to.fan_out(_alerts(spark, sf_dir), channels(spark, sf_dir), "env_id")
 
 
-@query("pending_deliveries", "WITH " + EVENTS_CTE_SQL + "," + _SPIKE_SQL + """
+@query("pending_deliveries", "WITH " + EVENTS_CTE_SQL + "," + _SPIKE_SQL + f"""
 SELECT a.env_id, a.signature, a.seq, a.ts, a.message, ch.channel_id, ch.channel_type
-FROM alerts a JOIN ch USING (env_id)
-ORDER BY a.ts, a.seq, ch.channel_id LIMIT 100""", ops="J1 T4 U8")
+FROM alerts a JOIN ch USING (env_id) WHERE (a.seq + ch.channel_id) % 3 <> 0
+ORDER BY a.ts, a.seq, ch.channel_id LIMIT {PENDING_LIMIT}""", ops="J1 T4 U8")
 def q_pending_deliveries(spark, sf_dir):
-    f = _fanout(spark, sf_dir).filter(F.col("status") == "pending")
-    return (f.select("env_id", "signature", "seq", "ts", "message", "channel_id", "channel_type")
-            .orderBy("ts", "seq", "channel_id").limit(100))
+    # a delivery is done already where alert and channel numbers add up to a multiple of three
+    alerts, ch = _alerts(spark, sf_dir), channels(spark, sf_dir)
+    sent = (F.col("seq") + F.col("channel_id")) % 3 == 0
+    outbox = (to.fan_out(alerts.select("env_id", "seq", F.col("ts").alias("created_at")), ch, "env_id")
+              .withColumn("status", F.when(sent, "delivered").otherwise("pending"))
+              .select("seq", "channel_id", "status", "created_at"))
+    return (to.pending_deliveries(outbox, ch, alerts, ["seq"], PENDING_LIMIT)
+            .select("env_id", "signature", "seq", "ts", "message", "channel_id", "channel_type"))
