@@ -5,6 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from vantage.operators import listings as lo
+from vantage.sources import json_batches as jb
 
 GROUPS = "env_id string, signature string, occurrence_count long, last_seen timestamp, error_type string, message string, " \
          "module string, model string"
@@ -66,3 +67,16 @@ def test_flags_catalog_and_distinct(spark):
     assert [r.budget_id for r in lo.budget_catalog(b, active_only=False).collect()] == ["3", "2", "1"]
     words = spark.createDataFrame([(["b", "a", "b", "c", "a"],)], "w array<string>")
     assert words.select(lo.ordered_distinct(F.col("w")).alias("w")).first().w == ["b", "a", "c"]
+
+
+def test_error_batches(spark, tmp_path):
+    (tmp_path / "b.json").write_text("\n".join([
+        '{"env_id":"e","sent_at":"2024-01-01T00:00:30.000000Z","spike_threshold":3,"events":['
+        '{"signature":"s1","type":"T","message":"m","module":"","timestamp":"2024-01-01T00:00:01.000002Z",'
+        '"context":{"uid":0}},'
+        '{"signature":"s2","type":"T","message":"m","model":"x","timestamp":"2024-01-01T00:00:02.000000Z",'
+        '"context":{"uid":7}},{"type":"T"}]}',
+        '{"env_id":"","events":[{"signature":"s3"}]}', '{"env_id":"e","events":null}', 'not json']))
+    rows = jb.error_rows(jb.read_error_batches(spark, str(tmp_path))).orderBy("seq").collect()
+    assert [(r.signature, r.module, r.model, r.user_id, r.spike_threshold, r.ts.microsecond) for r in rows] == [
+        ("s1", None, None, None, 3, 2), ("s2", None, "x", 7, 3, 0)]

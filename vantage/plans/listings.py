@@ -1,4 +1,4 @@
-"""Listings and nested records over the driver tables.
+"""Listings and nested records over the driver tables (T3, T5, F6, U1, U4, U6, A6, J11, J12, X2, X4) and landed error batches (SRC5).
 
 Bindings: error groups and their status changes as in ``plans.errors``;
 env0 / env1 belong to tenant t1 (errors kept 7 days), env2 to t2 (14 days); every
@@ -9,6 +9,8 @@ brand and type on model ``size % 30``: ids from 25 on have no model.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vantage.operators import errors as eo
@@ -21,6 +23,8 @@ from vantage.plans import profiles as pp
 from vantage.plans import records as pr
 from vantage.plans import upgrade as pu
 from vantage.plans.registry import query
+from vantage.session import checkpoint_dir
+from vantage.sources import json_batches as jb
 from vantage.sources.tables import table, telemetry_events
 
 NOW = "2024-02-01 00:00:00"
@@ -97,6 +101,15 @@ def q_error_merge(spark, sf_dir):
     return pe._users_text(eo.merge_groups(eo.group_errors(err.filter(stored)), eo.group_errors(err.filter(~stored))))
 
 
+@query("error_batches", pe._ERR_CTE + "\nSELECT * FROM groups", ops="SRC5 A21 A22")
+def q_error_batches(spark, sf_dir):
+    """Error batches land as JSON files, are read back and grouped."""
+    landed = f"{checkpoint_dir(spark)}/error-batches-{uuid.uuid4().hex}"
+    sent = jb.error_envelopes(eo.error_events(telemetry_events(spark, sf_dir)), "30 seconds", pe.SPIKE_THRESHOLD)
+    sent.write.text(landed, compression="gzip")
+    return pe._users_text(eo.group_errors(jb.error_rows(jb.read_error_batches(spark, landed))))
+
+
 @query("budget_catalog", pb._BASE + "\nSELECT * FROM bud WHERE is_active ORDER BY env_id, module, endpoint, budget_id",
        ops="T5")
 def q_budget_catalog(spark, sf_dir):

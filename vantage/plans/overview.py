@@ -13,7 +13,7 @@ from vantage.plans import budgets as pb
 from vantage.plans import errors as pe
 from vantage.plans import telemetry as pt
 from vantage.plans.registry import query
-from vantage.sources.tables import EVENTS_CTE_SQL, table
+from vantage.sources.tables import EVENTS_CTE_SQL, table, telemetry_events
 
 
 @query("snapshot_changes", """
@@ -64,9 +64,10 @@ LEFT JOIN b_agg USING (env_id) LEFT JOIN bd USING (env_id)""")
 
 @query("overview", _OVERVIEW_SQL, ops="A24 J4")
 def q_overview(spark, sf_dir):
+    raw = telemetry_events(spark, sf_dir)  # only recordings and patterns need the N+1 flag and its window
     ev = pt.flagged_events(spark, sf_dir)
-    envs = ev.select("env_id").distinct()
-    groups = eo.group_errors(eo.error_events(ev))
+    envs = raw.select("env_id").distinct()
+    groups = eo.group_errors(eo.error_events(raw))
     st = fold_status(pe.status_changes(spark, sf_dir), ["env_id", "signature"], "status", ["ts", "seq"])
     gs = groups.join(st, ["env_id", "signature"], "left")
     e_agg = gs.groupBy("env_id").agg(
@@ -81,7 +82,7 @@ def q_overview(spark, sf_dir):
     scored = n1ops.score_patterns(n1ops.n1_pattern_summary(stats))
     p_agg = scored.groupBy("env_id").agg(F.count(F.lit(1)).alias("n1_patterns"),
                                          F.count_if(F.col("severity") == "critical").alias("n1_critical"))
-    samples = bo.overhead_samples(bo.module_stats(bo.batches(ev, pb.BATCH_WINDOW)), pb.budgets(spark, sf_dir))
+    samples = bo.overhead_samples(bo.module_stats(bo.batches(raw, pb.BATCH_WINDOW)), pb.budgets(spark, sf_dir))
     b_agg = samples.groupBy("env_id").agg(F.count_if("breach").alias("budget_breaches"))
     bd = pb.budgets(spark, sf_dir).groupBy("env_id").agg(F.count(F.lit(1)).alias("budgets_total"),
                                                          F.count_if("is_active").alias("budgets_active"))

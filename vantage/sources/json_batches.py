@@ -70,6 +70,54 @@ def envelopes(stats: DataFrame, summary: DataFrame, window_ms: int) -> DataFrame
     return doc
 
 
+# ------------------------------------------------------------ error batches (SRC5)
+
+ERROR_EVENT = T.StructType([
+    T.StructField("signature", T.StringType()), T.StructField("type", T.StringType()),
+    T.StructField("message", T.StringType()), T.StructField("module", T.StringType()),
+    T.StructField("model", T.StringType()), T.StructField("timestamp", T.TimestampType()),
+    T.StructField("traceback", T.StringType()),
+    T.StructField("context", T.StructType([T.StructField("uid", T.IntegerType())])),
+])
+ERROR_BATCH = T.StructType([
+    T.StructField("env_id", T.StringType()), T.StructField("sent_at", T.TimestampType()),
+    T.StructField("events", T.ArrayType(ERROR_EVENT)), T.StructField("spike_threshold", T.IntegerType()),
+])
+_MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
+def error_envelopes(err: DataFrame, window: str, spike_threshold: int) -> DataFrame:
+    """Error rows (``operators.errors.error_events``) -> one JSON document per
+    environment and ``window``, events in arrival order."""
+    event = F.struct("seq", "signature", F.col("error_type").alias("type"), "message", "module", "model",
+                     F.col("ts").alias("timestamp"), F.struct(F.col("user_id").alias("uid")).alias("context"))
+    docs = (err.groupBy("env_id", F.window("ts", window)["end"].alias("sent_at"))
+            .agg(F.sort_array(F.collect_list(event)).alias("events"))
+            .withColumn("events", F.transform("events", lambda e: e.dropFields("seq")))
+            .withColumn("spike_threshold", F.lit(spike_threshold)))
+    return docs.select(F.to_json(F.struct("env_id", "sent_at", "events", "spike_threshold"), _MICROS).alias("value"))
+
+
+def read_error_batches(spark, path: str) -> DataFrame:
+    """SRC5: landed error batches (JSON lines, plain or .gz), explicit schema."""
+    return spark.read.schema(ERROR_BATCH).options(mode="PERMISSIVE", **_MICROS).json(path)
+
+
+def error_rows(batches: DataFrame) -> DataFrame:
+    """Error batch -> one row per event, ``seq`` = (sent_at, position): empty module, model and
+    traceback are NULL, user 0 is none.  Batches without env_id or events and events
+    without signature give no rows."""
+    e = valid_batches(batches).select("env_id", "sent_at", "spike_threshold", F.posexplode("events").alias("pos", "e"))
+
+    def filled(c):
+        return F.nullif(F.col(f"e.{c}"), F.lit("")).alias(c)
+
+    return e.filter(F.coalesce(F.col("e.signature"), F.lit("")) != "").select(
+        "env_id", F.struct("sent_at", "pos").alias("seq"), F.col("e.timestamp").alias("ts"), F.col("e.signature"),
+        F.col("e.type").alias("error_type"), F.col("e.message"), filled("module"), filled("model"),
+        filled("traceback"), F.nullif(F.col("e.context.uid"), F.lit(0)).alias("user_id"), "spike_threshold")
+
+
 # ------------------------------------------------ breakdowns and envelopes
 
 BREAKDOWN = T.StructType([
