@@ -80,3 +80,17 @@ def test_error_batches(spark, tmp_path):
     rows = jb.error_rows(jb.read_error_batches(spark, str(tmp_path))).orderBy("seq").collect()
     assert [(r.signature, r.module, r.model, r.user_id, r.spike_threshold, r.ts.microsecond) for r in rows] == [
         ("s1", None, None, None, 3, 2), ("s2", None, "x", 7, 3, 0)]
+
+
+def test_fields_of_methods(spark):
+    records = spark.createDataFrame([
+        ("order", "total", "_compute_total", " line , line.price,", "sale, base"), ("order", "tax", "_compute_total", None, None),
+        ("", "x", "_compute_total", None, None), ("order", "plain", None, "a", "m")],
+        "model string, name string, compute string, depends string, modules string")
+    frames = spark.createDataFrame([("_compute_total", "/x/addons/own/a.py"), ("_compute_other", "/x/addons/own/a.py"),
+                                    ("_compute_lost", None)], "method_name string, source_file string")
+    got = sorted((r.method_name, r.model, r.field_name, tuple(r.depends_on), r.module)
+                 for r in lo.with_fields(frames, lo.field_index(records)).collect())
+    assert got == [("_compute_lost", "", "", (), ""), ("_compute_other", "", "", (), "own"),
+                   ("_compute_total", "order", "tax", (), ""),
+                   ("_compute_total", "order", "total", ("line", "line.price"), "sale")]

@@ -1,4 +1,4 @@
-"""Catalog listings and nested records (T3, T5, F6, J11, J12, X4, and the closed-only rule of U4 / U6).
+"""Catalog listings and nested records (T3, T5, F6, J11-J13, X4, and the closed-only rule of U4 / U6).
 
 Positions are taken per environment with the paging helper, so a hot
 environment ships at most one page per partition.  Nested lists hold
@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vantage.functions.parsing import module_from_source
 from vantage.operators.errors import OPEN, search_groups
 from vantage.operators.tables import fold_status, page
 
@@ -75,3 +76,24 @@ def nest(parents: DataFrame, children: DataFrame, keys: Sequence[str], entry: Co
 def ordered_distinct(values: Column) -> Column:
     """Distinct values in order of their first place."""
     return F.array_distinct(values)
+
+
+def field_index(records: DataFrame) -> DataFrame:
+    """J13, index side: computed fields by method.  Records without model, name or compute
+    method are skipped; ``depends`` is split at commas, the first of ``modules`` counts."""
+    text = {c: F.coalesce(F.col(c), F.lit("")) for c in ("model", "name", "compute", "depends", "modules")}
+    depends = F.filter(F.transform(F.split(text["depends"], ","), lambda d: F.trim(d)), lambda d: d != "")
+    return (records.filter((text["model"] != "") & (text["name"] != "") & (text["compute"] != ""))
+            .select(F.col("compute").alias("method_name"), "model", F.col("name").alias("field_name"),
+                    depends.alias("depends_on"), F.trim(F.substring_index(text["modules"], ",", 1)).alias("module")))
+
+
+def with_fields(frames: DataFrame, index: DataFrame) -> DataFrame:
+    """One row per (frame, field) of its method; a method without fields keeps one
+    row with empty model and field and the module of its source file."""
+    i = index.withColumn("_found", F.lit(True))
+    j = frames.join(i, "method_name", "left")
+    own = module_from_source(F.col("source_file"))
+    return (j.withColumn("module", F.when(F.col("_found"), F.col("module")).otherwise(F.coalesce(own, F.lit(""))))
+            .withColumns({c: F.coalesce(c, F.lit("")) for c in ("model", "field_name")})
+            .withColumn("depends_on", F.coalesce("depends_on", F.array().cast("array<string>"))).drop("_found"))

@@ -1,4 +1,4 @@
-"""Listings and nested records over the driver tables (T3, T5, F6, U1, U4, U6, A6, J11, J12, X2, X4) and landed error batches (SRC5).
+"""Listings and nested records over the driver tables (T3, T5, F6, U1, U4, U6, A6, J11-J13, X2, X4) and landed error batches (SRC5).
 
 Bindings: error groups and their status changes as in ``plans.errors``;
 env0 / env1 belong to tenant t1 (errors kept 7 days), env2 to t2 (14 days); every
@@ -22,7 +22,7 @@ from vantage.plans import errors as pe
 from vantage.plans import profiles as pp
 from vantage.plans import records as pr
 from vantage.plans import upgrade as pu
-from vantage.plans.registry import query
+from vantage.plans.registry import REGISTRY, query
 from vantage.session import checkpoint_dir
 from vantage.sources import json_batches as jb
 from vantage.sources.tables import table, telemetry_events
@@ -174,3 +174,34 @@ def q_ordered_distinct(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     words = F.split(F.concat_ws(" ", "p_name", "p_type", "p_name"), " ")
     return p.select("p_partkey", F.array_join(lo.ordered_distinct(words), " ").alias("words"))
+
+
+_FRAME_SQL = REGISTRY["profile_frame_time"].sql
+
+
+@query("compute_fields", f"""
+WITH fr AS ({_FRAME_SQL}),
+idx AS (
+  SELECT '_compute_' || CASE n_nationkey % 2 WHEN 0 THEN 'click_' ELSE 'signup_' END || CAST(n_nationkey % 3 AS VARCHAR)
+           AS method_name,
+         n_name AS model, 'f' || CAST(n_regionkey AS VARCHAR) AS field_name, n_name || ',' || n_name || '.total' AS depends_on,
+         CASE WHEN n_nationkey % 4 > 0 THEN 'base' ELSE '' END AS module
+  FROM nation WHERE n_nationkey % 5 <> 0)
+SELECT profile_id, method_name, duration_ms, coalesce(model, '') AS model, coalesce(field_name, '') AS field_name,
+       coalesce(depends_on, '') AS depends_on,
+       CASE WHEN model IS NULL THEN split_part(source_file, '/', 2) ELSE module END AS module
+FROM fr LEFT JOIN idx USING (method_name)""", ops="J13 C21 A20")
+def q_compute_fields(spark, sf_dir):
+    """Field metadata: a nation is a computed field; every fifth has no compute method and is skipped."""
+    k = F.col("n_nationkey")
+    method = F.concat(F.lit("_compute_"), F.when(k % 2 == 0, "click_").otherwise("signup_"), (k % 3).cast("string"))
+    records = table(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("model"), F.concat(F.lit("f"), F.col("n_regionkey").cast("string")).alias("name"),
+        F.when(k % 5 != 0, method).alias("compute"),
+        F.concat(F.col("n_name"), F.lit(", "), F.col("n_name"), F.lit(".total,")).alias("depends"),
+        F.when(k % 4 > 0, F.lit("base, sale")).alias("modules"))
+    frames = po.frame_time(*pp.profile_rows(spark, sf_dir)).withColumn(
+        "source_file", F.concat(F.lit("/srv/"), "source_file"))
+    return lo.with_fields(frames, lo.field_index(records)).select(
+        "profile_id", "method_name", "duration_ms", "model", "field_name",
+        F.array_join("depends_on", ",").alias("depends_on"), "module")
