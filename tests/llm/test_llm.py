@@ -270,6 +270,28 @@ def test_toxicity_held_out(docs, labels, odd):
     assert kept.columns == odd.columns
 
 
+def test_toxicity_variants_of_a_rare_stem(spark):
+    """No unit stands in two documents; only the stem that its variants share tells."""
+    def unit(i, k):
+        return "".join(chr(97 + (i * 31 + k * 7 + j * j * (i + 3)) % 26) for j in range(6)) + f"{chr(97 + i // 26)}{chr(97 + i % 26)}{chr(97 + k)}"
+
+    rows = [(i, " ".join(unit(i, k) for k in range(8)) + (f" zorvak{unit(i, 9)[-3:]} zorvak{unit(i, 10)[-3:]}." if i % 5 == 0 else "."), int(i % 5 == 0)) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    assert model.words and sum("zorvak"[:4] in w or "rvak" in w for w in model.words) >= 1
+    assert min(model.scores(["mild words zorvakxyx here zorvakuvu"])) >= toxicity.THRESHOLD > max(model.scores(["mild words here", ""]))
+
+
+def test_toxicity_small_table_and_fallback(spark, monkeypatch):
+    small = "/root/testdata/sf0.001"
+    assert "trash" in toxicity.train(spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")).words
+    # the fallback is the share of all labelled rows, not of the sample
+    monkeypatch.setattr(toxicity, "TRAIN_DOCS", 10)
+    same = spark.createDataFrame([(i, "one and the same", int(i % 5 == 0)) for i in range(400)], "doc_id long, text string, toxic int")
+    rows = [r for r in same.selectExpr("toxic", "crc32(cast(string(doc_id) as binary)) % 4 = 2 as held").collect() if not r.held]
+    assert toxicity.train(same.select("doc_id", "text"), same.select("doc_id", "toxic")).scores(["x"]) == [np.mean([r.toxic for r in rows])]
+
+
 def test_subsequence_kernel_by_definition():
     import itertools
 

@@ -8,8 +8,12 @@
   weighted by ``DECAY`` to the length it spans in both strings; gaps cost, but do
   not hide a match.  Values are divided by the landmark's own value, so that a
   unit that contains the landmark scores 1 or little less.
-* Landmarks are units of the labelled texts: those whose documents are
-  toxic most surely more often than others, passing over near copies of one already taken.
+* Landmarks are *groups*: letter runs of ``GROUP`` lengths, and whole units, each standing
+  for all units that contain it, so that the suffix variants of a rare stem count together;
+  documents with two variants or more are also counted by themselves.
+  Taken are those whose documents are toxic more often than chance explains; how
+  much that takes follows from the number of groups tried (``evidence``).  Every stem has
+  a place for its surest group before any has a second one; near copies have none.
 * A sentence is described by its best unit for each landmark, mapped by the
   inverse root of the landmarks' kernel matrix (Nystroem), and judged by a linear
   SVM that is trained on labelled sentences (each has its document's label).
@@ -30,7 +34,9 @@ columns are not read.  Texts are read whole.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -40,16 +46,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantage.llm.text import held_out, small_batches
+from vantage.session import cut_lineage
 
 #: Labelled documents of each class that training reads at most.
 TRAIN_DOCS = 2500
-#: Landmarks, and units considered for them.
-LANDMARKS, CANDIDATES = 48, 384
-#: Log likelihood ratio above which a unit's documents are toxic too often to be chance
-#: (some hundred thousand units are tried).
-EVIDENCE = 30.0
+LANDMARKS = 96
+#: Lengths of the letter runs that stand for the units that contain them.
+GROUP = (4, 8)
+#: Share of the groups taken for toxic that may be so by chance.
+CHANCE = 0.1
+#: Groups a worker counts before it hands its counts on.
+COUNTED = 400_000
 #: Units this alike (normalised kernel) are not both landmarks.
 ALIKE = 0.75
+#: Words are variants of one stem if one run holds this share of the shorter one's letters.
+STEM = 0.75
 #: Share of a landmark's letter pairs that a unit must have to be compared at all.
 SHARED = 0.6
 #: A unit whose best similarity is below this counts as having none.
@@ -219,6 +230,19 @@ def units_of(text: str | None) -> set[str]:
     return {u for u in (_NOT_LETTERS.sub("", t) for t in set(low.split())) if ORDER <= len(u) <= WINDOW}
 
 
+def groups_of(text: str | None) -> set[str]:
+    """The units of ``text`` and their letter runs of ``GROUP`` lengths; once more, with a
+    ``+`` behind, if two units or more have them."""
+    seen: set[str] = set()
+    again: set[str] = set()
+    for u in units_of(text):
+        runs = {u[i : i + k] for k in range(GROUP[0], GROUP[1] + 1) for i in range(len(u) - k + 1)}
+        runs.add(u)
+        again |= runs & seen
+        seen |= runs
+    return seen.union(u + "+" for u in again)
+
+
 @dataclass
 class Model:
     words: list[str]
@@ -275,19 +299,55 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-
     return w
 
 
-def choose_landmarks(words: list[str]) -> list[str]:
-    """Up to ``LANDMARKS`` of ``words`` (best first), none a near copy of an earlier one."""
-    if not words:
-        return []
-    codes = encode(words, max(map(len, words)))
-    own = np.sqrt(subsequence_kernel(codes, codes))
-    alike = np.zeros(len(words), np.float32)  # to the nearest chosen one
-    chosen: list[int] = []
-    for i in range(len(words)):
-        if len(chosen) < LANDMARKS and alike[i] < ALIKE:
-            chosen.append(i)
-            alike = np.maximum(alike, subsequence_kernel(codes, np.repeat(codes[[i]], len(codes), 0)) / own / own[i])
-    return [words[i] for i in chosen]
+def variants(a: str, b: str) -> bool:
+    """Whether one run of letters holds ``STEM`` of the shorter word and stands in both."""
+    a, b = sorted((a, b), key=len)
+    k = math.ceil(STEM * len(a))
+    return any(a[i : i + k] in b for i in range(len(a) - k + 1))
+
+
+def choose_landmarks(words: Iterable[str]) -> list[str]:
+    """Up to ``LANDMARKS`` of ``words`` (best first), none a near copy or part of an earlier
+    one: one of each stem, then further variants while there are places."""
+    chosen: list[str] = []
+
+    def take(w: str) -> None:
+        codes = encode([w, *chosen], max(map(len, [w, *chosen])))
+        own = np.sqrt(subsequence_kernel(codes, codes))
+        alike = subsequence_kernel(codes[1:], np.repeat(codes[:1], len(chosen), 0)) / own[1:] / own[0] if chosen else own[1:]
+        if alike.max(initial=0) < ALIKE:
+            chosen.append(w)
+
+    more: list[str] = []
+    for w in words:
+        if any(variants(w, c) for c in chosen):
+            more.append(w)
+        elif len(chosen) < LANDMARKS:
+            take(w)
+    for w in more:
+        if len(chosen) < LANDMARKS and not any(w in c for c in chosen):
+            take(w)
+    return chosen
+
+
+def evidence(tried: dict[tuple[int, int], int], share: float) -> float:
+    """The least log likelihood ratio that marks a group as toxic; infinite if none does.
+
+    ``tried``: number of groups by (documents, toxic documents).  exp(-ratio / 2) bounds
+    the chance of such a count; of the groups at or above the limit at most ``CHANCE`` are
+    expected by chance (Benjamini and Hochberg), where groups of too few documents to
+    reach the limit at all are no trials (Tarone).
+    """
+    n, bad, times = np.array([(*k, v) for k, v in tried.items()], float).reshape(-1, 3).T
+    good = n - bad
+    with np.errstate(divide="ignore", invalid="ignore"):
+        part = [np.where(x > 0, x * np.log(x / (n * p)), 0) for x, p in ((bad, share), (good, 1 - share))]
+    z = np.where(bad > n * share, 2 * (part[0] + part[1]), 0)
+    reach = -2 * n * np.log(share)
+    for limit in np.unique(z[z > 0]):
+        if np.exp(-limit / 2) * times[reach >= limit - 1e-9].sum() <= CHANCE * times[z >= limit].sum():
+            return float(limit)
+    return math.inf
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -306,24 +366,45 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     small_batches(docs.sparkSession)
     sample = training_sample(docs, labels)
 
-    def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, bad = Counter(), Counter()
+
+        def counted() -> Iterator[pd.DataFrame]:
+            names = list(n)
+            for i in range(0, len(names), 1 << 16):
+                some = names[i : i + (1 << 16)]
+                yield pd.DataFrame({"unit": pd.Series(some, dtype=object), "n": [n[u] for u in some], "bad": [bad[u] for u in some]})
+
         for pdf in batches:
-            rows = [(u, t) for t, x in zip(pdf.toxic, pdf.text, strict=True) for u in units_of(x)]
-            yield pd.DataFrame(rows, columns=["unit", "toxic"])
+            for t, x in zip(pdf.toxic, pdf.text, strict=True):
+                found = groups_of(x)
+                n.update(found)
+                if t:
+                    bad.update(found)
+                if len(n) > COUNTED:
+                    yield from counted()
+                    n.clear()
+                    bad.clear()
+        yield from counted()
 
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    known = label_counts(labels)
+    prior = known.get(1, 0) / max(sum(known.values()), 1)
+    constant = Model([], np.zeros((0, 0)), np.zeros(1), np.zeros(1), prior)
     if len(n) < 2:
-        return Model([], np.zeros((0, 0)), np.zeros(1), np.zeros(1), 1.0 if n.get(1) else 0.0)
-    # likelihood ratio of the unit's documents against the share of toxic ones
+        return constant
+    # likelihood ratio of the group's documents against the share of toxic ones
     a, b, p = F.col("bad"), F.col("n") - F.col("bad"), n[1] / (n[0] + n[1])
     part = lambda x, share: F.when(x > 0, x * F.log(x / (F.col("n") * share))).otherwise(0.0)
     z = F.when(a > F.col("n") * p, 2 * (part(a, p) + part(b, 1 - p))).otherwise(0.0)
-    best = (sample.mapInPandas(units, "unit string, toxic int").groupBy("unit")
-            .agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).filter(z >= EVIDENCE)
-            .orderBy(F.desc(z), "unit").limit(CANDIDATES).collect())
-    words = choose_landmarks([r["unit"] for r in best])
-    if not words:
-        return Model([], np.zeros((0, 0)), np.zeros(1), np.zeros(1), n[1] / (n[0] + n[1]))
+    found = cut_lineage(sample.mapInPandas(groups, "unit string, n long, bad long").groupBy("unit")
+                        .agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).filter("n > 1"))
+    tried = {(r["n"], r["bad"]): r["times"] for r in found.groupBy("n", "bad").agg(F.count("*").alias("times")).collect()}
+    limit = evidence(tried, p)
+    if limit == math.inf:
+        return constant
+    best = found.withColumn("z", z).filter(F.col("z") >= limit - 1e-9).orderBy(F.desc(F.round("z", 6)), F.desc(F.length("unit")), "unit")
+    words = choose_landmarks(r["unit"].rstrip("+") for r in best.select("unit").toLocalIterator())
 
     def sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         marks = Landmarks(words)
@@ -351,13 +432,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         weight[y == side] /= max(weight[y == side].sum(), 1)
     w = _svm(x, y, weight)
     docs_x = np.array([summarise(f @ root @ w[:-1] + w[-1], w[-1], r["n"]) for f, r in zip(feats, got, strict=True)])
-    return Model(words, root, w, reweighted(_logistic(docs_x, label), sample_share=n, labels=labels), n[1] / (n[0] + n[1]))
+    return Model(words, root, w, reweighted(_logistic(docs_x, label), sample_share=n, n=known), prior)
+
+
+def label_counts(labels: DataFrame) -> dict[int, int]:
+    """Number of all labelled rows outside the held-out fold, by label."""
+    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
 
 
-def reweighted(scale: np.ndarray, sample_share: dict[int, int], labels: DataFrame) -> np.ndarray:
-    """Move the bias from the sample's class shares to those of all labelled rows."""
-    known = labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+def reweighted(scale: np.ndarray, sample_share: dict[int, int], n: dict[int, int]) -> np.ndarray:
+    """Move the bias from the sample's class shares to those of all labelled rows ``n``."""
     if n.get(0) and n.get(1):
         scale[-1] += np.log(n[1] / n[0]) - np.log(sample_share[1] / sample_share[0])
     return scale
