@@ -200,6 +200,21 @@ def test_line_dedup_passage(spark):
     assert got == {1: passage, 2: "Nothing to see.", 3: "My own start here. And an end.", 4: got[4]}
 
 
+def test_line_dedup_passage_at_another_offset(spark):
+    """A passage inside long lines, at every offset, and a periodic one."""
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 10**6, n)]
+    passage, rows = word(200), []
+    for i in range(20):
+        rows.append((i, " ".join(word(40 + i) + passage + word(30)) + "."))
+    rows += [(100, " ".join(["a", "b", "c"] * 60)), (101, " ".join(["lead"] + ["b", "c", "a"] * 60))]
+    got = {r.doc_id: r.text.split() for r in line_dedup.line_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1].split()
+    for i in range(1, 20):
+        assert len(set(got[i]) & set(passage)) <= 40 and len(got[i]) >= 70 + i - 1
+    assert len(got[100]) <= 100 and len(got[101]) <= 60
+
+
 def test_line_hash_is_the_words(spark):
     """The pieces that texts are joined in do not change a result."""
     ts = ["A b c. d e f. g h i j. k l m n o.", "", "a b c.\nd e f.\ng h i j.\n\nk l m n o."]

@@ -1,7 +1,9 @@
 """Line deduplication by overlapping windows of three lines.
 
-A *line* ends at a line break, behind ``.``, ``!`` or ``?`` with white space
-after it, or after ``WRAP`` words, so that a long paragraph is several lines.
+A *line* ends at a line break, or behind ``.``, ``!`` or ``?`` with white space
+after it.  A line of more than ``WRAP`` words is wrapped where its words say so: in
+front of each word whose hash is the smallest among the ``REACH`` words on either
+side.  Equal passages are thus wrapped alike after a few words, wherever they stand.
 Lines are compared by their words (A-Z lower-cased); what stands between two
 words belongs to the line before, and a line without words is no line.
 
@@ -36,8 +38,12 @@ from pyspark.sql import functions as F
 from vantage.llm.text import lowered, mix, run_hashes, small_batches, words
 
 WINDOW = 3
-#: Words after which a line is wrapped.
+#: Words of the longest line that is not wrapped.
 WRAP = 16
+#: Words to either side of a wrap whose hashes are larger; wraps are more than so many words apart.
+REACH = 3
+#: Most words without a wrap (in words that repeat periodically no hash is the smallest).
+LONGEST = 32
 #: Windows of fewer words recur by chance and prove nothing.
 MIN_WORDS = 10
 #: Characters of texts that are cut into lines together (one longer text is a piece of its own).
@@ -50,6 +56,35 @@ _STOP = np.zeros(256, bool)
 _STOP[[0x21, 0x2E, 0x3F]] = True
 
 
+def _wraps(hashes: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Marks of the words that begin a line: those of ``new``, and wraps inside long lines."""
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(new)))
+    if not (size > WRAP).any():
+        return new
+    line = np.cumsum(new) - 1
+    tied = (size > WRAP)[line] & ~new  # smallest, or equal to the smallest
+    least = tied.copy()  # the first smallest one
+    for d in range(1, REACH + 1):
+        same, left, right = line[d:] == line[:-d], hashes[:-d], hashes[d:]
+        least[d:] &= ~same | (right < left)
+        tied[d:] &= ~same | (right <= left)
+        least[:-d] &= ~same | (left <= right)
+        tied[:-d] &= ~same | (left <= right)
+    out = new | least
+    first = np.flatnonzero(out)
+    end = np.append(first[1:], len(out))
+    far = end - first > LONGEST
+    if far.any():
+        ties = np.flatnonzero(tied)
+        for a, b in zip(first[far].tolist(), end[far].tolist(), strict=True):
+            while b - a > LONGEST:
+                k = np.searchsorted(ties, a + WRAP, side="right")
+                a = min(int(ties[k]) if k < len(ties) else b, a + LONGEST)
+                out[a] = True
+    return out
+
+
 def lines(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of lower-cased ``data``: byte where each line's first word begins, its number
     of words, its hash."""
@@ -61,9 +96,7 @@ def lines(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends_line[1:] |= _STOP[a[:-1]] & _SPACE[a[1:]]
     seen = np.concatenate([[0], np.cumsum(ends_line)])
     new = np.concatenate([[True], seen[start[1:]] > seen[end[:-1]]])
-    first = np.flatnonzero(new)
-    inside = np.arange(len(start)) - first[np.cumsum(new) - 1]
-    first = np.flatnonzero(inside % WRAP == 0)
+    first = np.flatnonzero(_wraps(hashes, new))
     last = np.append(first[1:], len(start))
     return start[first], last - first, run_hashes(hashes, first, last)
 
