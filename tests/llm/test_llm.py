@@ -215,6 +215,15 @@ def test_line_dedup_passage_at_another_offset(spark):
     assert len(got[100]) <= 100 and len(got[101]) <= 60
 
 
+def test_line_dedup_short_lines(spark):
+    menu = "Home\nNews\nSports team\nAbout\nContact"
+    rows = [(1, menu + "\nfirst page"), (2, "Second page\n" + menu), (3, "A,!! SHHANT!! REAT.!!"), (4, "Then! A,!! SHHANT!! REAT.!!")]
+    rows += [(5, "One\nTwo\nThree\nother\nOne\nTwo\nThree")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.line_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (rows[0][1], 0) and got[2] == ("Second page\n", 5) and got[4] == ("Then! ", 3)
+    assert got[5] == ("One\nTwo\nThree\nother\n", 3)
+
+
 def test_line_hash_is_the_words(spark):
     """The pieces that texts are joined in do not change a result."""
     ts = ["A b c. d e f. g h i j. k l m n o.", "", "a b c.\nd e f.\ng h i j.\n\nk l m n o."]

@@ -7,8 +7,8 @@ side.  Equal passages are thus wrapped alike after a few words, wherever they st
 Lines are compared by their words (A-Z lower-cased); what stands between two
 words belongs to the line before, and a line without words is no line.
 
-1. Every run of ``WINDOW`` lines with ``MIN_WORDS`` words or more is hashed; it
-   goes with the doc_id.
+1. Every run of ``WINDOW`` lines is hashed, however short its lines; it goes with
+   the doc_id.
 2. A window is repeated if two documents have it: smallest and largest doc_id of
    its hash differ (a map-side aggregate, no list of documents).
 3. A repeated window is removed everywhere but in the document with the smallest
@@ -44,8 +44,6 @@ WRAP = 16
 REACH = 3
 #: Most words without a wrap (in words that repeat periodically no hash is the smallest).
 LONGEST = 32
-#: Windows of fewer words recur by chance and prove nothing.
-MIN_WORDS = 10
 #: Characters of texts that are cut into lines together (one longer text is a piece of its own).
 PIECE = 1 << 17
 _LAST = (1 << 63) - 1
@@ -102,13 +100,11 @@ def lines(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def windows(count: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first line, hash) of every window that has enough words."""
+    """(first line, hash) of every window of lines with ``count`` words and ``hashes``."""
     n = len(hashes) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.arange(n)
-    total = np.concatenate([[0], np.cumsum(count)])
-    at = at[total[at + WINDOW] - total[at] >= MIN_WORDS]
     return at, run_hashes(hashes, at, at + WINDOW).view(np.int64)
 
 
