@@ -377,6 +377,18 @@ def test_near_join(docs, rows, spark, monkeypatch):
     assert {r.doc_id: (r.class_id, r.n_links) for r in near_join.near_join(frame).collect()} == brute_links(many)
 
 
+def test_near_join_repeated_rows(spark, monkeypatch):
+    one = " ".join(f"w{i}" for i in range(60))
+    near, other = one.replace("w59", "x"), " ".join(f"z{i}" for i in range(30))
+    rows = [(1, one), (1, one), (2, near), (2, other), (3, "alone and by itself here")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (near_join.BLOCK_BYTES, 200):  # one block, and blocks that some members leave empty
+        monkeypatch.setattr(near_join, "BLOCK_BYTES", size)
+        got = sorted(tuple(r) for r in near_join.near_join(frame).collect())
+        assert got == [(1, 1, 1, 2), (1, 1, 1, 2), (2, 1, 2, 2), (2, 2, 2, 0), (3, 3, 3, 0)]
+        assert sorted(tuple(r) for r in near_join.one_of_each(frame).collect()) == sorted([rows[0], rows[1], rows[3], rows[4]])
+
+
 def test_near_join_odd(odd, docs):
     got = near_join.near_join(odd).collect()
     assert len(got) == odd.count() and {r.n_links for r in got if r.doc_id is None} == {0}

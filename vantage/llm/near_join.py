@@ -6,8 +6,8 @@ at least ``THRESHOLD``.
 1. A text becomes its set of run hashes, an exact digest of the set, and the
    hashes of ``bands`` bands of ``rows`` MinHash values; ``choose_bands`` takes the
    numbers for the target recall of a pair that just reaches the threshold.
-2. Texts with equal sets are one *class*, named by its smallest doc_id; only
-   classes are compared, a class of any size at the price of one.
+2. Texts with equal sets are one *class*, named by its digest; only classes are
+   compared, a class of any size at the price of one, by the text of one row.
 3. Classes are shuffled on band hashes.  Buckets of one class are dropped, buckets
    with the same members are one.  Larger buckets that share a class are put
    together to one *cell*, so that their pairs are met once and not once a band;
@@ -88,7 +88,7 @@ def text_set(text: str | None) -> np.ndarray:
 
 
 def class_rows(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, n (runs), digest, bands of every row; no digest for rows that can have no links."""
+    """doc_id, mark (hash of the text), n (runs), digest, bands of every row; no digest for rows that can have no links."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("n int, digest binary, bands array<long>")
@@ -101,8 +101,8 @@ def class_rows(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             yield pd.DataFrame(out, columns=["n", "digest", "bands"])
 
     text = F.when(F.col("doc_id").isNotNull(), F.col("text"))
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), describe(F.coalesce(text, F.lit(""))).alias("d"))
-            .select("doc_id", "d.n", "d.digest", "d.bands"))
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), describe(F.coalesce(text, F.lit(""))).alias("d"))
+            .select("doc_id", "mark", "d.n", "d.digest", "d.bands"))
 
 
 def cells(classes: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def _by_id():
     return Window.partitionBy("id")  # at most one row for each band
 
 
-_TILE = "cell long, a int, b int, id long, block int, size long, others array<long>, sets binary"
+_TILE = "cell long, a int, b int, id binary, block int, size long, others array<long>, sets binary"
 
 
 def tile_rows(docs: DataFrame, placed: DataFrame) -> DataFrame:
@@ -139,12 +139,10 @@ def tile_rows(docs: DataFrame, placed: DataFrame) -> DataFrame:
             out, held = [], 0
             for r in pdf.itertuples():
                 s = text_set(r.text)
-                if digest(s) != r.digest:  # another text under the same doc_id
-                    continue
                 data, names = s.astype("<u8").tobytes(), sorted(c["cell"] for c in r.cells)
                 for c in r.cells:
                     n = c["blocks"]
-                    own = int(mix(np.array([r.id & (2**64 - 1)], _U))[0] % _U(n))
+                    own = int.from_bytes(r.id[:8], "little") % n
                     for other in range(n):
                         out.append((c["cell"], min(own, other), max(own, other), r.id, own, r.size, names, data))
                         held += len(data)
@@ -153,8 +151,11 @@ def tile_rows(docs: DataFrame, placed: DataFrame) -> DataFrame:
                             out, held = [], 0
             yield pd.DataFrame(out, columns=[x.split()[0] for x in _TILE.split(", ")])
 
-    text = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    return text.join(placed, "id").mapInPandas(rows, _TILE)
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    # repeated rows stand together already: one of them stays
+    one = text.join(placed, ["doc_id", "mark"]).groupBy("doc_id", "mark").agg(
+        *[F.first(c).alias(c) for c in ("text", "id", "size", "cells")])
+    return one.select("id", "size", "cells", "text").mapInPandas(rows, _TILE)
 
 
 def jaccard(sets: list[np.ndarray]) -> np.ndarray:
@@ -180,12 +181,13 @@ def jaccard(sets: list[np.ndarray]) -> np.ndarray:
     return shared / (size[:, None] + size[None, :] - shared)
 
 
-def judge(cell: int, ids: np.ndarray, block: np.ndarray, size: np.ndarray, others: list, sets: list[np.ndarray],
-          threshold: float) -> list[tuple[int, int, int]]:
-    """(class, documents linked, smallest class connected) of one tile's members that have links."""
+def judge(cell: int, one_block: bool, ids: list[bytes], block: np.ndarray, size: np.ndarray, others: list,
+          sets: list[np.ndarray], threshold: float) -> list[tuple[bytes, int, bytes]]:
+    """(class, documents linked, one class connected) of one tile's members that have links;
+    classes of one connected part name the same one."""
     linked = jaccard(sets) >= threshold - 1e-6
     np.fill_diagonal(linked, False)
-    if block.min() != block.max():  # pairs inside a block belong to the block's own tile
+    if not one_block:  # pairs inside a block belong to the block's own tile
         linked &= block[:, None] != block[None, :]
     if not linked.any():
         return []
@@ -193,14 +195,14 @@ def judge(cell: int, ids: np.ndarray, block: np.ndarray, size: np.ndarray, other
     for c in {c for o in others for c in o if c < cell}:  # pairs met in an earlier cell
         has = np.array([c in o for o in others])
         counted &= ~(has[:, None] & has[None, :])
-    root = ids.copy()
+    root = np.arange(len(ids))
     while True:
         new = np.minimum(root, np.where(linked, root[None, :], np.iinfo(np.int64).max).min(axis=1))
         if (new == root).all():
             break
         root = new
     n = (counted * size[None, :]).sum(axis=1)
-    return [(int(ids[i]), int(n[i]), int(root[i])) for i in np.flatnonzero(linked.any(axis=1))]
+    return [(ids[i], int(n[i]), ids[root[i]]) for i in np.flatnonzero(linked.any(axis=1))]
 
 
 def verified(tiles: DataFrame, threshold: float) -> DataFrame:
@@ -212,7 +214,7 @@ def verified(tiles: DataFrame, threshold: float) -> DataFrame:
         def done() -> list:
             if len(held) < 2:
                 return []
-            return judge(now[0], np.array([r.id for r in held]), np.array([r.block for r in held]),
+            return judge(now[0], now[1] == now[2], [r.id for r in held], np.array([r.block for r in held]),
                          np.array([r.size for r in held]), [set(r.others) for r in held],
                          [np.frombuffer(r.sets, "<u8") for r in held], threshold)
 
@@ -227,31 +229,34 @@ def verified(tiles: DataFrame, threshold: float) -> DataFrame:
         yield pd.DataFrame(done(), columns=["id", "links", "root"])
 
     return (tiles.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b")
-            .mapInPandas(rows, "id long, links long, root long"))
+            .mapInPandas(rows, "id binary, links long, root binary"))
 
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(described, classes, linked): doc_id and digest of each row; digest, id and size of each
-    class; id, links (documents of other classes) and root of each linked class."""
+    """(described, classes, linked): doc_id, mark and digest of each row; digest, doc_id (the
+    smallest) and size of each class; digest, links (documents of other classes) and root
+    (smallest doc_id of all classes connected) of each linked class."""
     bands, rows = choose_bands(threshold, recall)
     described = cut_lineage(class_rows(docs, bands, rows))
-    classes = described.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("size"),
+    classes = described.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.count("*").alias("size"),
                                               F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes = cut_lineage(classes)
+    classes = cut_lineage(classes.select(F.col("digest").alias("id"), "least.doc_id", "least.mark", "size", "n", "bands"))
     placed = cells(classes.select("id", "n", "bands"))
-    placed = placed.join(classes.select("id", "size", "digest"), "id")
+    placed = placed.join(classes.select("id", "doc_id", "mark", "size"), "id")
     found = cut_lineage(verified(tile_rows(docs, placed), threshold))
     root = components(found.select(F.col("id").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("id"), "root")
-    linked = found.groupBy("id").agg(F.sum("links").alias("links")).join(root, "id")
-    return described.select("doc_id", "digest"), classes.select("digest", "id", "size"), linked
+    least = root.join(classes, "id").groupBy("root").agg(F.min("doc_id").alias("least"))
+    linked = found.groupBy("id").agg(F.sum("links").alias("links")).join(root.join(least, "root"), "id")
+    return (described.select("doc_id", "mark", "digest"), classes.select(F.col("id").alias("digest"), "doc_id", "size"),
+            linked.select(F.col("id").alias("digest"), "links", F.col("least").alias("root")))
 
 
 def near_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """Per row: doc_id, class_id (smallest doc_id of all texts connected by links),
     copy_id (smallest doc_id with the same set of runs), n_links (documents linked to this one)."""
     described, classes, linked = near_groups(docs, threshold, recall)
-    known = (classes.join(linked, "id", "left")
-             .select("digest", F.coalesce("root", "id").alias("class_id"), F.col("id").alias("copy_id"),
+    known = (classes.join(linked, "digest", "left")
+             .select("digest", F.coalesce("root", "doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"),
                      (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     return described.join(known, "digest", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"),
@@ -260,8 +265,11 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = REC
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The rows of ``docs``, all columns, without those linked to a document of a smaller doc_id
-    (through any number of links); rows that share the kept doc_id stay together."""
+    (through any number of links); rows that share the kept doc_id stay together, and of rows with
+    one doc_id and several texts each goes or stays by its own text."""
     described, classes, linked = near_groups(docs, threshold, recall)
-    gone = (described.join(classes, "digest").join(linked, "id", "left")
-            .filter(F.col("doc_id") != F.coalesce("root", "id")).select(F.col("doc_id").alias("gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
+    classes = classes.withColumnRenamed("doc_id", "least")
+    gone = (described.join(classes, "digest").join(linked, "digest", "left")
+            .filter(F.col("doc_id") != F.coalesce("root", "least"))
+            .select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark")).distinct())
+    return docs.join(gone, (docs["doc_id"] == F.col("_gone")) & (F.xxhash64(docs["text"]) == F.col("_mark")), "left_anti")
