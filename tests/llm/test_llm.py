@@ -173,6 +173,16 @@ def test_exact_dedup_goes_on_and_checks_bytes(spark, tmp_path, monkeypatch):
     assert got == {1: (1, 2, True), 2: (1, 2, False), 3: (4, 2, False), 4: (4, 2, True), 5: (5, 1, True)}
 
 
+def test_exact_dedup_second_run_over_a_folder(spark, tmp_path):
+    path, state = str(tmp_path / "t"), str(tmp_path / "s")
+    spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "alone")], "doc_id long, text string").coalesce(1).write.parquet(path)
+    exact_dedup.exact_dedup(spark, path, state).collect()
+    spark.createDataFrame([(4, "a  b"), (5, "new")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(path)
+    want = sorted(map(tuple, exact_dedup.exact_dedup(spark, path).collect()))
+    for _ in range(2):  # with an added file, and with none
+        assert sorted(map(tuple, exact_dedup.exact_dedup(spark, path, state).collect())) == want
+
+
 def test_line_dedup(docs, odd, rows):
     seen, want = set(), {}
     for r in sorted(rows, key=lambda r: r.doc_id):

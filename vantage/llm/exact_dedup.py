@@ -10,7 +10,8 @@ the one with the smallest doc_id.
    digest: the best row's size, doc_id and locator, and the number of rows.  The
    state has no watermark and never expires; it is checkpointed in the shared
    folder, so a lost executor's part is loaded again, and a later run over the
-   same folder goes on with the files that are new.
+   same folder goes on with the files that are new: only they are digested and
+   appended (files of a table are told by their names, and may only be added).
 3. The state is read back as a table with the ``statestore`` source and joined to
    the digests.
 4. Hits, rows whose digest was seen in another row, are compared byte by byte with
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,18 @@ def best_first() -> Column:
                     (-F.col("at.row")).alias("row"), F.col("at.file").alias("file"))
 
 
+def record(spark: SparkSession, path: str, table: str) -> None:
+    """Append to ``table`` the digests of those files at ``path`` that it does not have yet."""
+    new = digests(spark, path)
+    try:
+        seen = spark.read.parquet(table).select(F.col("at.file").alias("seen")).distinct()
+        new = new.join(seen, F.col("at.file") == F.col("seen"), "left_anti")
+    except AnalysisException as e:  # the first run over this folder
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    new.write.mode("append").parquet(table)
+
+
 def remember(spark: SparkSession, table: str, state: str) -> DataFrame:
     """Run the stream over the new files of ``table`` and return its state: digest, best, n."""
     keys = {"spark.sql.streaming.stateStore.providerClass":
@@ -90,7 +104,7 @@ def exact_dedup(spark: SparkSession, path: str, state: str | None = None) -> Dat
     checkpoint folder if none is named."""
     state = state or f"{checkpoint_dir(spark)}/dedup-{uuid.uuid4().hex}"
     table = f"{state}/digests"
-    digests(spark, path).write.mode("overwrite").parquet(table)
+    record(spark, path, table)
     rows = spark.read.parquet(table)
     held = remember(spark, table, f"{state}/stream")
     known = rows.join(held, "digest", "left").select(
