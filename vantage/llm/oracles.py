@@ -43,3 +43,45 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(hit.n_hit, 0) AS
        sha256(coalesce(it.items, '')) AS items_sha256, coalesce(hit.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
+
+_X = "[CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT) for c in embedding]"
+
+
+def _round(before: str, after: str) -> str:
+    """Assignment of every part to the entries of ``before`` and the codebooks ``after`` it."""
+    return f"""
+{after}_near AS (
+  SELECT row, part, arg_min(entry, d * 64 + entry) AS entry, min(d) AS d
+  FROM (SELECT p.row, p.part, b.entry,
+               CAST(list_sum([(p.c[i] - b.c[i]) * (p.c[i] - b.c[i]) for i in range(1, len(p.c) + 1)]) AS BIGINT) AS d
+        FROM parts p JOIN {before} b USING (part))
+  GROUP BY row, part),
+{after}_mean AS (
+  SELECT part, entry, list(m ORDER BY i) AS c
+  FROM (SELECT part, entry, i, CAST(floor(sum(c[i]) / count(*)) AS BIGINT) AS m
+        FROM {after}_near JOIN parts USING (row, part), (SELECT unnest(range(1, max(len(c)) + 1)) AS i FROM parts)
+        GROUP BY part, entry, i)
+  GROUP BY part, entry),
+{after} AS (SELECT part, entry, coalesce(n.c, b.c) AS c FROM {before} b LEFT JOIN {after}_mean n USING (part, entry))"""
+
+
+ORACLES["op12_vector_codes"] = f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row, vec_id, label, {_X} AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len([c for c in embedding if c IS NULL OR NOT isfinite(c)]) = 0),
+parts AS (
+  SELECT row, part, x[part * (len(x) // 16) + 1 : (part + 1) * (len(x) // 16)] AS c
+  FROM kept, (SELECT unnest(range(16)) AS part)),
+book0 AS (SELECT part, row - 1 AS entry, c FROM parts WHERE row <= 64),
+{_round("book0", "book1")},
+{_round("book1", "book2")},
+{_round("book2", "book3")},
+digest AS (
+  SELECT sha256(string_agg(list_aggregate(c, 'string_agg', ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book2),
+coded AS (
+  SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM book3_near GROUP BY row)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (row), digest
+"""

@@ -12,8 +12,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vantage.llm import (decontamination, exact_dedup, language_id, line_dedup, mixing, near_join, secrets,
-                         token_counts, toxicity, url_filter)
+from vantage.llm import (decontamination, exact_dedup, language_id, line_dedup, mixing, near_join, neighbours, secrets,
+                         token_counts, toxicity, url_filter, vector_codes, whitening)
 from vantage.llm.oracles import ORACLES  # noqa: F401
 from vantage.sources.tables import table
 
@@ -74,3 +74,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_join(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_table(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, sf_dir, "embeddings"))
