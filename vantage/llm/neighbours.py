@@ -190,8 +190,8 @@ def searcher(k: int, limit: float):
 def classes_of(rows: DataFrame, k: int) -> DataFrame:
     """(v, ids): each distinct vector with its k smallest ids; a class of very many rows is cut before the shuffle."""
     order = Window.partitionBy("v").orderBy(F.col("vec_id").asc_nulls_last())
-    return (rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
-            .groupBy("v").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id"))).alias("ids")))
+    return (rows.withColumn("r", F.dense_rank().over(order)).filter(F.col("r") <= k)
+            .groupBy("v").agg(F.sort_array(F.collect_set(F.struct("r", "vec_id"))).alias("ids")))
 
 
 def placed(classes: DataFrame, dim: int, cells: Cells | None) -> DataFrame:
@@ -306,15 +306,15 @@ def neighbours(embeddings: DataFrame, k: int = K, every: int = EVERY, confidence
     found = (found.withColumn("before", F.sum("n_ids").over(best) - F.col("n_ids")).filter(F.col("before") < more)
              .select("qid", "cid", "score"))
     members = classes.select("cid", F.explode("ids").alias("m")).select("cid", F.col("m.vec_id").alias("vec_id"))
-    near = found.join(members, "cid").select("qid", "vec_id", "score")
+    near = found.join(members, "cid").select("qid", "vec_id", "score", (F.col("cid") == F.col("qid")).alias("same"))
     order = Window.partitionBy("qid").orderBy("score", F.col("vec_id").asc_nulls_last())
     near = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= more)
-    answers = near.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
+    answers = near.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score", "same"))).alias("near"))
     salted = answers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     names = classes.filter("asked").select("v", F.col("cid").alias("qid"))
     one = asked.select(F.col("vec_id").alias("query_id"), "v").join(names, "v").select("query_id", "qid")
     one = one.distinct().withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)).cast("int"))
-    others = F.filter("near", lambda s: ~s["vec_id"].eqNullSafe(F.col("query_id")))
+    others = F.filter("near", lambda s: ~(s["same"] & s["vec_id"].eqNullSafe(F.col("query_id"))))
     return (one.join(salted, ["qid", "salt"])
             .select("query_id", F.posexplode(F.slice(others, 1, k)).alias("at", "s"))
             .select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("s.vec_id").alias("vec_id"), F.col("s.score").alias("score")))

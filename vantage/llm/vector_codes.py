@@ -20,7 +20,8 @@ are dropped; vectors of unequal lengths, or of a length that PARTS does not divi
 zeros; repeated rows are rows; with fewer than ENTRIES rows there are as many
 entries; rows of one vec_id are ordered by their vectors, null vec_ids come
 last; null labels are one label; an empty table gives no rows; entries too large for
-64-bit sums are computed with Python integers, and an ``error`` that no long holds is null.
+64-bit sums are computed with Python integers, and an ``error`` that no long holds is
+null, as is its ``label_error``.
 """
 
 from __future__ import annotations
@@ -160,7 +161,8 @@ def vector_codes(embeddings: DataFrame, parts: int = PARTS, entries: int = ENTRI
 def with_label_error(coded_rows: DataFrame) -> DataFrame:
     """``label_error``, the errors of all rows of one label, beside each row."""
     rows = written(coded_rows).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
-    total = (rows.groupBy("label").agg(F.sum(F.col("error").cast("decimal(38,0)")).try_cast("long").alias("label_error"))
+    whole = F.when(F.count("error") == F.count("*"), F.sum(F.col("error").cast("decimal(38,0)")).try_cast("long"))
+    total = (rows.groupBy("label").agg(whole.alias("label_error"))
              .select(F.col("label").alias("l"), "label_error", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s")))
     return rows.join(total, F.col("label").eqNullSafe(F.col("l")) & (F.col("salt") == F.col("s"))).drop("l", "s", "salt")
 

@@ -109,15 +109,21 @@ def gram(y: np.ndarray) -> np.ndarray:
     return y.T @ y
 
 
-def totals(rows: DataFrame, fn, spec: str) -> list:
-    """(key columns, total) summed by Spark over what ``fn`` makes of each partition's matrices."""
+#: Exact sums travel in two decimals, thousands of millions of millions and the rest.
+HIGH = 10**18
+
+
+def totals(rows: DataFrame, fn, spec: str) -> dict[tuple, int]:
+    """Total for each key, summed by Spark over what ``fn`` makes of each partition."""
     keys = [c.split()[0] for c in spec.split(", ")]
-    return (rows.mapInArrow(fn, f"{spec}, total decimal(38,0)")
-            .groupBy(*keys).agg(F.sum("total").alias("total")).collect())
+    got = (rows.mapInArrow(fn, f"{spec}, high decimal(38,0), low decimal(38,0)")
+           .groupBy(*keys).agg(F.sum("high").alias("high"), F.sum("low").alias("low")).collect())
+    return {tuple(r[k] for k in keys): int(r["high"]) * HIGH + int(r["low"]) for r in got}
 
 
-def exact(values: np.ndarray) -> pa.Array:
-    return pa.array([Decimal(int(v)) for v in values], pa.decimal128(38, 0))
+def exact(values: np.ndarray) -> dict[str, pa.Array]:
+    parts = [divmod(int(v), HIGH) for v in values]
+    return {side: pa.array([Decimal(p[i]) for p in parts], pa.decimal128(38, 0)) for i, side in enumerate(("high", "low"))}
 
 
 class Model:
@@ -130,11 +136,11 @@ class Model:
                 x = matrix(b.column("x"), dim, np.int64)
                 total[:dim] += roomy(x, log2_largest(x) + 20).sum(axis=0)
                 total[dim] += len(x)
-            yield pa.RecordBatch.from_pydict({"at": pa.array(range(dim + 1), pa.int32()), "total": exact(total)})
+            yield pa.RecordBatch.from_pydict({"at": pa.array(range(dim + 1), pa.int32()), **exact(total)})
 
-        got = {r["at"]: int(r["total"]) for r in totals(fit, sums, "at int")}
-        self.dim, self.n = dim, got.get(dim, 0)
-        self.sums = [got.get(i, 0) for i in range(dim)]
+        got = totals(fit, sums, "at int")
+        self.dim, self.n = dim, got.get((dim,), 0)
+        self.sums = [got.get((i,), 0) for i in range(dim)]
         n = max(1, self.n)
         self.mean = np.array([s // n for s in self.sums])
         self.rest = np.array([s - n * int(m) for s, m in zip(self.sums, self.mean, strict=True)], object)
@@ -146,12 +152,11 @@ class Model:
                 x = matrix(b.column("x"), dim, np.int64)
                 total += gram(roomy(x, log2_largest(x) + 1) - mean)
             i, j = np.triu_indices(dim)
-            yield pa.RecordBatch.from_pydict({"i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "total": exact(total[i, j])})
+            yield pa.RecordBatch.from_pydict({"i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), **exact(total[i, j])})
 
         self.covariance = np.zeros((dim, dim))
-        for r in totals(fit, products, "i int, j int"):
-            i, j = r["i"], r["j"]
-            v = (n * int(r["total"]) - self.rest[i] * self.rest[j]) / (n * n)  # integers, rounded once
+        for (i, j), total in totals(fit, products, "i int, j int").items():
+            v = (n * total - self.rest[i] * self.rest[j]) / (n * n)  # integers, rounded once
             self.covariance[i, j] = self.covariance[j, i] = v
         values, vectors = eigen(self.covariance)
         order = np.argsort(-values, kind="stable")[:components]
