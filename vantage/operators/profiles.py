@@ -1,23 +1,21 @@
-"""Profiler waterfalls and compute chains.
+"""Profiler waterfalls and sampled profiles.
 
 A *recording* is a key (e.g. env + window) over profiler events.  Spans,
-lanes and summaries are per-recording windows / aggregates.  The compute
-chain depth (R17) is an ordered fold over a recording's compute nodes and
-runs as ``applyInPandas`` per recording; a recording's node count is bounded
-by one request's compute calls.
+lanes and summaries are per-recording windows / aggregates.  Compute chains
+(R17, J14, A19) are in ``compute``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vantage.functions.scoring import pct_hundredths
 from vantage.functions.sqltext import cut_text
+from vantage.operators.compute import compute_chain, compute_depths, compute_edges, compute_stats  # noqa: F401
 
 CATEGORY_LABELS = {  # fixed display labels
     "sql": "SQL Queries", "orm": "ORM Calls", "python": "Python Execution",
@@ -119,116 +117,6 @@ def recording_patterns(spans: DataFrame, rec_keys: Sequence[str]) -> DataFrame:
                  F.min_by("full_sql", F.col("pos")).alias("sql")))
 
 
-# ------------------------------------------------------------ compute chains
-
-NODE_SCHEMA = T.StructType([
-    T.StructField("rec", T.StringType()), T.StructField("idx", T.IntegerType()),
-    T.StructField("node_id", T.StringType()), T.StructField("model", T.StringType()),
-    T.StructField("field_name", T.StringType()), T.StructField("method", T.StringType()),
-    T.StructField("duration_ms", T.IntegerType()), T.StructField("depends_on", T.ArrayType(T.StringType())),
-    T.StructField("trigger_field", T.StringType()), T.StructField("depth", T.IntegerType()),
-    T.StructField("parent_id", T.StringType()),
-])
-
-
-def _chain_partition(batches):
-    """R17 over rows sorted by (rec, idx); state resets when rec changes and
-    carries across Arrow batches, so a recording may straddle batches."""
-    cur = None
-    key_to_id: dict[str, str] = {}
-    done: dict[str, int] = {}  # model.field_name -> max depth among earlier nodes
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        depths, parents, ids = [], [], []
-        for rec, idx, model, field, method, deps in zip(pdf["rec"], pdf["idx"], pdf["model"], pdf["field_name"],
-                                                        pdf["method"], pdf["depends_on"]):
-            if rec != cur:
-                cur, key_to_id, done = rec, {}, {}
-            node_id = f"compute-{idx}"
-            key_to_id[f"{model}.{field if field else method}"] = node_id
-            best, parent = -1, ""
-            for dep in (deps if deps is not None else ()):
-                dk = f"{model}.{dep}"
-                pid = key_to_id.get(dk)
-                if pid is None:
-                    continue
-                d = done.get(dk)
-                if d is not None and d > best:
-                    best, parent = d, pid
-            depth = best + 1 if parent else 0
-            fk = f"{model}.{field}"
-            if depth > done.get(fk, -1):
-                done[fk] = depth
-            ids.append(node_id)
-            depths.append(depth)
-            parents.append(parent)
-        out = pdf.copy()
-        out["node_id"] = ids
-        out["depth"] = depths
-        out["parent_id"] = parents
-        yield out[[f.name for f in NODE_SCHEMA.fields]]
-
-
-def compute_chain(nodes: DataFrame) -> DataFrame:
-    """Depth / parent per compute node.  ``nodes``: rec, idx (0-based time
-    order), model, field_name, method, duration_ms, depends_on, trigger_field.
-
-    Rows are hash-partitioned by recording and sorted by (rec, idx); one
-    ``mapInPandas`` pass folds each recording in order (a node's depth is one
-    more than the deepest earlier node producing one of its dependencies)."""
-    cols = ["rec", "idx", "model", "field_name", "method", "duration_ms", "depends_on", "trigger_field"]
-    d = (nodes.select(*cols)
-         .withColumn("node_id", F.lit(None).cast("string"))
-         .withColumn("depth", F.lit(None).cast("int"))
-         .withColumn("parent_id", F.lit(None).cast("string"))
-         .select(*[f.name for f in NODE_SCHEMA.fields]))
-    return (d.repartition("rec").sortWithinPartitions("rec", "idx")
-            .mapInPandas(_chain_partition, schema=NODE_SCHEMA))
-
-
-def compute_edges(chain: DataFrame) -> DataFrame:
-    """Parent edges (parent -> node, trigger field) plus dependency edges:
-    each dependency resolved against the recording's final field index
-    (last node per model.field), self excluded."""
-    parent = chain.filter(F.col("parent_id") != "").select(
-        "rec", F.col("parent_id").alias("src"), F.col("node_id").alias("dst"),
-        F.coalesce(F.col("trigger_field"), F.lit("")).alias("trigger_field"), F.lit("parent").alias("kind"))
-    idx = (chain.groupBy("rec", "model", "field_name")
-           .agg(F.max_by("node_id", "idx").alias("src")))
-    deps = chain.select("rec", "model", "node_id", F.explode("depends_on").alias("dep"))
-    dep_edges = (deps.join(idx, (deps.rec == idx.rec) & (deps.model == idx.model) & (deps.dep == idx.field_name))
-                 .filter(F.col("src") != F.col("node_id"))
-                 .select(deps.rec, "src", F.col("node_id").alias("dst"), F.col("dep").alias("trigger_field"),
-                         F.lit("depends").alias("kind")))
-    return parent.unionByName(dep_edges)
-
-
-def compute_stats(chain: DataFrame) -> DataFrame:
-    """Per recording total ms, node count, max depth, bottlenecks
-    (ms >= max(2 * (sum div n), 10)), slowest node (first on ties) and the
-    trigger field of the first depth-0 node that has one.
-
-    The bottleneck threshold needs the recording's totals first: a window
-    over the recording supplies them, and the final aggregate runs on the
-    same partitioning (one exchange, the chain is evaluated once)."""
-    w = Window.partitionBy("rec")
-    thr = F.greatest(F.floor(F.sum(F.col("duration_ms").cast("long")).over(w) / F.count(F.lit(1)).over(w)) * 2,
-                     F.lit(10))
-    c = chain.withColumn("_thr", thr)
-    g = c.groupBy("rec").agg(
-        F.sum(F.col("duration_ms").cast("long")).alias("total_ms"), F.count(F.lit(1)).alias("node_count"),
-        F.max("depth").alias("max_depth"),
-        F.max_by("node_id", F.struct(F.col("duration_ms"), (-F.col("idx")).alias("neg"))).alias("slowest_node"),
-        F.max("duration_ms").alias("slowest_ms"),
-        F.min_by("trigger_field", F.when((F.col("depth") == 0) & (F.coalesce(F.col("trigger_field"), F.lit("")) != ""),
-                                          F.col("idx"))).alias("trigger_field"),
-        F.count_if(F.col("duration_ms") >= F.col("_thr")).alias("bottleneck_count"))
-    return (g.withColumn("slowest_node", F.when(F.col("slowest_ms") > 0, F.col("slowest_node")).otherwise(F.lit("")))
-            .withColumn("slowest_ms", F.greatest(F.col("slowest_ms"), F.lit(0)))
-            .withColumn("trigger_field", F.coalesce(F.col("trigger_field"), F.lit(""))))
-
-
 # ------------------------------------------------------ sampled profiles
 
 COMPUTE_PREFIXES = ("_compute_", "_inverse_")

@@ -230,11 +230,26 @@ def running_sum_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str
     """Running ``sum(value_col)`` within ``keys`` ordered by ``order`` (which
     starts with ``ts_col``), inclusive: per-bucket sums give the offset of
     earlier buckets, the big side is windowed per (key, bucket) only."""
+    def joined(before: Column, here: Column) -> Column:
+        return (F.coalesce(before, F.lit(0)) + here).cast("long")
+
+    return _running(df, keys, order, value_col, F.sum, joined, ts_col, bucket, out_col)
+
+
+def running_max_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], value_col: str,
+                         ts_col: str = "ts", bucket: str = "1 hour", out_col: str = "running") -> DataFrame:
+    """Running ``max(value_col)`` in the same way; NULL values do not count, so that with
+    values on one kind of rows only, it is an as-of lookup for the others."""
+    return _running(df, keys, order, value_col, F.max, F.greatest, ts_col, bucket, out_col)
+
+
+def _running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value_col: str, fold, joined,
+             ts_col: str, bucket, out_col: str) -> DataFrame:
     keys = list(keys)
     d = _bucketed(df, ts_col, bucket)
-    sums = d.groupBy(*keys, "_b").agg(F.sum(value_col).alias("_n"))
+    sums = d.groupBy(*keys, "_b").agg(fold(value_col).alias("_n"))
     w = Window.partitionBy(*_cols(keys)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = sums.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    offs = sums.withColumn("_off", fold("_n").over(w)).drop("_n")
     offs = offs.select(*[F.col(k).alias("_k_" + k) for k in keys], F.col("_b").alias("_k_b"), "_off")
     cond = None
     for k in keys:
@@ -244,4 +259,4 @@ def running_sum_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str
     j = d.join(offs, cond, "inner").drop(*["_k_" + k for k in keys], "_k_b")
     wr = (Window.partitionBy(*_cols(keys), F.col("_b")).orderBy(*_cols(order))
           .rowsBetween(Window.unboundedPreceding, 0))
-    return j.withColumn(out_col, (F.col("_off") + F.sum(value_col).over(wr)).cast("long")).drop("_b", "_off")
+    return j.withColumn(out_col, joined(F.col("_off"), fold(value_col).over(wr))).drop("_b", "_off")

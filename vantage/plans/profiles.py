@@ -6,6 +6,10 @@ an order is a recording, a line is a compute node on field ``f<line>`` of
 model ``m<partkey % 2>`` that depends on the fields ``f<suppkey % line>`` and
 ``f<partkey % line>``, processed in ship-date order.  Sampled profiles for A20
 are derived from events: one profile per (env, hour), one sample per event.
+
+Compute events (R18) take the same profiles with eight variants of each ORM method;
+nations are the field index: nation n is field ``f<n>`` of model ``m<n % 5>`` and depends on
+three others, one of them of another model.
 """
 
 from __future__ import annotations
@@ -13,11 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from vantage.operators import listings as lo
 from vantage.operators import profiles as po
+from vantage.operators.compute import profile_events
 from vantage.operators.budgets import batches
 from vantage.operators.windows import interval_us
-from vantage.plans.registry import query
-from vantage.session import cut_lineage
+from vantage.plans.registry import REGISTRY, query
+from vantage.session import written
 from vantage.plans.telemetry import _n1_cte, flagged_events
 from vantage.sources.tables import EVENTS_CTE_SQL, table, telemetry_events
 
@@ -176,9 +182,7 @@ FROM (SELECT rec, model, node_id, unnest(depends_on) AS dep FROM chain) c
 JOIN fidx f ON f.rec = c.rec AND f.model = c.model AND f.field_name = c.dep
 WHERE f.src <> c.node_id""", ops="J14")
 def q_compute_edges(spark, sf_dir):
-    # the chain feeds three branches: materialise the Python fold once (a
-    # reliable checkpoint in the shared checkpoint dir) instead of re-running it
-    return po.compute_edges(cut_lineage(chain(spark, sf_dir)))
+    return po.compute_edges(written(chain(spark, sf_dir)))  # read by three branches
 
 
 @query("compute_stats", _CHAIN_SQL + """,
@@ -195,7 +199,7 @@ SELECT g.rec, total_ms, node_count, max_depth,
        greatest(slowest_ms, 0) AS slowest_ms, trigger_field, bottleneck_count
 FROM g JOIN b USING (rec)""", ops="A19")
 def q_compute_stats(spark, sf_dir):
-    return po.compute_stats(chain(spark, sf_dir))
+    return po.compute_stats(po.compute_depths(compute_nodes(spark, sf_dir)))
 
 
 # ------------------------------------------------------- sampled profiles
@@ -204,11 +208,11 @@ def q_compute_stats(spark, sf_dir):
 # '_compute_<method>_<k % 3>' frame, SQL events '_inverse_<method>', others a
 # plain method frame.  Units by environment: ns, us, ms.
 
-def profile_rows(spark, sf_dir):
+def profile_rows(spark, sf_dir, variants=3):
     ev = batches(telemetry_events(spark, sf_dir), REC_WINDOW)
     pid = F.concat(F.col("env_id"), F.lit("@"), (F.unix_micros("period") / 1000000).cast("long").cast("string"))
     name = (F.when(F.col("category") == "orm",
-                   F.concat(F.lit("_compute_"), F.col("method"), F.lit("_"), (F.col("k") % 3).cast("string")))
+                   F.concat(F.lit("_compute_"), F.col("method"), F.lit("_"), (F.col("k") % variants).cast("string")))
             .when(F.col("category") == "sql", F.concat(F.lit("_inverse_"), F.col("method")))
             .otherwise(F.col("method")))
     file = F.concat(F.lit("addons/"), F.col("module"), F.lit("/models/"), F.col("model"), F.lit(".py"))
@@ -254,3 +258,69 @@ FROM pf JOIN pd USING (profile_id) GROUP BY profile_id, name, profile_duration_m
 def q_profile_frame_time(spark, sf_dir):
     frames, samples = profile_rows(spark, sf_dir)
     return po.frame_time(frames, samples)
+
+
+# ------------------------------------------------------- compute events
+
+VARIANTS = 8
+
+
+def event_index(spark, sf_dir):
+    n = F.col("n_nationkey")
+    ref = lambda e: F.concat(F.lit("f"), (e % 25).cast("string"))
+    records = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("m"), (n % 5).cast("string")).alias("model"), ref(n).alias("name"),
+        F.concat(F.lit("_compute_"), F.when(n % 2 == 0, "click_").otherwise("signup_"), (n * 3 % VARIANTS).cast("string")).alias("compute"),
+        F.concat_ws(", ", ref(n + 15), ref(n + 5), ref(n + 1)).alias("depends"), F.lit("base,sale").alias("modules"))
+    return lo.field_index(records.filter(n % 7 != 3))
+
+
+_EVENT_SQL = REGISTRY["profile_frame_time"].sql.replace("CAST(k % 3 AS VARCHAR)", f"CAST(k % {VARIANTS} AS VARCHAR)")
+
+
+@query("profile_events", f"""
+WITH RECURSIVE fr AS ({_EVENT_SQL}),
+idx AS (
+  SELECT '_compute_' || CASE n_nationkey % 2 WHEN 0 THEN 'click_' ELSE 'signup_' END || CAST(n_nationkey * 3 % {VARIANTS} AS VARCHAR)
+           AS method_name, 'm' || CAST(n_nationkey % 5 AS VARCHAR) AS model, 'f' || CAST(n_nationkey AS VARCHAR) AS field_name,
+         ['f' || CAST((n_nationkey + 15) % 25 AS VARCHAR), 'f' || CAST((n_nationkey + 5) % 25 AS VARCHAR),
+          'f' || CAST((n_nationkey + 1) % 25 AS VARCHAR)] AS depends_on
+  FROM nation WHERE n_nationkey % 7 <> 3),
+fm AS (SELECT profile_id, method_name, model, field_name, depends_on FROM fr JOIN idx USING (method_name)),
+needs AS (SELECT profile_id, method_name, model, field_name, unnest(depends_on) AS dep, unnest([1, 2, 3]) AS at FROM fm),
+edges AS (
+  SELECT n.profile_id, n.method_name, o.method_name AS source, n.model, n.field_name, n.at
+  FROM needs n JOIN fm o ON o.profile_id = n.profile_id AND o.model = n.model AND o.field_name = n.dep
+  WHERE o.method_name <> n.method_name),
+paths AS (
+  SELECT DISTINCT profile_id, method_name, 1 AS depth FROM edges
+  UNION
+  SELECT e.profile_id, e.method_name, p.depth + 1
+  FROM paths p JOIN edges e ON e.profile_id = p.profile_id AND e.source = p.method_name AND e.source < e.method_name),
+depths AS (SELECT profile_id, method_name, max(depth) AS depth FROM paths GROUP BY 1, 2),
+parents AS (
+  SELECT e.profile_id, e.method_name,
+         first(e.source ORDER BY CASE WHEN e.source < e.method_name THEN coalesce(d.depth, 0) ELSE 0 END DESC,
+                                 e.model, e.field_name, e.at) AS parent_method
+  FROM edges e LEFT JOIN depths d ON d.profile_id = e.profile_id AND d.method_name = e.source GROUP BY 1, 2),
+firsts AS (SELECT method_name, first(model || '.' || field_name ORDER BY model, field_name) AS f FROM idx GROUP BY 1),
+roots AS (
+  SELECT profile_id, first(f ORDER BY method_name) AS root_field
+  FROM fr JOIN firsts USING (method_name) LEFT JOIN depths USING (profile_id, method_name) WHERE depth IS NULL GROUP BY 1)
+SELECT fr.profile_id, 'profiler' AS category, coalesce(idx.model, 'profile ' || fr.profile_id) AS model, fr.method_name AS method,
+       CASE WHEN idx.model IS NULL THEN split_part(source_file, '/', 2) ELSE 'base' END AS module, duration_ms, true AS is_compute,
+       coalesce(idx.field_name, '') AS field_name, coalesce(array_to_string(idx.depends_on, ','), '') AS depends_on,
+       coalesce(pf.f, root_field, '') AS trigger_field, CAST(coalesce(d.depth, 0) AS BIGINT) AS depth,
+       coalesce(parent_method, '') AS parent_method,
+       make_timestamp(CAST(split_part(fr.profile_id, '@', 2) AS BIGINT) * 1000000) AS ts
+FROM fr LEFT JOIN idx USING (method_name) LEFT JOIN depths d ON d.profile_id = fr.profile_id AND d.method_name = fr.method_name
+LEFT JOIN parents p ON p.profile_id = fr.profile_id AND p.method_name = fr.method_name
+LEFT JOIN firsts pf ON pf.method_name = p.parent_method LEFT JOIN roots ON roots.profile_id = fr.profile_id""", ops="R18 A20 J13 C21")
+def q_profile_events(spark, sf_dir):
+    frames, samples = profile_rows(spark, sf_dir, VARIANTS)
+    profiles = frames.select("profile_id").distinct().select(
+        "profile_id", F.concat(F.lit("profile "), "profile_id").alias("name"),
+        F.timestamp_seconds(F.substring_index("profile_id", "@", -1).cast("long")).alias("created"))
+    timed = po.frame_time(frames, samples).withColumn("source_file", F.concat(F.lit("/srv/"), "source_file"))
+    events = profile_events(profiles, timed, event_index(spark, sf_dir))
+    return events.withColumn("depends_on", F.array_join("depends_on", ","))
