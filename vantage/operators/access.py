@@ -1,20 +1,17 @@
-"""Access-control tracing in bulk (J15, J20, X1, R4-R10, §2.13 domain semantics).
+"""Access control: group closure (J20, X1, R5), domains (R9, §2.13).
 
 * Group closure (J20) is a semi-naive fixpoint over the implication edges:
   each round joins the newly found pairs with the edges and keeps only pairs
   not seen before (``left_anti``), so cycles terminate and diamonds add no
   duplicates.  Lineage is cut with a reliable checkpoint every round.
-* Rule catalogs (access rules, record rules) are small configuration: they are
-  compiled on the driver into Column expressions (one ``when`` per rule), so a
-  trace over any number of requests is a single pass with no join per rule.
-* Domains (R8 / R9) are parsed once per distinct rule on the driver and
-  compiled to Catalyst expressions with two-valued logic.
+* Domains (R9): parser, and a compiler of one domain to a Catalyst expression with
+  two-valued logic, for filters known on the driver.
+* Traces over rule tables are in ``access_rules``.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -218,7 +215,7 @@ def _like(a: Val, pattern, ci: bool) -> Column:
     if a.kind != "str" or not isinstance(pattern, str):
         return F.lit(False)
     plain = pattern.replace("\\", "\\\\")  # a backslash escapes nothing
-    return a.col.ilike(plain) if ci else a.col.like(plain)
+    return F.coalesce(a.col.ilike(plain) if ci else a.col.like(plain), F.lit(False))  # a missing text matches nothing
 
 
 def compile_domain(tree, fields: dict[str, Val], refs: dict[str, Val]) -> Column:
@@ -234,8 +231,6 @@ def compile_domain(tree, fields: dict[str, Val], refs: dict[str, Val]) -> Column
     _, field, op, value = tree
     if not isinstance(field, str) or field not in fields:
         return F.lit(False)          # missing field: condition false
-    if op in ("child_of", "parent_of"):
-        return F.lit(True)
     a = fields[field]
     if isinstance(value, Ref):
         if value.name not in refs:
@@ -251,6 +246,9 @@ def compile_domain(tree, fields: dict[str, Val], refs: dict[str, Val]) -> Column
         except DomainError:
             return F.lit(False)
 
+    if op in ("child_of", "parent_of"):
+        return F.lit(True)           # once its value resolves
+
     def in_list() -> Column:
         if b is not None and b.kind == "list":
             return F.exists(b.col, lambda x: _equal(a, Val(x, "num")))
@@ -296,7 +294,7 @@ def domain_column(text: str, fields: dict[str, Val], refs: dict[str, Val]) -> Co
         return F.lit(False)
 
 
-# --------------------------------------------------------------- the trace
+# ------------------------------------------------------- rules as written down
 
 @dataclass(frozen=True)
 class AccessRule:
@@ -318,95 +316,3 @@ class RecordRule:
     perm_write: bool = False
     perm_create: bool = False
     perm_unlink: bool = False
-
-
-def _perm(rule, op: Column) -> Column:
-    return (F.when(op == "read", F.lit(rule.perm_read)).when(op == "write", F.lit(rule.perm_write))
-            .when(op == "create", F.lit(rule.perm_create)).when(op == "unlink", F.lit(rule.perm_unlink))
-            .otherwise(F.lit(False)))
-
-
-def _in_groups(effective: Column, gid) -> Column:
-    return F.coalesce(F.array_contains(effective, F.lit(int(gid))), F.lit(False))
-
-
-def access_trace(requests: DataFrame, schema_models: Sequence[str], access_rules: Sequence[AccessRule],
-                 record_rules: Sequence[RecordRule], fields: dict[str, Val],
-                 model_col: str = "model", op_col: str = "op") -> DataFrame:
-    """One row per request with the verdict of each stage and the
-    overall verdict.  ``requests`` carries user columns (uid, user_found,
-    active, company_id, company_ids, effective) and the record's columns."""
-    model, op = F.col(model_col), F.col(op_col)
-    su = F.col("uid") == 1
-    refs = {"user.id": Val(F.col("uid").cast("double"), "num"),
-            "user.company_id": Val(F.col("company_id").cast("double"), "num"),
-            "user.company_id.id": Val(F.col("company_id").cast("double"), "num"),
-            "company_ids": Val(F.transform("company_ids", lambda x: x.cast("double")), "list"),
-            "user.company_ids": Val(F.transform("company_ids", lambda x: x.cast("double")), "list")}
-    eff = F.col("effective")
-    has_users_model = "res.users" in schema_models
-    s1 = (F.when(F.lit(not has_users_model), F.lit(ERROR))
-          .when(~F.coalesce(F.col("user_found"), F.lit(False)), F.lit(DENIED))
-          .when(~F.col("active"), F.lit(DENIED)).otherwise(F.lit(OK)))
-    in_schema = model.isin(*schema_models) if schema_models else F.lit(False)
-
-    # stage 3: model ACL
-    s3 = F.when(~in_schema, F.lit(ERROR))
-    granted_by_model = F.lit(False)
-    models_with_rules = sorted({r.model for r in access_rules})
-    for m in models_with_rules:
-        g = F.lit(False)
-        for r in (x for x in access_rules if x.model == m):
-            applies = F.lit(True) if r.group_id in ("", "0") else _in_groups(eff, r.group_id)
-            g = g | (applies & _perm(r, op))
-        granted_by_model = F.when(model == m, g).otherwise(granted_by_model)
-    has_acc = model.isin(*models_with_rules) if models_with_rules else F.lit(False)
-    s3 = s3.when(~has_acc, F.lit(DENIED)).when(granted_by_model, F.lit(OK)).otherwise(F.lit(DENIED))
-
-    # stage 4 / 5: record rules and domains, per model
-    s4 = F.when(~in_schema, F.lit(ERROR))
-    s5 = F.lit(OK)
-    for m in sorted({r.model for r in record_rules}):
-        rules = [r for r in record_rules if r.model == m]
-        total = F.lit(0)
-        group_exist, group_apply = F.lit(False), F.lit(False)
-        glob_ok, grp_ok_any = F.lit(True), F.lit(False)
-        for r in rules:
-            all_false = not (r.perm_read or r.perm_write or r.perm_create or r.perm_unlink)
-            covers = F.lit(True) if all_false else _perm(r, op)
-            dom = domain_column(r.domain, fields, refs)
-            total = total + covers.cast("int")
-            if not r.group_ids:
-                glob_ok = glob_ok & (~covers | dom)
-            else:
-                applies = covers & F.exists(F.array(*[F.lit(int(g)) for g in r.group_ids]),
-                                            lambda x: F.coalesce(F.array_contains(eff, x), F.lit(False)))
-                group_exist = group_exist | covers
-                group_apply = group_apply | applies
-                grp_ok_any = grp_ok_any | (applies & dom)
-        st4 = (F.when(total == 0, F.lit(SKIPPED)).when(group_exist & ~group_apply, F.lit(DENIED))
-               .otherwise(F.lit(OK)))
-        st5 = F.when(glob_ok & (~group_apply | grp_ok_any), F.lit(OK)).otherwise(F.lit(DENIED))
-        s4 = s4.when(model == m, st4)
-        s5 = F.when(model == m, st5).otherwise(s5)
-    s4 = s4.otherwise(F.lit(SKIPPED))
-
-    # one projection for all stages (no chain of withColumn re-analyses)
-    stop1 = (s1 != OK) | su
-    c3 = F.when(stop1, F.lit(None)).otherwise(s3)
-    stop3 = stop1 | (s3 != OK)
-    c4 = F.when(stop3, F.lit(None)).otherwise(s4)
-    stop4 = stop3 | (s4 != OK)
-    c5 = F.when(stop4, F.lit(None)).otherwise(s5)
-    out = requests.select("*", s1.alias("s1_user"), F.when(stop1, F.lit(None)).otherwise(F.lit(OK)).alias("s2_groups"),
-                          c3.alias("s3_model_acl"), c4.alias("s4_record_rules"), c5.alias("s5_domain"))
-    stages = ["s1_user", "s2_groups", "s3_model_acl", "s4_record_rules", "s5_domain"]
-    failing = F.lit(None).cast("string")
-    for s_ in reversed(stages):
-        failing = F.when(F.col(s_).isin(DENIED, ERROR), F.lit(s_)).otherwise(failing)
-    any_error = F.lit(False)
-    for s_ in stages:
-        any_error = any_error | F.coalesce(F.col(s_) == ERROR, F.lit(False))
-    return (out.withColumn("failing_stage", failing)
-            .withColumn("verdict", F.when(F.col("failing_stage").isNull(), F.lit("ALLOWED"))
-                        .when(any_error, F.lit("ERROR")).otherwise(F.lit("DENIED"))))
