@@ -463,9 +463,67 @@ def test_pipeline_stages(spark):
     for i, t in left:
         at, h = line_dedup.windows(*line_dedup.lines(text.lowered(t))[1:])
         gone = np.unique([x for x in h.tolist() if first.setdefault(x, i) != i]).astype(np.int64)
-        cut.append((i, line_dedup.cut_all([t], [gone])[0][0]))
+        after, n_lines, n_gone = line_dedup.cut_all([t], [gone])[0]
+        if not n_gone or n_gone < n_lines:  # a document without any line left goes
+            cut.append((i, after))
     group = brute_links(cut)
     one = [(i, t) for i, t in cut if group[i][0] == i]
-    assert sorted(r.doc_id for r in got) == [i for i, _ in one]
+    assert not [i for i, t in one if not words_of(t) and words_of(dict(left)[i])]  # no hollow rows
+    clean = decontamination.without_benchmark(spark.createDataFrame(one, "doc_id long, text string"), spark.read.parquet(f"{SF}/benchmark.parquet"))
+    plan = {r.doc_id: r for r in mixing.mixture(clean, labels, keep=("text",)).collect()}
     hit = {k[0]: k[1] - k[2] for k in brute_contamination(one, [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])}
-    assert {r.doc_id: r.n_tokens for r in got} == hit  # the words that decontamination leaves
+    assert plan.keys() == hit.keys()
+    for r in plan.values():
+        assert r.n_tokens == hit[r.doc_id] and int(r.rate) <= r.copies <= int(r.rate) + 1  # the words that decontamination leaves
+    source = {r.doc_id: r for r in docs.collect()}
+    assert collections.Counter(r.doc_id for r in got) == {i: r.copies for i, r in plan.items() if r.copies}
+    assert {r.copies for r in plan.values()} >= {0, 1, 2}
+    assert sorted((r.doc_id, r.copy_no) for r in got) == sorted((i, k + 1) for i, r in plan.items() for k in range(r.copies))
+    for r in got:
+        p, d = plan[r.doc_id], source[r.doc_id]
+        assert (r.text, r.lang, r.source, r.n_chars) == (p.text, d.lang, d.source, len(p.text))
+        assert (r.mix.n_tokens, r.mix.domain, r.mix.copies) == (p.n_tokens, p.domain, p.copies) and abs(r.mix.rate - p.rate) < 1e-6
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls, repeated rows and clashing names go through all stages; copies do not come out hollow."""
+    import corpus_pipeline as cp
+
+    body = " ".join(f"Sentence number {i} of this very plain text." for i in range(12))
+    columns = "doc_id long, text string, lang string, n_chars int, rate string, domain string, copies int, copy_no int, mix string, _gone int, _mark string, _metadata string, n_tokens int"
+    extra = ("r", "d", 3, 4, "m", 5, "k", "meta", 6)
+    rows = [(1, body, "en", 1, *extra), (2, body, "en", 1, *extra), (2, body, "en", 1, *extra), (3, body.upper(), None, None, *extra),
+            (4, None, None, None, *extra), (None, body, "en", 1, *extra), (None, "short", "en", 1, *extra), (5, "", "en", 1, *extra), (6, "Other words here.", "en", 1, *extra)]
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("b", "nothing like it")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = cp.run(spark, str(tmp_path))
+    assert got.columns == [c.split()[0] for c in columns.split(", ")] + ["copy_no_", "mix_"]
+    found = got.collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in found if r.text) == [(False, 1, body), (False, 6, "Other words here."), (True, 0, "short")]
+    assert sorted((r.doc_id, r.text) for r in found if not r.text) == [(4, None), (5, "")]
+    assert all((r.rate, r.domain, r.copies, r.copy_no, r.mix, r._gone, r._mark, r["_metadata"], r.n_tokens) == extra and r.copy_no_ == 1 for r in found)
+    assert cp.run(spark, str(_empty(spark, tmp_path, columns))).count() == 0
+
+
+def _empty(spark, tmp_path, columns):
+    spark.createDataFrame([], columns).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    spark.createDataFrame([], "item_id string, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    return tmp_path / "none"
+
+
+def test_exact_dedup_beside_a_metadata_column(spark, tmp_path):
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame([(1, "a b", "x"), (2, "ab", "y"), (3, "c", "z")], "doc_id long, text string, _metadata string").write.parquet(path)
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(spark, path).collect()} == {1: (1, 2), 2: (1, 2), 3: (3, 1)}
+
+
+def test_mixing_sample_is_bounded_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TRAIN_DOCS", 3)
+    docs = spark.createDataFrame([(i % 4, f"text {i % 4} of words {i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(4)], "doc_id long, quality int, toxic int")
+    seen = []
+    fit = mixing._fit
+    monkeypatch.setattr(mixing, "_fit", lambda x, *a: seen.append(len(x)) or fit(x, *a))
+    assert mixing.mixture(docs, labels).count() == 400 and seen == [4]  # one row for each doc_id

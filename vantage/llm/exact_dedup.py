@@ -45,8 +45,9 @@ def normalised(text: Column) -> Column:
 def _located(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, text and locator of every row of the Parquet table at ``path``."""
     docs = spark.read.parquet(path)
+    place = docs.metadataColumn("_metadata")  # the hidden column, also beside a real one of that name
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"),
-                       F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"))
+                       F.struct(place.getField("file_path").alias("file"), place.getField("row_index").alias("row")).alias("at"))
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:

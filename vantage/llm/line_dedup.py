@@ -20,8 +20,8 @@ and the earliest of them is never cut.
 
 Results for odd input: null and empty texts, and texts of fewer than three lines,
 stay as they are; rows that share a doc_id count as one document (an occurrence
-in one of them is no repetition of one in another); rows without doc_id count as
-one document behind all others; other columns are carried along, whatever their
+in one of them is no repetition of one in another); rows without doc_id are
+documents of their own behind all others, one for each text; other columns are carried along, whatever their
 names.  Texts are read whole.
 """
 
@@ -32,7 +32,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vantage.llm.text import lowered, mix, run_hashes, small_batches, words
@@ -46,7 +46,8 @@ REACH = 3
 LONGEST = 32
 #: Characters of texts that are cut into lines together (one longer text is a piece of its own).
 PIECE = 1 << 17
-_LAST = (1 << 63) - 1
+#: Rows without doc_id take keys from here on.
+_UNNAMED = 1 << 62
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -178,6 +179,11 @@ def _without(text: str, start: np.ndarray, drop: np.ndarray) -> str:
     return b"".join([*kept, raw[past:]]).decode("utf-8", "surrogatepass")
 
 
+def _key() -> Column:
+    """doc_id, or for rows without one a large number that follows from the text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_UNNAMED) + F.pmod(F.xxhash64("text"), F.lit(_UNNAMED)))
+
+
 def window_rows(docs: DataFrame) -> DataFrame:
     """(h, id): the window hashes of every document."""
 
@@ -190,7 +196,7 @@ def window_rows(docs: DataFrame) -> DataFrame:
                 _, owner, at, h = _windows_of_all(*_joined(texts))
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(own[owner[at]])], names=["h", "id"])
 
-    return (docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"),
+    return (docs.select(_key().alias("id"),
                         F.coalesce(F.col("text"), F.lit("")).alias("text"))
             .mapInArrow(rows, "h long, id long"))
 
@@ -219,7 +225,7 @@ def _deduplicated(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
 
     gone = removals(docs)
-    whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.struct("*").alias("doc"))
+    whole = docs.select(_key().alias("id"), F.struct("*").alias("doc"))
     done = whole.join(gone, "id", "left").select("doc", apply("doc.text", "gone").alias("cut"))
     return done.withColumn("cut", F.col("cut").withField("text", F.when(F.col("doc.text").isNotNull(), F.col("cut.text"))))
 
@@ -229,9 +235,12 @@ def line_counts(docs: DataFrame) -> DataFrame:
     return _deduplicated(docs).select("doc.doc_id", "cut.n_lines", "cut.n_removed", "cut.text")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs``, all columns, with repeated lines cut out of its text."""
+def without_repeats(docs: DataFrame, keep_emptied: bool = True) -> DataFrame:
+    """Every row of ``docs``, all columns, with repeated lines cut out of its text; if not
+    ``keep_emptied``, without the rows that lost all their lines."""
     done = _deduplicated(docs)
+    if not keep_emptied:
+        done = done.filter((F.col("cut.n_removed") == 0) | (F.col("cut.n_removed") < F.col("cut.n_lines")))
     new = {"text": F.col("cut.text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("cut.text").cast(docs.schema["n_chars"].dataType)

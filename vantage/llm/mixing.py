@@ -24,7 +24,7 @@ the labelled shares; a document that is labelled twice counts as toxic, or of hi
 quality, if one label says so; rows with a null label are not learned from; domains
 without labelled documents are left out, and the targets of the others scaled
 up; without any labelled document all rates are 1; repeated rows get equal rates; an
-empty table gives no rows; other columns are not read.
+empty table gives no rows; other columns are not read, but carried along by ``mixed``, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from vantage.llm.language_id import largest
 from vantage.llm.text import lowered, small_batches, words
-from vantage.session import cut_lineage
+from vantage.session import cut_lineage, written
 
 TRAIN_DOCS = 600
 #: Hash bits of a feature, and bytes hashed at once.
@@ -110,7 +110,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, np
             rows = [(d, features(t)[1].tobytes()) for d, t in zip(pdf.domain, pdf.text, strict=True) if t]
             yield pd.DataFrame(rows, columns=["domain", "x"])
 
-    rows = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # TRAIN_DOCS rows of each of four domains
+    # TRAIN_DOCS rows of each of four domains; of rows that share a doc_id the smallest text
+    rows = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text"))
             .select("domain", "text").mapInPandas(vectors, "domain string, x binary").collect())
     domains = sorted({r["domain"] for r in rows})
     if not domains:
@@ -151,15 +152,16 @@ def moved(now: Column, step: np.ndarray, domains: list[str]) -> Column:
     return F.greatest(F.lit(0.0), now)
 
 
-def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float]) -> tuple[DataFrame, np.ndarray]:
-    """(``members`` with a column ``rate``, shares of the original tokens reached by each domain)."""
+def fit_steps(members: DataFrame, domains: list[str], targets: dict[str, float]) -> tuple[DataFrame, np.ndarray, list[np.ndarray]]:
+    """(``members`` with a column ``rate``, shares of the original tokens reached by each domain, the steps taken)."""
+    steps: list[np.ndarray] = []
     out = members.withColumn("rate", F.lit(1.0))
     k = len(domains)
     goal = np.array([targets.get(d, 0.0) for d in domains])
     n, p = F.col("n_tokens").cast("double"), [F.col(f"p_{d}") for d in domains]
     total = members.agg(F.sum(n).alias("n")).first()["n"] if k and goal.sum() > 0 else None
     if not total:
-        return out, np.zeros(k)
+        return out, np.zeros(k), steps
     goal = goal / goal.sum()
     row = members.agg(*[F.sum(n * p[i] * p[j]).alias(f"m_{i}_{j}") for i in range(k) for j in range(i, k)]).first()
     second = np.array([[row[f"m_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / total
@@ -178,24 +180,67 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float])
             length = safe if gap @ gap > 2 * best else max(safe, float(length**2 * (before @ second @ before) / (change @ change)))
         best = min(best, float(gap @ gap))
         before = gap
-        rate = moved(rate, np.round(length * gap, 12), domains)
+        steps.append(np.round(length * gap, 12))
+        rate = moved(rate, steps[-1], domains)
         left += 1
         if left == KEPT_STEPS:
             out, rate, left = cut_lineage(out.withColumn("rate", rate)), F.col("rate"), 0
-    return out.withColumn("rate", rate), share
+    return out.withColumn("rate", rate), share, steps
+
+
+def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float]) -> tuple[DataFrame, np.ndarray]:
+    """(``members`` with a column ``rate``, shares of the original tokens reached by each domain)."""
+    return fit_steps(members, domains, targets)[:2]
+
+
+def likeliest(domains: list[str]) -> Column:
+    """The domain of the largest posterior, the first one on ties."""
+    posts = [F.col(f"p_{d}") for d in domains]
+    if not posts:
+        return F.lit(None).cast("string")
+    best = F.greatest(*posts) if len(posts) > 1 else posts[0]
+    return F.coalesce(*[F.when(p == best, F.lit(d)) for d, p in zip(domains, posts, strict=True)])
+
+
+def drawn_copies(rate: Column) -> Column:
+    """The rate's floor, and one more where the draw, a hash of doc_id, is below its fraction."""
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(1 << 20)
+    return (F.floor(rate) + (drawn < rate - F.floor(rate)).cast("long")).cast("long")
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
 
 
 def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, ``keep``, n_tokens, domain (the likeliest), posterior columns, rate, copies of every row."""
+    """doc_id, ``keep``, n_tokens, domain (the likeliest), posterior columns, rate, copies of every row; a kept
+    column with the name of an added one gets a ``_`` behind."""
     domains, prior, weights = train(docs, labels)
-    members = cut_lineage(memberships(docs, domains, prior, weights, list(keep)))
+    rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("row"), *keep).alias("kept"))
+    members = cut_lineage(memberships(rows, domains, prior, weights, ["kept"]))
     out, _ = fit_rates(members, domains, targets or TARGETS)
-    posts = [F.col(f"p_{d}") for d in domains]
-    domain = F.lit(None).cast("string")
-    if domains:
-        best = F.greatest(*posts) if len(posts) > 1 else posts[0]
-        domain = F.coalesce(*[F.when(p == best, F.lit(d)) for d, p in zip(domains, posts, strict=True)])
-    out = out.withColumn("domain", domain)
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(1 << 20)
-    copies = (F.floor("rate") + (drawn < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
-    return out.withColumn("copies", copies)
+    out = out.withColumn("domain", likeliest(domains)).withColumn("copies", drawn_copies(F.col("rate")))
+    own = [c for c in out.columns if c != "kept"]
+    return out.select("doc_id", *[F.col("kept")[c].alias(_free(c, own)) for c in keep], *own[1:])
+
+
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """The mixture itself: each row of ``docs``, all columns, as often as its copies say (not at all for 0),
+    with ``copy_no`` from 1 and ``mix`` (n_tokens, domain, rate, copies); an added name that ``docs`` has gets a ``_`` behind.
+
+    Rows and posteriors are written once; the steps read the narrow columns only, and the
+    steps found are applied to the rows in one last pass."""
+    domains, prior, weights = train(docs, labels)
+    rows = docs.select("doc_id", "text", F.struct("*").alias("doc"))
+    members = written(memberships(rows, domains, prior, weights, ["doc"]))
+    _, _, steps = fit_steps(cut_lineage(members.drop("doc")), domains, targets or TARGETS)
+    rate = F.lit(1.0)
+    for step in steps:
+        rate = moved(rate, step, domains)
+    done = members.withColumn("rate", rate).withColumn("copies", drawn_copies(F.col("rate"))).filter("copies > 0")
+    mix = F.struct("n_tokens", likeliest(domains).alias("domain"), "rate", "copies")
+    copy_no, mix_name = _free("copy_no", docs.columns), _free("mix", docs.columns)
+    return (done.select("doc", mix.alias("m"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("c"))
+            .select(*[F.col("doc")[c].alias(c) for c in docs.columns], F.col("c").alias(copy_no), F.col("m").alias(mix_name)))

@@ -271,5 +271,7 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = R
     classes = classes.withColumnRenamed("doc_id", "least")
     gone = (described.join(classes, "digest").join(linked, "digest", "left")
             .filter(F.col("doc_id") != F.coalesce("root", "least"))
-            .select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark")).distinct())
-    return docs.join(gone, (docs["doc_id"] == F.col("_gone")) & (F.xxhash64(docs["text"]) == F.col("_mark")), "left_anti")
+            .select(F.col("doc_id").alias("gone"), "mark").distinct())
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("own"), F.struct("*").alias("doc"))
+    kept = rows.join(gone, (F.col("id") == F.col("gone")) & (F.col("own") == F.col("mark")), "left_anti")
+    return kept.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
