@@ -5,18 +5,20 @@ result is written as Parquet and read again as the next stage's ``docs``.  All
 but the last return the columns of ``documents``.
 
 1. toxicity: documents that the trained model rejects go.
-2. line_dedup: repeated three-line windows are cut out of later documents.
+2. line_dedup: repeated three-line windows are cut out of later documents; a document that loses all its
+   lines (an exact copy, say) goes.
 3. near_join: of each group of near copies the document with the smallest doc_id stays.
 4. decontamination: words of benchmark windows are cut out of the texts.
-5. mixing: each document gets the rate, and the number of copies, that brings the
-   domains to their target shares; a document of rate 0 keeps its row.
+5. mixing: each document gets the rate that brings the domains to their target shares, and stands in
+   the result as often as its drawn number of copies says (``copy_no`` from 1, with text and all columns; ``mix`` has
+   its tokens, domain, rate and copies), not at all for 0.
 
 SQL can express none of the trained stages, so ``ORACLE_SQL`` is None; the tests
 hold ``run`` against a brute-force version on small tables.
 
 Results for odd input are those of the operators: rows with null or empty text
 pass stages 1 to 4 unchanged, rows without doc_id are no near copies, empty
-tables stay empty, and further columns of ``documents`` are carried to stage 5.
+tables stay empty, and further columns of ``documents`` are carried to the result.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.without_repeats(docs)
+    return line_dedup.without_repeats(docs, keep_emptied=False)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixture(docs, table(spark, sf_dir, "labels"))
+    return mixing.mixed(docs, table(spark, sf_dir, "labels"))
 
 
 STAGES = [("toxicity", toxic_documents), ("line_dedup", repeated_lines), ("near_join", near_copies),
