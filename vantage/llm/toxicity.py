@@ -272,11 +272,14 @@ def summarise(margins: np.ndarray, bias: float, n: int) -> np.ndarray:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 400, ridge: float = 1e-3) -> np.ndarray:
-    """Linear SVM with squared hinge loss by accelerated gradient steps; y is -1 or 1."""
-    x = np.c_[x, np.ones(len(x))]
+    """Linear SVM with squared hinge loss by accelerated gradient steps; y is -1 or 1, the last column of x is 1."""
     weight = weight / weight.sum()
     w = v = np.zeros(x.shape[1])
-    step = 1 / (2 * np.linalg.norm(x * np.sqrt(weight)[:, None], 2) ** 2 + ridge)
+    moments = np.zeros((x.shape[1], x.shape[1]))
+    for a in range(0, len(x), 1 << 13):  # no second copy of x
+        part = x[a : a + (1 << 13)]
+        moments += (part * weight[a : a + (1 << 13), None]).T @ part
+    step = 1 / (2 * np.linalg.eigvalsh(moments)[-1] + ridge)
     for k in range(rounds):
         slack = np.maximum(0, 1 - y * (x @ v))
         new = v - step * (ridge * np.r_[v[:-1], 0] - 2 * (weight * y * slack) @ x)
@@ -415,7 +418,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     got = sample.mapInPandas(sentences, "toxic int, n long, rows binary").collect()
     m = len(words)
-    feats = [np.frombuffer(r["rows"], "<f4").reshape(-1, m).astype(float) for r in got]
+    feats = [np.frombuffer(r["rows"], "<f4").reshape(-1, m) for r in got]
     label = np.array([r["toxic"] for r in got])
     rest = np.array([max(r["n"] - len(f), 0) for r, f in zip(got, feats, strict=True)])
 
@@ -425,7 +428,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
 
     # sentences without any near unit are all alike: one row of each class with their number
-    x = np.vstack([*feats, np.zeros((2, m))]) @ root
+    edge = np.cumsum([0, *map(len, feats)])
+    x = np.zeros((edge[-1] + 2, m + 1))
+    x[:, -1] = 1
+    for a, b, f in zip(edge, edge[1:], feats, strict=False):
+        x[a:b, :-1] = f @ root
     y = np.r_[np.repeat(label, [len(f) for f in feats]), 0, 1] * 2 - 1
     weight = np.r_[np.ones(len(x) - 2), rest[label == 0].sum(), rest[label == 1].sum()].astype(float)
     for side in (-1, 1):
