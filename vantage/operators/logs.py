@@ -37,6 +37,12 @@ def split_logger(logger: Column) -> Column:
     return F.struct(F.get(parts, 0).alias("module"), F.coalesce(F.get(parts, 1), F.lit("")).alias("model"))
 
 
+def parsed_header(h: Column) -> list[Column]:
+    """Ts, pid, level, db, logger and message of a header line."""
+    parts = [F.regexp_extract(h, LOG_HEADER_PATTERN, i) for i in range(1, 7)]
+    return [parse_timestamp(parts[0]).alias("ts"), *[p.alias(n) for p, n in zip(parts[1:], ("pid", "level", "db", "logger", "message"))]]
+
+
 def assemble_entries(lines: DataFrame) -> DataFrame:
     """Header lines start entries, other lines append; lines before the
     first header are dropped.  Lines are capped at 1 MB."""
@@ -52,16 +58,8 @@ def assemble_entries(lines: DataFrame) -> DataFrame:
          .agg(F.max(F.when(F.col("_h"), F.col("value"))).alias("header"),
               F.min(F.when(F.col("_h"), F.col("line_no"))).alias("line_no"),
               F.array_sort(F.collect_list(F.when(~F.col("_h"), F.struct("line_no", "value")))).alias("_cont")))
-    h = F.col("header")
-    return g.select(
-        "file", "entry", "line_no",
-        parse_timestamp(F.regexp_extract(h, LOG_HEADER_PATTERN, 1)).alias("ts"),
-        F.regexp_extract(h, LOG_HEADER_PATTERN, 2).alias("pid"),
-        F.regexp_extract(h, LOG_HEADER_PATTERN, 3).alias("level"),
-        F.regexp_extract(h, LOG_HEADER_PATTERN, 4).alias("db"),
-        F.regexp_extract(h, LOG_HEADER_PATTERN, 5).alias("logger"),
-        F.regexp_extract(h, LOG_HEADER_PATTERN, 6).alias("message"),
-        F.array_join(F.transform("_cont", lambda x: x["value"]), "\n").alias("continuation"))
+    return g.select("file", "entry", "line_no", *parsed_header(F.col("header")),
+                    F.array_join(F.transform("_cont", lambda x: x["value"]), "\n").alias("continuation"))
 
 
 def entries_to_errors(entries: DataFrame) -> DataFrame:

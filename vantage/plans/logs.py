@@ -6,13 +6,18 @@ entries into error events, R3 turns query entries into ORM events."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vantage.operators import logs as lo
 from vantage.operators.windows import rank_in_group
 from vantage.plans.errors import WS_SQL, _normalize_sql
-from vantage.plans.registry import query
+from vantage.plans.registry import REGISTRY, query
+from vantage.session import checkpoint_dir
 from vantage.sources.tables import EVENTS_CTE_SQL, telemetry_events
+from vantage.streaming import logs as sl
+from vantage.streaming.stateful import rocksdb_state
 
 
 def log_lines(spark, sf_dir):
@@ -153,3 +158,38 @@ SELECT file, entry, ts, 'orm' AS category,
 FROM q2""", ops="R3 C6 C7 C10")
 def q_log_queries(spark, sf_dir):
     return lo.entries_to_queries(entries(spark, sf_dir))
+
+
+# ------------------------------------------------- the same logs as a stream (S8, SRC1)
+# Segments of fifty lines are landed in two waves, so that entries begin in one micro-batch and
+# end in another; a segment of one empty line ends each log.
+
+SEGMENT_LINES = 50
+
+
+def land_segments(spark, sf_dir, path):
+    """Two functions that land the first segment of every log, and all others."""
+    n = F.floor((F.col("line_no") - 1) / SEGMENT_LINES)
+    lines = F.sort_array(F.collect_list(F.struct("line_no", "value")))  # of one segment
+    cut = (log_lines(spark, sf_dir).groupBy(F.col("file").alias("log"), n.alias("n"))
+           .agg(F.array_join(F.transform(lines, lambda x: x["value"]), "\n").alias("value"))
+           .select("value", "log", F.format_string("%09d", "n").alias("segment")))
+    first = F.col("segment") == "000000000"
+    ends = cut.filter(first).select(F.lit("").alias("value"), "log", F.lit("end").alias("segment"))
+
+    def land(rows):
+        rows.write.mode("append").partitionBy("log", "segment").text(path)
+
+    return lambda: land(cut.filter(first)), lambda: land(cut.filter(~first).unionByName(ends))
+
+
+@query("log_stream", REGISTRY["log_entries"].sql.replace("SELECT file, entry, line_no,", "SELECT file, line_no,"), ops="S8 SRC1 R1 C8 C9")
+def q_log_stream(spark, sf_dir):
+    folder = f"{checkpoint_dir(spark)}/log-stream-{uuid.uuid4().hex}"
+    with rocksdb_state(spark):
+        for land in land_segments(spark, sf_dir, f"{folder}/in"):
+            land()
+            sl.run_entries(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state", idle_ms=3_600_000)
+    e = spark.read.parquet(f"{folder}/out")
+    line = F.col("segment").cast("long") * SEGMENT_LINES + F.col("line_no")
+    return e.select(F.col("log").alias("file"), line.alias("line_no"), "ts", "pid", "level", "db", "logger", "message", "continuation")

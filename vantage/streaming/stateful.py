@@ -8,6 +8,7 @@ micro-batches in arrival order (as the reference processes its queue)."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,6 +24,18 @@ def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+@contextmanager
+def rocksdb_state(spark):
+    """RocksDB state stores inside the block; the session's setting comes back behind it."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    use_rocksdb(spark)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class CooldownProcessor(StatefulProcessor):
     """S3: emit a breach unless one was emitted for the key less than
     ``cooldown_us`` earlier (suppressed ones do not extend the gap)."""
