@@ -143,13 +143,8 @@ def cooldown_fold_local(breaches: DataFrame, keys: Sequence[str], ts_col: str, c
     return d.groupBy(*keys).applyInPandas(fold, schema=schema)
 
 
-def budget_alerts(samples: DataFrame, cooldown: str = "10 minutes") -> DataFrame:
-    """R19 (alert part): breaches -> cool-down (W9) -> alert rows with C5
-    severity and message text."""
-    br = samples.filter(F.col("breach")).select(
-        "env_id", "budget_id", "module", "endpoint", "period", "threshold_pct", "total_ms", "module_ms",
-        "overhead_pct")
-    kept = cooldown_fold(br, ["env_id", "module", "budget_id"], "period", cooldown)
+def alert_rows(kept: DataFrame) -> DataFrame:
+    """The alert of each breach, with C5 severity, message text and metadata (JSON)."""
     thr = F.col("threshold_pct")
     sev = F.when((thr > 0) & (F.col("module_ms") * 200 >= thr.cast("long") * 3 * F.col("total_ms")),
                  "critical").otherwise("warning")
@@ -158,4 +153,16 @@ def budget_alerts(samples: DataFrame, cooldown: str = "10 minutes") -> DataFrame
         F.lit("budget_exceeded").alias("type"), sev.alias("severity"),
         F.format_string("Module '%s' exceeded performance budget: %s%% overhead (threshold: %d%%)",
                         F.col("module"), tenths_text(F.col("module_ms"), F.col("total_ms")), thr).alias("message"),
-        (F.col("overhead_pct") - thr).alias("exceeded_by"))
+        (F.col("overhead_pct") - thr).alias("exceeded_by"),
+        F.to_json(F.struct("module", "endpoint", "budget_id", "overhead_pct", "threshold_pct", (F.col("overhead_pct") - thr).alias("exceeded_by"),
+                           "total_ms", "module_ms")).alias("metadata"))
+
+
+def budget_alerts(samples: DataFrame, cooldown: str = "10 minutes") -> DataFrame:
+    """R19 (alert part): breaches -> cool-down (W9) -> alert rows with C5
+    severity and message text."""
+    br = samples.filter(F.col("breach")).select(
+        "env_id", "budget_id", "module", "endpoint", "period", "threshold_pct", "total_ms", "module_ms",
+        "overhead_pct")
+    kept = cooldown_fold(br, ["env_id", "module", "budget_id"], "period", cooldown)
+    return alert_rows(kept).drop("metadata")
