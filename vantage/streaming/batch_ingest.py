@@ -100,12 +100,12 @@ def budget_alerts(breaches: DataFrame, past: DataFrame, cooldown: str = "10 minu
     return bo.alert_rows(kept).select(*keys[:2], "module", F.col("created_at").alias("period"), "type", "severity", "message", "metadata")
 
 
-def alert_stream(spark: SparkSession, store: Store, alerts: Store, checkpoint: str) -> None:
+def alert_stream(spark: SparkSession, store: Store, alerts: Store, checkpoint: str, cooldown: str = "10 minutes") -> None:
     """SNK4: follows the manifest of ``store`` and appends the alerts of newly committed breaches to ``alerts``."""
     def handle(rows: DataFrame, batch_id: int) -> None:
         new = rows.filter("table = 'breaches'").select("seq", "attempt")
         files = store.files("breaches", SAMPLES).join(new, ["seq", "attempt"], "left_semi").drop("seq", "attempt", "bucket")
-        alerts.commit(f"breaches-{batch_id}", {"alerts": budget_alerts(files, alerts.appended("alerts", BUDGET_ALERTS))}, {})
+        alerts.commit(f"breaches-{batch_id}", {"alerts": budget_alerts(files, alerts.appended("alerts", BUDGET_ALERTS), cooldown)}, {})
 
     committed = spark.readStream.schema(MANIFEST).option("recursiveFileLookup", "true").parquet(f"{store.base}/manifest")
     (committed.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
