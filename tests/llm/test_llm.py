@@ -527,3 +527,18 @@ def test_mixing_sample_is_bounded_by_rows(spark, monkeypatch):
     fit = mixing._fit
     monkeypatch.setattr(mixing, "_fit", lambda x, *a: seen.append(len(x)) or fit(x, *a))
     assert mixing.mixture(docs, labels).count() == 400 and seen == [4]  # one row for each doc_id
+
+
+def test_many_languages_and_repeated_rows(spark):
+    """No language is left out, and rows that share a doc_id and text count once."""
+    rng = np.random.default_rng(1)
+    alphabet = [chr(0x4E00 + i) for i in range(2000)]
+    rows = []
+    for k in range(230):
+        own = alphabet[k * 8 : k * 8 + 8]
+        rows += [(1000 * k + i, "".join(rng.choice(own, 30)), f"l{k:03d}") for i in range(6)]
+    docs = spark.createDataFrame(rows + [rows[0]] * 500, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert len(model.languages) == 230
+    got = [model.predict([t])[0][0] for _, t, _ in rows[::7]]
+    assert np.mean([g == r[2] for g, r in zip(got, rows[::7])]) > 0.97

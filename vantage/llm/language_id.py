@@ -3,40 +3,39 @@
 * Features are counts of hashed letter n-grams (``ORDERS`` letters), letters
   lower-cased, everything else one blank; counts are damped and scaled to length 1.
 * Each language has a codeword of bits; each bit is one binary logistic classifier,
-  trained to tell the languages with a 1 from those with a 0.  Few languages use
-  all different splits, more use a fixed set of balanced ones.
+  trained to tell the languages with a 1 from those with a 0.  The splits are random
+  balanced ones, ten times as many as are needed to tell the languages apart.
 * Decoding: for each language, the losses of all bits against its codeword are
   added, each weighted by how well its classifier did in training; the codeword of
   least loss is chosen.  The score is that codeword's share (soft-min over losses),
   and a document whose two nearest codewords are close is flagged as ambiguous.
 
-Training reads at most ``TRAIN_DOCS`` documents of each of the ``LANGUAGES`` most
-frequent languages, none of the held-out fold, chosen by a hash.
+Training reads at most ``TRAIN_DOCS`` documents of each language, fewer (``FEWEST_DOCS`` at least)
+where all languages together would pass ``SAMPLE_DOCS``, none of the held-out fold, chosen by a hash;
+every language that has a label is learned.
 ``lang``, ``source`` and ``doc_id`` are no inputs of a prediction.
 
 Results for odd input: null texts and texts without letters are ``und`` with score
 0; without any labelled row every text is ``und``; with one language all are that
-one; null and empty languages are not learned from; repeated rows are predicted
-alike; other columns are not read.  Texts are read whole.
+one; null and empty languages are not learned from; repeated rows count once in training and
+are predicted alike; of languages of equal loss the first by name is taken; other columns are not read.  Texts are read whole.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vantage.llm.text import held_out, small_batches
 
-TRAIN_DOCS, LANGUAGES = 400, 200
+#: Sample: documents of a language at most and at least, and of all languages (which the driver holds as vectors).
+TRAIN_DOCS, FEWEST_DOCS, SAMPLE_DOCS = 400, 20, 16_000
 ORDERS, WIDTH = (1, 2, 3), 1 << 12
-#: Above this many languages, codewords are balanced splits instead of all of them.
-ALL_SPLITS = 6
 #: Difference of shares of the two nearest codewords below which a text is ambiguous.
 CLOSE = 0.3
 #: Letters hashed at once.
@@ -87,11 +86,8 @@ def features(text: str | None) -> np.ndarray | None:
 
 def codewords(n: int) -> np.ndarray:
     """Codewords (languages x bits, of -1 and 1), all different, no bit constant."""
-    if n <= ALL_SPLITS:
-        splits = [s for s in itertools.product((-1, 1), repeat=n) if s[0] == 1 and -1 in s]
-        return np.array(splits).T.reshape(n, -1)
     rng = np.random.default_rng(n)
-    bits = int(np.ceil(10 * np.log2(n)))
+    bits = int(np.ceil(10 * np.log2(n)))  # random balanced splits
     while True:
         code = np.array([rng.permutation(np.where(np.arange(n) % 2, 1, -1)) for _ in range(bits)]).T
         if len(np.unique(code, axis=0)) == n:
@@ -153,23 +149,26 @@ def train(docs: DataFrame) -> Model:
     small_batches(docs.sparkSession)
     known = docs.filter(F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull()
                         & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False))).select("lang", "text", "doc_id")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    n = counts.count()
+    if not n:
         return Model([], np.zeros((0, 0)), np.zeros((1, 0)), np.zeros(0))
-    # a share of each language by hash, with some to spare, then an exact bound
+    each = max(FEWEST_DOCS, min(TRAIN_DOCS, SAMPLE_DOCS // n))
+    # a share of each language by hash, with some to spare, then an exact bound; rows that are equal count once
     range_ = 1 << 30
-    place = F.pmod(F.xxhash64("text", "doc_id"), F.lit(range_))
-    below = F.lit(0)
-    for r in counts:
-        below = F.when(F.col("lang") == r["lang"], F.lit(int(min(1.0, 1.5 * TRAIN_DOCS / r["n"]) * range_))).otherwise(below)
+    share = F.least(F.lit(1.0), F.lit(1.5 * each) / F.col("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
+    some = (known.withColumn("place", F.pmod(F.xxhash64("text", "doc_id"), F.lit(range_)))
+            .join(F.broadcast(counts.select("lang", (share * range_).cast("long").alias("below"))), "lang")  # as many rows as the model has languages
+            .filter(F.col("place") < F.col("below")).groupBy("lang", "doc_id", "place").agg(F.min("text").alias("text"))
+            .withColumn("rank", rank).filter(F.col("rank") <= each))
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(lang, f.tobytes()) for lang, t in zip(pdf.lang, pdf.text, strict=True) if (f := features(t)) is not None]
             yield pd.DataFrame(rows, columns=["lang", "x"])
 
-    rows = (known.filter(place < below).select("lang", "text").mapInPandas(vectors, "lang string, x binary")
-            .limit(2 * TRAIN_DOCS * len(counts)).collect())
+    rows = some.select("lang", "text").mapInPandas(vectors, "lang string, x binary").collect()  # at most n * each vectors
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return Model([], np.zeros((0, 0)), np.zeros((1, 0)), np.zeros(0))
