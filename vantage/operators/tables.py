@@ -25,8 +25,6 @@ RETENTION_DEFAULTS = {
     "raw_logs_days": 3,
     "audit_log_days": 90,
 }
-# Plan -> default policy name (unknown plans get "cloud").
-PLAN_POLICIES = {"cloud": "cloud", "onprem": "onprem", "enterprise": "enterprise"}
 PER_PAGE_DEFAULT, PER_PAGE_MAX = 25, 100
 
 
