@@ -36,6 +36,29 @@ def test_window_count_open_left(spark):
         assert got[seq] == n
 
 
+def test_window_count_hot_key_is_spread(spark):
+    """One key holds all rows, bursts share a timestamp, one row has no time: the counts are
+    exact and the rows of one window lie in many slices."""
+    rnd = random.Random(3)
+    base = datetime(2024, 1, 1)
+    rows = [(i, base + timedelta(milliseconds=rnd.choice([rnd.randrange(40_000), 7_000, 17_000])), "hot", f"x{i}")
+            for i in range(500)]
+    df = spark.createDataFrame([*rows, (500, None, "hot", "none"), (501, base, None, "nokey")],
+                               "seq long, ts timestamp, key string, extra string")
+    for closed in (True, False):
+        got = {r.seq: (r.n, r.extra) for r in
+               wo.window_count(df, ["key"], "10 seconds", out_col="n", closed_left=closed).collect()}
+        assert len(got) == 502 and got[500] == (0, "none") and got[501] == (1, "nokey")
+        for seq, ts, _, extra in rows:
+            edge = ts - timedelta(seconds=10)
+            n = sum(1 for s2, t2, _, _ in rows if (t2, s2) <= (ts, seq) and (t2 >= edge if closed else t2 > edge))
+            assert got[seq] == (n, extra)
+    plan = wo.window_count(df, ["key"], "10 seconds")._jdf.queryExecution().executedPlan().toString()
+    by = [x.split(")")[0] for x in plan.split("hashpartitioning(")[1:]]
+    assert by and all("_b#" in x or "_span#" in x for x in by)  # never by the key alone
+    assert wo.window_count(df.limit(0), ["key"], "10 seconds").count() == 0
+
+
 def test_rank_and_prev_in_group(spark):
     rows, df = _events(spark)
     w = Window.partitionBy("key").orderBy("ts", "seq")
@@ -59,6 +82,28 @@ def test_nearest_rank(spark):
     assert p(list(range(1, 101)), 50) == 51
 
 
+def test_nearest_rank_refines_ranges(spark):
+    """Groups of many values are refined, few stay whole; lopsided, tied, negative and missing values."""
+    rnd = random.Random(5)
+    rows = [("wide", round(rnd.gauss(0, 100), 6)) for _ in range(3000)]
+    rows += [("steep", float(10 ** rnd.uniform(-3, 12))) for _ in range(2000)]
+    rows += [("tied", float(rnd.randrange(3))) for _ in range(500)] + [("one", 4.5), ("none", None), ("none", float("nan"))]
+    rows += [(None, float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for p in (0, 50, 95, 100):
+        want = {}
+        for g in ("wide", "steep", "tied", "one", None):
+            vals = sorted(v for k, v in rows if k == g)
+            want[g] = vals[min(p * len(vals) // 100, len(vals) - 1)]
+        for leaf in (1, 20, 100_000):
+            if leaf == 1 and p != 95:
+                continue
+            got = st.nearest_rank(df, ["g"], "v", p, "p", leaf=leaf).collect()
+            assert {r.g: r.p for r in got} == want and len(got) == len(want)
+    longs = spark.createDataFrame([("a", x) for x in (-2**63, -1, 0, 5, 2**63 - 1)], "g string, v long")
+    assert st.nearest_rank(longs, ["g"], "v", 50, "p", leaf=1).first().p == 0
+
+
 def test_window_stats_fixture(spark):
     t = datetime(2024, 1, 1, 0, 0, 1)
     rows = [(1, t, "env", "res.partner", "search_read", 10, False, "q1", "orm"),

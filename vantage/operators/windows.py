@@ -2,9 +2,9 @@
 
 Hot keys: an environment or SQL signature may carry a third of all rows, so no
 operator here partitions a window by a bare business key when the frame is
-bounded in time.  W1 partitions by (key, time bucket) and replicates the
-previous bucket as read-only context, which keeps the result exact while each
-window partition holds at most two buckets of one key.
+bounded in time.  W1 partitions by (key, slice of the window): a signed running
+sum over the rows that enter and leave gives the exact count, and no partition
+holds more than two slices of one key.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from vantage.functions.sqltext import normalize_sql
 
 
+SLICES = 20  # slices of a counting window; divides every whole number of milliseconds
+
+
 def _cols(xs: Sequence[str]) -> list[Column]:
     return [F.col(x) for x in xs]
 
@@ -34,28 +37,43 @@ def window_count(df: DataFrame, keys: Sequence[str], window: str, ts_col: str =
                  seq_col: str = "seq", out_col: str = "n_in_window", closed_left: bool = True) -> DataFrame:
     """Rows with the same ``keys`` in ``[ts - window, ts]`` (or ``(ts - window,
     ts]`` when ``closed_left`` is false), counting the row itself and only
-    earlier arrivals (order ``ts, seq``).
+    earlier arrivals (order ``ts, seq``).  A row without a time counts 0.
+
+    The window is cut into ``k`` slices (at most ``SLICES``), and a partition holds
+    one slice of one key, so that a key with all rows is spread over many tasks even
+    within one window.  The count is a running sum over three kinds of rows in a slice:
 
-    Plan: rows are bucketed by ``floor(ts / window)``; every row is also copied
-    (keys + order columns only) into the next bucket as context.  Inside a
-    (keys, bucket) partition: count = row_number - rows older than the window.
-    Two buckets bound each partition, so a hot key is spread over time.
+    - once a slice, the rows of the ``k`` slices before it (``+``), from counts;
+    - the slice's own rows, +1 each;
+    - the rows of the slice ``k`` before it, -1 at the time they leave the window.
+
+    The counts of a slice see at most ``2 k`` other counts, in spans of one window.
     """
     w_us = interval_us(window)
-    us = F.unix_micros(F.col(ts_col))
-    base = df.withColumn("_us", us).withColumn("_b", F.floor(F.col("_us") / F.lit(w_us)).cast("long"))
-    own = base.withColumn("_own", F.lit(True))
-    ctx = (base.select(*keys, "_us", seq_col, (F.col("_b") + 1).alias("_b"))
-           .withColumn("_own", F.lit(False)))
-    u = own.unionByName(ctx, allowMissingColumns=True)
-    part = Window.partitionBy(*_cols(keys), F.col("_b"))
-    w_rows = part.orderBy(F.col("_us"), F.col(seq_col))
-    edge = -(w_us + 1) if closed_left else -w_us
-    w_before = part.orderBy(F.col("_us")).rangeBetween(Window.unboundedPreceding, edge)
-    n = F.row_number().over(w_rows) - F.count(F.lit(1)).over(w_before)
-    return (u.withColumn(out_col, n.cast("long"))
-            .filter(F.col("_own"))
-            .drop("_us", "_b", "_own"))
+    k = next(d for d in range(SLICES, 0, -1) if w_us % d == 0)
+    keys = list(keys)
+    base = (df.withColumn("_at", F.unix_micros(F.col(ts_col)))
+            .withColumn("_b", F.floor(F.col("_at") / F.lit(w_us // k)).cast("long")))
+    timed = base.select(*keys, "_at", "_b").filter(F.col("_at").isNotNull())
+
+    counts = (timed.groupBy(*_cols(keys), F.col("_b")).agg(F.count(F.lit(1)).alias("_c"))
+              .withColumn("_span", F.floor(F.col("_b") / F.lit(k)).cast("long")).withColumn("_own", F.lit(True)))
+    later = counts.withColumn("_span", F.col("_span") + 1).withColumn("_own", F.lit(False))
+    before = Window.partitionBy(*_cols(keys), F.col("_span")).orderBy("_b").rangeBetween(-k, -1)
+    prior = (counts.unionByName(later).withColumn("_w", F.sum("_c").over(before))
+             .filter(F.col("_own") & F.col("_w").isNotNull())
+             .select(*keys, "_b", "_w", F.lit(-2).alias("_kind")))
+
+    own = base.withColumn("_w", F.lit(1).cast("long")).withColumn("_kind", F.lit(0))
+    leaving = timed.select(*keys, (F.col("_at") + w_us).alias("_at"), (F.col("_b") + k).alias("_b"),
+                           F.lit(-1).cast("long").alias("_w"), F.lit(1 if closed_left else -1).alias("_kind"))
+    rows = own.unionByName(leaving, allowMissingColumns=True).unionByName(prior, allowMissingColumns=True)
+    running = (Window.partitionBy(*_cols(keys), F.col("_b"))
+               .orderBy(F.col("_at").asc_nulls_first(), F.col("_kind"), F.col(seq_col))
+               .rowsBetween(Window.unboundedPreceding, 0))
+    n = F.when(F.col("_at").isNull(), 0).otherwise(F.sum("_w").over(running))
+    return (rows.withColumn(out_col, n.cast("long")).filter(F.col("_kind") == 0)
+            .drop("_at", "_b", "_w", "_kind"))
 
 
 def flag_repeats(df: DataFrame, keys: Sequence[str], window: str, threshold: int,
