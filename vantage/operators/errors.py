@@ -79,14 +79,12 @@ def spike_alerts(err: DataFrame, threshold: int, base: DataFrame | None = None,
     """One warning per (env, signature) at the occurrence where the running
     count reaches ``threshold`` exactly (``base`` holds stored counts);
     threshold <= 0 disables."""
-    if threshold <= 0:
-        return err.limit(0).select("env_id", "signature")
     r = rank_in_group(err, ["env_id", "signature"], ["ts", "seq"], bucket=bucket, out_col="_rank")
     if base is not None:
         r = (r.join(base.select("env_id", "signature", F.col("occurrence_count").alias("_base")),
                     ["env_id", "signature"], "left")
              .withColumn("_rank", F.col("_rank") + F.coalesce(F.col("_base"), F.lit(0))).drop("_base"))
-    hit = r.filter(F.col("_rank") == threshold)
+    hit = r.filter((F.col("_rank") == threshold) & F.lit(threshold > 0))
     return hit.select(
         "env_id", "signature", "seq", "ts", F.col("_rank").alias("occurrence_count"),
         F.lit("error_spike").alias("type"), F.lit("warning").alias("severity"),

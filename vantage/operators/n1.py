@@ -46,7 +46,7 @@ def score_patterns(patterns: DataFrame, enrichment: DataFrame | None = None) ->
         e = enrichment.select("env_id", "model", "method", F.col("sample_sql").alias("_e_sql"),
                               F.col("signature").alias("_e_sig"), F.lit(True).alias("_e_hit"))
         p = (p.join(e, ["env_id", "model", "method"], "left")
-             .withColumn("sample_sql", F.when(F.coalesce(F.col("sample_sql"), F.lit("")) == "", F.col("_e_sql"))
+             .withColumn("sample_sql", F.when(F.col("_e_hit") & (F.coalesce(F.col("sample_sql"), F.lit("")) == ""), F.col("_e_sql"))
                          .otherwise(F.col("sample_sql")))
              .withColumn("signature", F.when(F.col("_e_hit"), F.col("_e_sig"))
                          .when(F.coalesce(F.col("sample_sql"), F.lit("")) != "", normalize_sql(F.col("sample_sql")))

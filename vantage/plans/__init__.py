@@ -2,7 +2,7 @@
 
 from vantage.plans.registry import REGISTRY, Query, query  # noqa: F401
 from vantage.plans import (access, budgets, errors, ingest, listings, logs, overview, profiles, records, reports,  # noqa: F401
-                           tables, telemetry, upgrade)
+                           tables, telemetry, upgrade, environments)
 
 
 def all_queries() -> dict[str, Query]:
