@@ -81,3 +81,37 @@ def test_schema_index_from_json(spark):
     rows = {(r.model, r.field) for r in up.schema_index_from_json(df).collect()}
     assert ("sale.order", "partner_id") in rows and ("sale.order", "amount") in rows
     assert ("broken.model", None) in rows and ("res.partner", None) in rows
+
+
+def _scan_files(spark, content, frm, to, path="m/x.py"):
+    rules = up.rules_on_path(up.rules_df(spark), frm, to)
+    df = spark.createDataFrame([(path, content)], "path string, content string")
+    return {(r.line_no, r.old_name) for r in up.scan_files(df, rules, up.expand_patterns(up.load_rules())).collect()}
+
+
+@pytest.mark.parametrize("code, rule", [
+    ("x = record.sudo(user)", "sudo_with_user_arg"), ("x = r.sudo( self.env.user )", "sudo_with_user_arg"),
+    ("from odoo.tools import pycompat", "tools.pycompat"), ("import odoo.tools.pycompat", "tools.pycompat"),
+    ("import openerp", "openerp"), ("from openerp import models", "openerp"),
+    ("def write(self, cr, uid, ids):", "cr_uid_context_signature"), ("    _defaults = {", "_defaults"),
+    ("from odoo.exceptions import UserError, Warning", "odoo.exceptions.Warning")])
+def test_method_patterns_of_the_first_step(spark, code, rule):
+    assert (1, rule) in _scan_files(spark, code, "14.0", "15.0")
+
+
+@pytest.mark.parametrize("code", ["class Warning(Exception):", "a_columns = 1", "x = sudo", "pool = 5", "self.env.uid",
+                                  "self.env.context", "x.name_get_more()", "def _name_get(self):"])
+def test_ordinary_code_fires_no_method_rule(spark, code):
+    assert not _scan_files(spark, code, "14.0", "19.0")
+
+
+def test_whole_content_rule_crosses_lines(spark):
+    rule = up.MULTI_LINE_RULE
+    text = "\n".join(["first = 1", "a = m.read_group(", "  # note", "  lazy=False)", "b = m.read_group(d, lazy = False)",
+                      "c = m.read_group(d)", "end = lazy"])
+    assert _scan_files(spark, text, "18.0", "19.0") == {(2, rule), (5, rule)}
+    # two matches that start on one line are one finding; a match may end in another's line
+    text = "m.read_group(x, lazy=False); m.read_group(\n y, lazy=False); m.read_group(z,\nlazy=False)"
+    assert _scan_files(spark, text, "18.0", "19.0") == {(1, rule), (2, rule)}
+    assert _scan_files(spark, None, "18.0", "19.0") == set()
+    assert _scan_files(spark, text, "18.0", "19.0", "m/x.xml") == set()

@@ -129,6 +129,46 @@ def _last_word(old: str, seps: str) -> str:
     return parts[-1] if parts else ""
 
 
+# What each deprecated method looks like in Python code.  Alternatives are written out, and
+# patterns that another one of their rule covers are left out.  A rule that is not listed looks for
+# its name's last word.  The rule of env.ref has a pattern that never compiles, so it never fires.
+METHOD_PATTERNS = {
+    "record._uid": [r"\bself\._uid\b"],
+    "record._context": [r"\bself\._context\b"],
+    "record._cr": [r"\bself\._cr\b"],
+    "_apply_ir_rules": [r"\._apply_ir_rules\s*\("],
+    "_flush_search": [r"def _flush_search\s*\("],
+    "_company_default_get": [r"\._company_default_get\s*\("],
+    "name_get": [r"def name_get\s*\(\s*self\s*\)"],
+    "get_xml_id": [r"\.get_xml_id\s*\(\s*\)"],
+    "fields_get_keys": [r"\.fields_get_keys\s*\(\s*\)"],
+    "get_module_resource": [r"from\s+odoo\.modules\.module\s+import\s+[^\n]*\bget_module_resource\b",
+                            r"\bget_module_resource\s*\("],
+    "BaseModel._rec_name_search": [r"\b_rec_name_search\b"],
+    "ir.actions.act_window.read_action": [r"\.read_action\s*\("],
+    "odoo.osv.expression": [r"\bodoo\.osv\b", r"\bexpression\.AND\b", r"\bexpression\.OR\b",
+                            r"\bexpression\.FALSE_DOMAIN\b", r"\bexpression\.TRUE_DOMAIN\b",
+                            r"\bexpression\.normalize_domain\b"],
+    MULTI_LINE_RULE: [r"\.read_group\s*\([\s\S]*?lazy\s*=\s*False"],
+    "BaseModel.search (count=True)": [r"\.search\s*\([^\n]*count\s*=\s*True"],
+    "BaseModel.read_group (fill_temporal)": [r"\bfill_temporal\b"],
+    "AbstractModel._inherits_check": [r"\b_inherits_check\b"],
+    "report.AbstractReportDownloadMixin": [r"\bAbstractReportDownloadMixin\b"],
+    "Environment.ref (raise_if_not_found=True default)": [],
+    "tools.pycompat": [r"from\s+odoo\.tools\s+import\s+pycompat", r"odoo\.tools\.pycompat"],
+    "openerp": [r"\bimport\s+openerp\b", r"\bfrom\s+openerp\b", r"\bopenerp\s*\."],
+    "_defaults": [r"^\s*_defaults\s*=\s*\{"],
+    "_columns": [r"^\s*_columns\s*=\s*\{"],
+    "odoo.exceptions.Warning": [r"from\s+odoo\.exceptions\s+import\s+[^\n]*\bWarning\b"],
+    "raise Warning": [r"raise\s+Warning\s*\("],
+    "cr_uid_context_signature": [r"def\s+\w+\s*\(\s*self\s*,\s*cr\s*,\s*uid\b"],
+    "sudo_with_user_arg": [r"\.sudo\(\s*self\.env\.user\s*\)", r"\.sudo\(\s*self\._uid\s*\)",
+                           r"\.sudo\(\s*uid\s*\)", r"\.sudo\(\s*user\s*\)"],
+    "self.pool": [r"self\.pool\.get\(", r"self\.pool\["],
+    "ustr": [r"from\s+odoo\.tools\.misc\s+import\s+[^\n]*\bustr\b", r"\bustr\s*\("],
+}
+
+
 def python_patterns(rule: dict) -> list[str]:
     """R14 (Python side), by rule kind."""
     k, old, model, field = rule["kind"], rule["old_name"], rule["model"], rule["field"]
@@ -156,8 +196,8 @@ def python_patterns(rule: dict) -> list[str]:
         e = _q(t)
         return [r"\." + e + r"\b", r"['\"]" + e + r"['\"]"]
     if k == "method_deprecated":
-        if "env.ref" in old or "Environment.ref" in old:
-            return []  # the reference's pattern for this rule never compiles, so it never fires
+        if old in METHOD_PATTERNS:
+            return METHOD_PATTERNS[old]
         w = _last_word(old, " ().")
         return [r"\b" + _q(w) + r"\b"] if w else []
     if k == "xmlid_changed":
@@ -308,7 +348,52 @@ def code_scan(lines: DataFrame, rules: DataFrame, patterns: list[Pattern]) -> Da
     """R13 + J10 + W13 + X3: findings per (file, line, rule), then the first
     per (file, line, old_name, field, model) in rule order (line findings
     before whole-content ones).  Only .py and .xml files are scanned;
-    comment lines are skipped except by the whole-content rule."""
+    comment lines are skipped except by the whole-content rule, which sees single
+    lines here; ``scan_files`` gives it the whole text."""
+    return _findings(_line_hits(lines, patterns), rules)
+
+
+def scan_files(files: DataFrame, rules: DataFrame, patterns: list[Pattern], path_col: str = "path",
+               content_col: str = "content") -> DataFrame:
+    """R13 + R14 + J10 + W13: ``code_scan`` of whole files, where the whole-content patterns match
+    across lines and report the line on which a match starts.  A NULL content has no findings."""
+    by_line = _line_hits(file_lines(files, path_col, content_col), [p for p in patterns if p.lang != "py_content"])
+    found = by_line
+    for p in patterns:
+        if p.lang == "py_content":
+            found = found.unionByName(_content_hits(files, p, path_col, content_col))
+    return _findings(found, rules)
+
+
+def _content_hits(files: DataFrame, p: Pattern, path_col: str, content_col: str) -> DataFrame:
+    """Matches of one pattern in whole .py files, with the line that each starts on.
+
+    The text is cut at the matches; the line breaks of the pieces and matches before a match
+    give its line number, and the line is read from the split text: one projection over the files
+    that hold the pattern's literal, no shuffle and no row a line."""
+    rx = F.lit(java_regex(p.regex))
+    ext = F.lower(F.regexp_extract(F.col(path_col), r"(\.[^./\\]*)$", 1))
+    text = (files.select(F.col(path_col).alias("path"), ext.alias("ext"), F.col(content_col).alias("_text"))
+            .filter((F.col("ext") == ".py") & F.col("_text").contains(p.literal)))
+
+    def breaks(c: Column) -> Column:
+        return F.size(F.split(c, "\n")) - 1
+
+    cut = text.select("path", "ext", F.split("_text", "\n").alias("_lines"), F.split("_text", java_regex(p.regex)).alias("_between"),
+                      F.regexp_extract_all("_text", rx, F.lit(0)).alias("_match"))
+    pairs = F.transform("_match", lambda m, i: F.struct(breaks(F.get("_between", i)).alias("before"), breaks(m).alias("inside")))
+    start = F.struct(F.lit(0).alias("line"), F.array().cast("array<int>").alias("at"))
+    at = F.aggregate(pairs, start, lambda acc, x: F.struct(
+        (acc["line"] + x["before"] + x["inside"]).alias("line"),
+        F.array_append(acc["at"], acc["line"] + x["before"]).alias("at")))["at"]
+    hits = cut.select("path", "ext", "_lines", F.array_distinct(at).alias("_at"))
+    hits = hits.select("path", "ext", F.explode(F.transform("_at", lambda n: F.struct(
+        (n + 1).cast("long").alias("line_no"), F.get("_lines", n).alias("line")))).alias("_h"))
+    return hits.select("path", "ext", "_h.line_no", "_h.line", F.lit(p.ord).alias("ord"), F.lit(1).alias("_src"))
+
+
+def _line_hits(lines: DataFrame, patterns: list[Pattern]) -> DataFrame:
+    """(path, ext, line_no, line, ord, _src) of every rule that fires on a line."""
     lits = sorted({p.literal for p in patterns if p.literal})
     lit_id = {x: i for i, x in enumerate(lits)}
     d = (lines.filter(F.col("ext").isin(".py", ".xml"))
@@ -336,8 +421,12 @@ def code_scan(lines: DataFrame, rules: DataFrame, patterns: list[Pattern]) -> Da
         hits = F.expr(f"array_distinct(filter(array({', '.join(arms_sql)}), x -> x IS NOT NULL))")
         arrays.append(F.when(cond, hits).otherwise(F.array().cast(hits_type())))
     # one pass over the lines: all three pattern sets evaluated in one projection
-    found = (d.select("path", "ext", "line_no", "line", F.explode(F.concat(*arrays)).alias("_h"))
-             .select("path", "ext", "line_no", "line", F.col("_h.ord").alias("ord"), F.col("_h.src").alias("_src")))
+    return (d.select("path", "ext", "line_no", "line", F.explode(F.concat(*arrays)).alias("_h"))
+            .select("path", "ext", "line_no", "line", F.col("_h.ord").alias("ord"), F.col("_h.src").alias("_src")))
+
+
+def _findings(found: DataFrame, rules: DataFrame) -> DataFrame:
+    """The rules' columns, one finding per (file, line, old_name, field, model), and the trimmed line."""
     r = F.broadcast(rules.select(*RULE_COLUMNS))
     j = found.join(r, "ord")
     key = ["path", "line_no", "old_name", "field", "model"]

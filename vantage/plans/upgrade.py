@@ -105,7 +105,7 @@ PATTERNS = up.expand_patterns([r for r in _RULES])
 
 def findings(spark, sf_dir):
     rules = up.rules_on_path(up.rules_df(spark), FROM_V, TO_V)
-    return up.code_scan(up.file_lines(source_files(spark, sf_dir)), rules, PATTERNS)
+    return up.scan_files(source_files(spark, sf_dir), rules, PATTERNS)
 
 
 def _code_sql() -> str:
@@ -138,3 +138,59 @@ FROM k WHERE rn = 1"""
 @query("code_scan", _code_sql(), ops="R13 R14 J10 W13 X3 C26 C18")
 def q_code_scan(spark, sf_dir):
     return findings(spark, sf_dir)
+
+
+# ------------------------------------------------- code scan of written sources
+
+#: What a part writes into its source file, and the findings expected of it, by hand: (line in it, rule).
+SNIPPETS = (
+    ("uid = self._uid", ((0, "record._uid"),)),
+    ("ctx = self.env.context", ()),
+    ("ctx = dict(self._context)", ((0, "record._context"),)),
+    ("rows = model.read_group(\n    domain, columns,\n    # whole\n    lazy=False)",
+     ((0, "BaseModel.read_group (lazy=False)"),)),
+    ("from odoo.osv import expression", ((0, "odoo.osv.expression"),)),
+    ("dom = expression.AND([a, b])", ((0, "odoo.osv.expression"),)),
+    ("class Warning(Exception):\n    pass", ()),
+    ("if bad:\n    raise Warning(msg)", ((1, "raise Warning"),)),
+    ("    _columns = {", ((0, "_columns"),)),
+    ("wide = table_columns + other._columns", ()),
+    ("n = model.search(dom, count=True)", ((0, "BaseModel.search (count=True)"),)),
+    ("# raise Warning(msg)", ()),
+    ("a = model.read_group(d); b = model.read_group(d, lazy = False); c = m.read_group(e, lazy=False)",
+     ((0, "BaseModel.read_group (lazy=False)"),)),
+    ("label = ustr(value)\npool = self.pool.get(label)", ((0, "ustr"), (1, "self.pool"))),
+)
+PARTS_PER_FILE = 20
+
+
+def written_sources(spark, sf_dir):
+    """A .py file for every twenty parts: each part's snippet by its number, in order."""
+    texts = F.array(*[F.lit(t) for t, _ in SNIPPETS])
+    p = table(spark, sf_dir, "part").select("p_partkey")
+    file = F.floor(F.col("p_partkey") / PARTS_PER_FILE).cast("long")
+    snippet = F.get(texts, (F.col("p_partkey") % len(SNIPPETS)).cast("int"))
+    return (p.groupBy(file.alias("f")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", snippet.alias("t")))).alias("s"))
+            .select(F.concat(F.lit("addons/f"), F.col("f").cast("string"), F.lit(".py")).alias("path"),
+                    F.array_join(F.transform("s", lambda x: x["t"]), "\n").alias("content")))
+
+
+_SNIPPET_VALUES = ", ".join(f"({i}, {_sq(t)})" for i, (t, _) in enumerate(SNIPPETS))
+_EXPECTED_VALUES = ", ".join(f"({i}, {at}, {_sq(rule)})" for i, (_, found) in enumerate(SNIPPETS) for at, rule in found)
+
+
+@query("code_scan_sources", "WITH " + _rules_values_sql() + f""",
+snip(t, txt) AS (VALUES {_SNIPPET_VALUES}),
+want(t, line_at, old_name) AS (VALUES {_EXPECTED_VALUES}),
+placed AS (SELECT p_partkey // {PARTS_PER_FILE} AS f, t, txt,
+                  coalesce(sum(len(string_split(txt, chr(10)))) OVER (PARTITION BY p_partkey // {PARTS_PER_FILE}
+                    ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lines_before
+           FROM part JOIN snip ON t = p_partkey % {len(SNIPPETS)})
+SELECT 'addons/f' || CAST(f AS VARCHAR) || '.py' AS path, CAST(lines_before + line_at + 1 AS BIGINT) AS line_no,
+       r.ord, r.kind, r.severity, r.model, r.field, r.old_name, r.new_name, r.from_version, r.to_version,
+       trim(string_split(txt, chr(10))[line_at + 1]) AS snippet
+FROM placed JOIN want USING (t) JOIN rules r USING (old_name) WHERE r.kind = 'method_deprecated'""",
+       ops="R13 R14 J10 W13 C26")
+def q_code_scan_sources(spark, sf_dir):
+    rules = up.rules_on_path(up.rules_df(spark), FROM_V, TO_V)
+    return up.scan_files(written_sources(spark, sf_dir), rules, PATTERNS)
