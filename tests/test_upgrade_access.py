@@ -114,4 +114,4 @@ def test_whole_content_rule_crosses_lines(spark):
     text = "m.read_group(x, lazy=False); m.read_group(\n y, lazy=False); m.read_group(z,\nlazy=False)"
     assert _scan_files(spark, text, "18.0", "19.0") == {(1, rule), (2, rule)}
     assert _scan_files(spark, None, "18.0", "19.0") == set()
-    assert _scan_files(spark, text, "18.0", "19.0", "m/x.xml") == set()
+    assert _scan_files(spark, text, "18.0", "19.0", "m/x.txt") == set()
