@@ -67,6 +67,24 @@ def test_token_counts_equal_the_library(docs, odd, rows):
         assert collections.Counter(map(tuple, token_counts.token_counts(frame, path).collect())) == want
 
 
+def test_token_memo_is_bounded_in_characters(monkeypatch):
+    """Long chunks without white space are not remembered; a full memo starts anew; the counts are the library's."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, rnd = Tokenizer.from_file(path), random.Random(1)
+    texts = ["".join(rnd.choices("abcdefgh", k=rnd.choice([3, 9, 300, 2000]))) + " same word " for _ in range(200)]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    for held in (token_counts.MEMO_CHARS, 500):
+        monkeypatch.setattr(token_counts, "MEMO_CHARS", held)
+        merger = token_counts.Merger(path)
+        assert [n for i in range(0, 200, 10) for n in merger.count_all(texts[i : i + 10])] == want
+        for memo, size in ((merger.memo, merger.held), (merger.words, merger.words_held)):
+            assert sum(map(len, memo)) == size <= held + 10 * 200 and max(map(len, memo)) <= token_counts.MEMO_LONGEST
+
+
 def brute_spans(t):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     out = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 12]

@@ -11,7 +11,7 @@ enable pairs of a higher rank, and merging all occurrences of the lowest pair
 at once gives the same tokens as merging one pair at a time.
 
 Pre-tokens never cross white space, so counts are kept per white-space chunk.
-The memo is bounded (``MEMO``); it only saves work and never changes a count.
+The memo is bounded in entries and characters (``MEMO``, ``MEMO_CHARS``); it only saves work and never changes a count.
 
 Results for odd input: null and empty texts have 0 bytes and 0 tokens; a null
 ``doc_id`` is kept; repeated rows are counted one by one; other columns are not
@@ -23,6 +23,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections import ChainMap
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,8 +34,10 @@ from pyspark.sql import functions as F
 
 from vantage.llm.text import small_batches
 
-#: Chunks, and pre-tokens, whose counts a worker remembers; beyond it the memo starts anew.
-MEMO = 250_000
+#: Chunks, and pre-tokens, whose counts a worker remembers, and their characters; beyond either the memo starts anew.
+MEMO, MEMO_CHARS = 250_000, 8 << 20
+#: Longer chunks and pre-tokens are counted anew each time: a memo of them would not be bounded.
+MEMO_LONGEST = 256
 #: Symbols that are merged in one array at most (one longer pre-token is an array of its own).
 ROUND_SYMBOLS = 1 << 20
 #: Characters of texts that are split and merged together (one longer text is a piece of its own).
@@ -82,6 +85,7 @@ class Merger:
         self.pretoken = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         self.memo: dict[str, int] = {}  # of white-space chunks
         self.words: dict[str, int] = {}  # of pre-tokens
+        self.held = self.words_held = 0  # characters of both
 
     def merged(self, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Symbols left in each sequence; ``flat`` holds all sequences end to end."""
@@ -125,18 +129,20 @@ class Merger:
             i = j
         return out
 
-    def learn(self, chunks: Iterable[str]) -> None:
-        """Count new chunks and remember them; only pre-tokens not met before are merged."""
+    def learn(self, chunks: Iterable[str]) -> dict[str, int]:
+        """Counts of new chunks; only pre-tokens not met before are merged, short ones are remembered."""
         chunks = list(chunks)
         found = [self.pretoken.findall(c) for c in chunks]
-        if len(self.words) > MEMO:
+        if len(self.words) > MEMO or self.words_held > MEMO_CHARS:
             self.words.clear()
+            self.words_held = 0
         new = list({p for ps in found for p in ps}.difference(self.words))
-        self.words.update(zip(new, self.count_pretokens([p.encode("utf-8", "surrogatepass") for p in new]).tolist(),
-                              strict=True))
-        known = self.words
-        self.memo.update({c: known[ps[0]] if len(ps) == 1 else sum([known[p] for p in ps])
-                          for c, ps in zip(chunks, found, strict=True)})
+        known = dict(zip(new, self.count_pretokens([p.encode("utf-8", "surrogatepass") for p in new]).tolist(), strict=True))
+        short = {p: n for p, n in known.items() if len(p) <= MEMO_LONGEST}
+        self.words.update(short)
+        self.words_held += sum(map(len, short))
+        words = self.words if len(short) == len(known) else ChainMap(known, self.words)
+        return {c: words[ps[0]] if len(ps) == 1 else sum([words[p] for p in ps]) for c, ps in zip(chunks, found, strict=True)}
 
     def chunks(self, part: str) -> list[str]:
         if not part.isascii():
@@ -156,12 +162,19 @@ class Merger:
                 parts = self.special.split(text)
             counts.append(len(parts) - 1)
             chunks.append([c for part in parts for c in self.chunks(part)])
-        if len(self.memo) > MEMO:
+        if len(self.memo) > MEMO or self.held > MEMO_CHARS:
             self.memo.clear()
+            self.held = 0
+        long: dict[str, int] = {}
         new = set().union(*chunks).difference(self.memo)
         if new:
-            self.learn(new)
-        return [n + sum(map(self.memo.__getitem__, cs)) for n, cs in zip(counts, chunks, strict=True)]
+            learned = self.learn(new)
+            long = {c: n for c, n in learned.items() if len(c) > MEMO_LONGEST}
+            short = {c: n for c, n in learned.items() if c not in long} if long else learned
+            self.memo.update(short)
+            self.held += sum(map(len, short))
+        known = ChainMap(self.memo, long) if long else self.memo
+        return [n + sum(map(known.__getitem__, cs)) for n, cs in zip(counts, chunks, strict=True)]
 
     def count_batch(self, texts: Iterable[str]) -> list[int]:
         """``count_all`` over pieces of a batch with about ``PIECE_CHARS`` characters each."""
