@@ -41,12 +41,13 @@ def nearest_rank_from_hist(hist: DataFrame, keys: Sequence[str], value_col: str,
     hist = hist.select(*keys, F.col(value_col).alias("_v"), F.col(count_col).alias("_c"))
     size = (hist.groupBy(*_cols(keys))
             .agg(F.count(F.lit(1)).alias("_d"), F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
-    wide = written(size.filter(F.col("_d") > leaf)
-                   .withColumn("_r", F.least(F.floor(F.col("_n") * p / 100), F.col("_n") - 1)))
+    wide = (size.filter(F.col("_d") > leaf)
+            .withColumn("_r", F.least(F.floor(F.col("_n") * p / 100), F.col("_n") - 1)))
     part = Window.partitionBy(*_cols(keys))
     if wide.isEmpty():
         return _value_at(hist.withColumn("_n", F.sum("_c").over(part))
                          .withColumn("_r", F.least(F.floor(F.col("_n") * p / 100), F.col("_n") - 1)), keys, out_col)
+    wide = written(wide)
     found = _value_at(_of_groups(hist, wide, keys, "left_anti").withColumn("_n", F.sum("_c").over(part))
                       .withColumn("_r", F.least(F.floor(F.col("_n") * p / 100), F.col("_n") - 1)), keys, out_col)
     rows = hist

@@ -64,10 +64,14 @@ def window_count(df: DataFrame, keys: Sequence[str], window: str, ts_col: str =
              .filter(F.col("_own") & F.col("_w").isNotNull())
              .select(*keys, "_b", "_w", F.lit(-2).alias("_kind")))
 
-    own = base.withColumn("_w", F.lit(1).cast("long")).withColumn("_kind", F.lit(0))
-    leaving = timed.select(*keys, (F.col("_at") + w_us).alias("_at"), (F.col("_b") + k).alias("_b"),
-                           F.lit(-1).cast("long").alias("_w"), F.lit(1 if closed_left else -1).alias("_kind"))
-    rows = own.unionByName(leaving, allowMissingColumns=True).unionByName(prior, allowMissingColumns=True)
+    # one scan gives the rows that enter and those that leave; what leaves carries keys only
+    enters = F.struct(F.col("_at"), F.col("_b"), F.lit(1).cast("long").alias("_w"), F.lit(0).alias("_kind"))
+    leaves = F.struct((F.col("_at") + w_us).alias("_at"), (F.col("_b") + k).alias("_b"), F.lit(-1).cast("long").alias("_w"),
+                      F.lit(1 if closed_left else -1).alias("_kind"))
+    both = base.withColumn("_move", F.explode(F.array(enters, leaves))).filter("_move._kind = 0 or _at is not null")
+    payload = [c for c in df.columns if c not in keys]
+    moves = both.select(*keys, *[F.when(F.col("_move._kind") == 0, F.col(c)).alias(c) for c in payload], "_move.*")
+    rows = moves.unionByName(prior, allowMissingColumns=True)
     running = (Window.partitionBy(*_cols(keys), F.col("_b"))
                .orderBy(F.col("_at").asc_nulls_first(), F.col("_kind"), F.col(seq_col))
                .rowsBetween(Window.unboundedPreceding, 0))
