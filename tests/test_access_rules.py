@@ -142,3 +142,14 @@ def test_suggestion_texts(spark):
     assert [s.summary for s in got[5].suggestions] == ["Re-activate the user account"]
     assert [s.summary for s in got[6].suggestions] == ["Verify the user exists in this Odoo database"]
     assert got[7].suggestions[0].summary == 'Stage "model_acl" returned an error — check schema snapshot' and got[7].verdict == "DENIED"
+
+
+def test_many_cases_are_joined_without_broadcast(spark):
+    cases = spark.createDataFrame([("m", "read", "1,2", [1, 2]), ("n", "write", "", [])], "model string, op string, groups string, effective array<int>")
+    access = spark.createDataFrame([("m", 0, "1", True, False, False, False), ("n", 1, "", True, True, False, False)], ACCESS)
+    record = spark.createDataFrame([("m", 0, "a", [2], "[]", True, True, False, False), ("n", 1, "b", [], "[]", False, False, False, False)], RULES)
+    for few, many in ((ar.access_counts(cases, access), ar.access_counts(cases, access, True)),
+                      (ar.case_rules(cases, ar.covering_rules(record)), ar.case_rules(cases, ar.covering_rules(record), True))):
+        assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) != []
+        plan = many._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

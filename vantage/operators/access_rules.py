@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 from vantage.operators.access import DENIED, ERROR, OK, OPS, SKIPPED, DomainError, Ref, parse_domain
 from vantage.session import written
 
+#: Cases from here on are joined by sorting: files of cases and rules are small beside what they unfold to, so Spark
+#: would hand whole tables to the driver.
+MANY_CASES = 20_000
 STAGES = ("user", "groups", "model_acl", "record_rule", "domain")
 AND, OR, NOT = -1, -2, -3
 BAD_DOMAIN = "not one well-formed list of conditions"
@@ -268,15 +271,20 @@ def _perm(op: str) -> Column:
 CASE = ["model", "op", "groups"]
 
 
-def access_counts(cases: DataFrame, rules: DataFrame) -> DataFrame:
+def _sorted(df: DataFrame, many: bool) -> DataFrame:
+    """``df`` as a side of a join: never broadcast if there are ``many`` cases."""
+    return df.hint("merge") if many else df
+
+
+def access_counts(cases: DataFrame, rules: DataFrame, many: bool = False) -> DataFrame:
     """R6 with J15: per case the applicable and granting access rules.  ``rules``: model, pos, group_id text, perm_*."""
     anyone = F.coalesce("group_id", F.lit("")).isin("", "0")
     flat = rules.select("model", F.when(anyone, F.lit(None)).otherwise(F.expr("try_cast(group_id AS INT)")).alias("g"),
                         anyone.alias("anyone"), F.posexplode(F.array(*[_perm(o) for o in OPS])).alias("o", "grants"))
     flat = flat.withColumn("op", F.get(F.array(*[F.lit(o) for o in OPS]), F.col("o")))
     each = flat.groupBy("model", "op", "anyone", "g").agg(F.count(F.lit(1)).alias("n"), F.count_if("grants").alias("y"))
-    member = cases.select(*CASE, F.explode("effective").alias("g")).join(each.filter("g IS NOT NULL"), ["model", "op", "g"])
-    everyone = cases.select(*CASE).join(each.filter("anyone"), ["model", "op"])
+    member = cases.select(*CASE, F.explode("effective").alias("g")).join(_sorted(each.filter("g IS NOT NULL"), many), ["model", "op", "g"])
+    everyone = cases.select(*CASE).join(_sorted(each.filter("anyone"), many), ["model", "op"])
     return (member.select(*CASE, "n", "y").unionByName(everyone.select(*CASE, "n", "y"))
             .groupBy(*CASE).agg(F.sum("n").alias("n_applicable"), F.sum("y").alias("n_granting")))
 
@@ -291,12 +299,12 @@ def covering_rules(rules: DataFrame) -> DataFrame:
                         F.coalesce("domain", F.lit("")).alias("domain"), F.explode(ops).alias("op"))
 
 
-def case_rules(cases: DataFrame, covering: DataFrame) -> DataFrame:
+def case_rules(cases: DataFrame, covering: DataFrame, many: bool = False) -> DataFrame:
     """R7 with J15: the covering rules of each case, ``applies`` says whether the user is in one of the rule's groups."""
     member = (cases.select(*CASE, F.explode("effective").alias("g"))
-              .join(covering.select("model", "op", "pos", F.explode("group_ids").alias("g")), ["model", "op", "g"])
+              .join(_sorted(covering.select("model", "op", "pos", F.explode("group_ids").alias("g")), many), ["model", "op", "g"])
               .select(*CASE, "pos").distinct().withColumn("member", F.lit(True)))
-    return (cases.select(*CASE).join(covering, ["model", "op"]).join(member, [*CASE, "pos"], "left")
+    return (cases.select(*CASE).join(_sorted(covering, many), ["model", "op"]).join(_sorted(member, many), [*CASE, "pos"], "left")
             .withColumn("applies", F.col("is_global") | F.coalesce("member", F.lit(False))).drop("member"))
 
 
@@ -312,6 +320,7 @@ def trace(requests: DataFrame, schema: DataFrame, access_rules: DataFrame, recor
     groups = F.array_join(F.coalesce("effective", F.array().cast("array<int>")), ",")
     asked = written(requests.withColumn("groups", groups))
     cases = written(asked.select(*CASE, "effective").dropDuplicates(CASE))
+    many = cases.count() >= MANY_CASES
     ids = F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("group_id", F.lit("")).alias("g")))), lambda r: r["g"])
     by_model = access_rules.groupBy("model").agg(F.count(F.lit(1)).alias("n_access"), F.array_join(ids, ", ").alias("access_groups"))
     covering = covering_rules(record_rules)
@@ -319,15 +328,16 @@ def trace(requests: DataFrame, schema: DataFrame, access_rules: DataFrame, recor
     listed = covering.groupBy("model", "op").agg(
         F.count_if("is_global").alias("n_global"), F.count_if(~F.col("is_global")).alias("n_group"),
         F.sort_array(F.collect_list(named)).alias("group_rules"))
-    of_case = case_rules(cases, covering)
+    of_case = case_rules(cases, covering, many)
     applied = of_case.filter(~F.col("is_global")).groupBy(*CASE).agg(F.count_if("applies").alias("n_group_applied"))
-    facts = written(cases.select(*CASE).join(schema.select("model").distinct().withColumn("in_schema", F.lit(True)), "model", "left")
-             .join(by_model, "model", "left").join(access_counts(cases, access_rules), CASE, "left")
-             .join(record_rules.select("model").distinct().withColumn("has_rules", F.lit(True)), "model", "left")
-             .join(listed, ["model", "op"], "left").join(applied, CASE, "left")
+    models, with_rules = schema.select("model").distinct(), record_rules.select("model").distinct()
+    facts = written(cases.select(*CASE).join(_sorted(models.withColumn("in_schema", F.lit(True)), many), "model", "left")
+             .join(_sorted(by_model, many), "model", "left").join(_sorted(access_counts(cases, access_rules, many), many), CASE, "left")
+             .join(_sorted(with_rules.withColumn("has_rules", F.lit(True)), many), "model", "left")
+             .join(_sorted(listed, many), ["model", "op"], "left").join(_sorted(applied, many), CASE, "left")
              .fillna(0, ["n_access", "n_applicable", "n_granting", "n_global", "n_group", "n_group_applied"])
              .fillna(False, ["in_schema", "has_rules"]))
-    d = asked.join(facts, CASE, "left")
+    d = asked.join(_sorted(facts, many), CASE, "left")
 
     def stage(verdict: str, reason: Column) -> Column:
         return F.struct(F.lit(verdict).alias("verdict"), reason.alias("reason"))
@@ -364,7 +374,7 @@ def trace(requests: DataFrame, schema: DataFrame, access_rules: DataFrame, recor
     reached = d.filter((F.col("s4.verdict") == OK) & F.col("record").isNotNull()).select(
         "request_id", *CASE, "uid", "company_id", "company_ids", "record")
     ready = of_case.join(code, "domain", "left")
-    rows = reached.join(ready, CASE).withColumn("conditions", F.when(F.col("applies"), _evaluated(F.col("conditions"))))
+    rows = reached.join(_sorted(ready, many), CASE).withColumn("conditions", F.when(F.col("applies"), _evaluated(F.col("conditions"))))
     holds = F.col("applies") & F.col("parse_error").isNull() & _run(F.col("program"), F.transform("conditions", lambda c: c["pass"]))
     # one checkable fact a rule: evaluated before it is gathered
     rows = rows.withColumn("pass", F.coalesce(holds, F.lit(False)))
@@ -373,7 +383,7 @@ def trace(requests: DataFrame, schema: DataFrame, access_rules: DataFrame, recor
         (F.bool_or(~F.col("is_global") & F.col("pass")) | ~F.bool_or(~F.col("is_global") & F.col("applies"))).alias("group_pass"),
         F.sort_array(F.collect_list(F.struct((~F.col("is_global")).alias("grouped"), "pos", "name", "domain", "applies", "pass",
                                              "parse_error", "conditions"))).alias("results"))
-    d = d.join(done, "request_id", "left")
+    d = d.join(done.hint("merge"), "request_id", "left")  # one row a request
     failed = F.concat_ws("; ", F.when(F.col("global_failed") > 0, _say("%s global rule(s) failed", "global_failed")),
                          F.when(~F.col("group_pass"), F.lit("no group rule domain passed")))
     s5 = (F.when(F.col("record").isNull(), stage(SKIPPED, F.lit(r["no record"])))
