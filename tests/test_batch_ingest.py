@@ -116,3 +116,16 @@ def test_breaches_come_back_as_a_stream(spark, tmp_path, events, budgets):
     assert pairs(got, "period") == pairs(want, "created_at")
     assert got.filter("get_json_object(metadata, '$.threshold_pct') = '10'").count() == got.count()
     assert os.path.isdir(tmp_path / "a" / "alerts")
+
+
+def test_a_batch_is_read_once(spark, tmp_path, events, budgets):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        read.add(1)
+        return x
+
+    some = events.limit(200)
+    assert bi.ingest(Store(spark, str(tmp_path / "s"), buckets=4), some.withColumn("value", counted.asNondeterministic()("value")), "b0", budgets)
+    assert read.value == some.count()

@@ -17,6 +17,7 @@ from vantage.operators import errors as eo
 from vantage.operators.profiles import waterfall_spans, waterfall_summary
 from vantage.operators.stats import window_stats
 from vantage.operators.windows import flag_n1
+from vantage.session import written
 from vantage.sources.tables import bind_events
 from vantage.streaming.ingest import valid_events
 from vantage.streaming.store import MANIFEST, Store
@@ -47,18 +48,22 @@ def fold_groups(state: DataFrame, delta: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def ingest(store: Store, batch: DataFrame, name: str, budgets: DataFrame, window: str = "1 hour", before_manifest=None) -> bool:
-    """One batch of raw event rows into all tables of ``store``; False if ``name`` was committed before."""
+    """One batch of raw event rows into all tables of ``store``; False if ``name`` was committed before.
+
+    What several outputs read (the checked rows, the flagged ones, the groups of the batch, the samples) is
+    computed once and written beside the store's tables, so the batch itself is read once."""
     if store.done(name):
         return False
     v = valid_events(batch).withColumn("_valid", F.col("_valid") & ~F.isnan(F.coalesce("value", F.lit(0.0)))
                                        & (F.col("props").isNull() | F.get_json_object("props", "$").isNotNull()))
+    v = written(v)
     good = bind_events(v.filter("_valid").drop("_valid"))
-    flagged = flag_n1(good).withColumn("period", F.window("ts", window).start)
+    flagged = written(flag_n1(good).withColumn("period", F.window("ts", window).start))
     profiled = bo.batches(flagged, window)
-    delta = eo.group_errors(eo.error_events(good))
+    delta = written(eo.group_errors(eo.error_events(good)))
     state = store.touched(store.state("error_groups", GROUPS), delta, KEYS)
     groups, alerts = fold_groups(state, delta)
-    samples = bo.overhead_samples(bo.module_stats(profiled), budgets).select(*[c.split()[0] for c in SAMPLES.split(", ")])
+    samples = written(bo.overhead_samples(bo.module_stats(profiled), budgets).select(*[c.split()[0] for c in SAMPLES.split(", ")]))
     return store.commit(
         name,
         {"quarantine": v.filter(~F.col("_valid")).drop("_valid"), "error_alerts": alerts,
