@@ -66,3 +66,27 @@ def test_idle_log_is_flushed_by_its_timer(spark, logs):
     logs.land("a", "001", "behind the flush", HEAD.format(2, 2))
     logs.land("a", "end")
     assert [r[5:7] for r in logs.run()] == [("message 1", "more"), ("message 2", "")]
+
+
+def test_files_of_a_log_do_not_grow_with_its_lines(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from vantage.plans import logs as pl
+
+    def landed(n):
+        sf, path = str(tmp_path / f"sf{n}"), str(tmp_path / f"in{n}")
+        k = F.col("id")
+        spark.range(n).select(
+            k.alias("event_id"), F.timestamp_seconds(1_704_100_000 + F.floor(k / 10)).cast("timestamp_ntz").alias("ts"), F.lit(3).cast("long").alias("user_id"),
+            F.when(k % 9 == 0, "error").otherwise("click").alias("event_type"), F.lit(1.5).alias("value"),
+            F.concat(F.lit('{"k": '), (k % 20).cast("string"), F.lit("}")).alias("props")).write.parquet(f"{sf}/events.parquet")
+        for land in pl.land_segments(spark, sf, path):
+            land()
+        return sf, path, len([f for _, _, files in os.walk(path) for f in files if f.endswith(".txt")])
+
+    sf, path, few = landed(600)
+    assert few > 3  # entries cross segments
+    lines = pl.log_lines(spark, sf).select("file", "value").withColumnRenamed("file", "log")
+    texts = spark.read.schema("value string, log string, segment string").text(path).filter("segment <> 'end'").select("log", "value")
+    assert texts.exceptAll(lines).isEmpty() and lines.exceptAll(texts).isEmpty() and not texts.isEmpty()
+    assert landed(6000)[2] <= pl.SEGMENTS_A_LOG + 1 and few <= pl.SEGMENTS_A_LOG + 1

@@ -14,7 +14,7 @@ from vantage.operators import logs as lo
 from vantage.operators.windows import rank_in_group
 from vantage.plans.errors import WS_SQL, _normalize_sql
 from vantage.plans.registry import REGISTRY, query
-from vantage.session import checkpoint_dir
+from vantage.session import checkpoint_dir, written
 from vantage.sources.tables import EVENTS_CTE_SQL, telemetry_events
 from vantage.streaming import logs as sl
 from vantage.streaming.stateful import rocksdb_state
@@ -161,19 +161,27 @@ def q_log_queries(spark, sf_dir):
 
 
 # ------------------------------------------------- the same logs as a stream (S8, SRC1)
-# Segments of fifty lines are landed in two waves, so that entries begin in one micro-batch and
-# end in another; a segment of one empty line ends each log.
+# Segments are landed in two waves, so that entries begin in one micro-batch and end in another;
+# a segment of one empty line ends each log.  A log is rotated into a few segments of whole
+# fifties of lines, named by the fifty that they begin with: a segment is a file, and the number of files
+# must not grow with the lines of a log, nor a file with them without end.
 
 SEGMENT_LINES = 50
+SEGMENTS_A_LOG = 8
+LONGEST_SEGMENT = 20_000  # lines; a multiple of SEGMENT_LINES
 
 
 def land_segments(spark, sf_dir, path):
     """Two functions that land the first segment of every log, and all others."""
-    n = F.floor((F.col("line_no") - 1) / SEGMENT_LINES)
+    numbered = written(log_lines(spark, sf_dir))  # read for the lengths and for the segments
+    fifties = F.ceil(F.max("line_no") / (SEGMENTS_A_LOG * SEGMENT_LINES))
+    lengths = numbered.groupBy(F.col("file").alias("log")).agg(F.least(fifties, F.lit(LONGEST_SEGMENT // SEGMENT_LINES)).alias("fifties"))
+    n = F.floor((F.col("line_no") - 1) / (SEGMENT_LINES * F.col("fifties"))) * F.col("fifties")
     lines = F.sort_array(F.collect_list(F.struct("line_no", "value")))  # of one segment
-    cut = (log_lines(spark, sf_dir).groupBy(F.col("file").alias("log"), n.alias("n"))
+    cut = (numbered.join(lengths, F.col("file").eqNullSafe(F.col("log"))).groupBy("log", n.alias("n"))
            .agg(F.array_join(F.transform(lines, lambda x: x["value"]), "\n").alias("value"))
            .select("value", "log", F.format_string("%09d", "n").alias("segment")))
+    cut = written(cut)  # landed in two parts
     first = F.col("segment") == "000000000"
     ends = cut.filter(first).select(F.lit("").alias("value"), "log", F.lit("end").alias("segment"))
 

@@ -15,7 +15,7 @@ been idle for a while: a processing-time timer flushes it.  Lines before a log's
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +29,8 @@ SEGMENTS = "value string, log string, segment string"
 _OPEN = T.StructType([T.StructField(c, T.StringType()) for c in ("segment", "header")] + [T.StructField("line_no", T.LongType())])
 _LINES = T.StructType([T.StructField("lines", T.StringType())])
 _ENTRY = "log string, segment string, line_no long, header string, continuation string"
+#: Entries whose lines are summed up together.
+BLOCK = 64
 #: Zero-width place in front of a header line; only \n ends a line.
 _BEFORE_HEADER = "(?md)(?=" + LOG_HEADER_PATTERN + ")"
 
@@ -46,20 +48,45 @@ def _cut(lines: Column) -> Column:
     return F.array_join(F.transform(F.split(lines, "\n", -1), lambda x: F.substring(x, 1, MAX_LINE)), "\n")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _numbered(parts: Column) -> Column:
+    """Each of ``parts`` with the number of lines before it, and of all parts (n).
+
+    Lines are summed up by blocks, so that no part adds up all before it."""
+    def total(sizes: Column) -> Column:
+        return F.aggregate(sizes, F.lit(0), lambda a, x: a + x)
+
+    def lines_in(p: Column) -> Column:
+        return F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))
+
+    def in_block(parts: Column, block: Column, i: Column, before: Column) -> Column:
+        return F.transform(block, lambda _, j: F.struct(
+            F.get(parts, i * BLOCK + j).alias("part"), (before + total(F.slice(block, 1, j))).alias("before"), F.size(parts).alias("n")))
+
+    def in_blocks(parts: Column, blocks: Column) -> Column:
+        return _let(F.transform(blocks, total), lambda sums: F.flatten(F.transform(
+            blocks, lambda block, i: _let(total(F.slice(sums, 1, i)), lambda before: in_block(parts, block, i, before)))))
+
+    return _let(parts, lambda parts: _let(F.transform(parts, lines_in), lambda sizes: _let(
+        F.transform(F.sequence(F.lit(0), F.size(parts) - 1, F.lit(BLOCK)), lambda b: F.slice(sizes, b + 1, BLOCK)),
+        lambda blocks: in_blocks(parts, blocks))))
+
+
 def pieces(segments: DataFrame) -> DataFrame:
     """(log, segment, pos, line_no, kind, header, lines): the entries of each segment; kind is ``head`` for lines
     before its first header, ``tail`` for its last entry, ``entry`` for those in between; a segment of one empty line is ``end``."""
     text = F.regexp_replace(F.regexp_replace("value", "\r\n", "\n"), "\n\\z", "")
-    cut = segments.select("log", "segment", F.split(text, _BEFORE_HEADER).alias("parts"))
-    # a piece begins behind the lines of those before it
-    sizes = F.transform("parts", lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))))
-    each = cut.select("log", "segment", F.size("parts").alias("n"), sizes.alias("sizes"), F.posexplode("parts").alias("pos", "part"))
-    before = F.aggregate(F.slice("sizes", 1, F.col("pos")), F.lit(0), lambda a, x: a + x)
+    each = (segments.select("log", "segment", F.posexplode(_numbered(F.split(text, _BEFORE_HEADER))).alias("pos", "p"))
+            .select("log", "segment", "pos", "p.part", "p.before", "p.n"))
     part = F.regexp_replace("part", "\n\\z", "")
     is_entry = part.rlike("(?d)" + LOG_HEADER_PATTERN.rstrip("$") + "(\\n|\\z)")
     has_more = F.instr(part, "\n") > 0
     return each.select(
-        "log", "segment", "pos", (before + 1).cast("long").alias("line_no"),
+        "log", "segment", "pos", (F.col("before") + 1).cast("long").alias("line_no"),
         F.when((part == "") & (F.col("n") == 1), "end").when(~is_entry, "head").when(F.col("pos") == F.col("n") - 1, "tail").otherwise("entry").alias("kind"),
         F.when(is_entry, F.substring(F.substring_index(part, "\n", 1), 1, MAX_LINE)).alias("header"),
         F.when(~is_entry, _cut(part)).when(has_more, _cut(F.substr(part, F.instr(part, "\n") + 1))).alias("lines"))
@@ -76,36 +103,49 @@ class EdgeProcessor(StatefulProcessor):
         self.open = handle.getValueState("open", _OPEN)
         self.lines = handle.getListState("lines", _LINES)
 
-    def _closed(self, log: str) -> list[tuple]:
+    def _stored(self) -> tuple | None:
+        """(segment, header, line_no, continuations) of the open entry, if there is one."""
         if not self.open.exists():
-            return []
-        segment, header, line_no = self.open.get()
-        parts = [r[0] for r in self.lines.get()] if self.lines.exists() else []
-        self.open.clear()
-        self.lines.clear()
-        return [(log, segment, line_no, header, "\n".join(parts))]
+            return None
+        return (*self.open.get(), [r[0] for r in self.lines.get()] if self.lines.exists() else [])
 
-    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+    def _frame(self, log: str, closed: list[tuple]) -> pd.DataFrame:
+        rows = [(log, segment, line_no, header, "\n".join(parts)) for segment, header, line_no, parts in closed]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in _ENTRY.split(", ")])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
+        # entries that begin and end in this batch never go through the state store
+        closed: list[tuple] = []
+        entry = self._stored()
+        known = len(entry[3]) if entry else None  # continuations that the store has
         edges = pd.concat(list(rows), ignore_index=True).sort_values(["segment", "pos"])
         for r in edges.itertuples():
-            if r.kind in ("tail", "end"):
-                out += self._closed(key[0])
+            if r.kind in ("tail", "end") and entry:
+                closed.append(entry)
+                entry, known = None, None
             if r.kind == "tail":
-                self.open.update((r.segment, r.header, r.line_no))
-            if r.lines is not None and self.open.exists():
-                self.lines.appendValue((r.lines,))
+                entry = (r.segment, r.header, r.line_no, [])
+            if r.lines is not None and entry:
+                entry[3].append(r.lines)
+        if known is None:
+            self.open.clear()
+            self.lines.clear()
+        if entry:
+            if known is None:
+                self.open.update(entry[:3])
+            for text in entry[3][known or 0:]:
+                self.lines.appendValue((text,))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if self.open.exists():
+        if entry:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield self._frame(out)
+        yield self._frame(key[0], closed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._frame(self._closed(key[0]))
+        entry = self._stored()
+        self.open.clear()
+        self.lines.clear()
+        yield self._frame(key[0], [entry] if entry else [])
 
     def close(self) -> None:
         pass
