@@ -49,6 +49,25 @@ def test_chain_equals_the_fold(spark, monkeypatch, positions):
     assert {(r.rec, r.idx): r.depth for r in depths} == {k: d for k, (d, _) in want.items()}
 
 
+@pytest.mark.parametrize("short", [1, 8, 64])
+def test_short_recordings_are_folded_in_one_row(spark, monkeypatch, short):
+    monkeypatch.setattr(compute, "SHORT", short)
+    asked = []
+    levels = compute.levels
+    monkeypatch.setattr(compute, "levels", lambda nodes: asked.append(nodes.select("rec").distinct().count()) or levels(nodes))
+    rng = random.Random(11)
+    sizes = {f"r{i}": n for i, n in enumerate([1, 2, 3, 7, 8, 9, 12, 20])}
+    rows = [r for rec, n in sizes.items() for r in random_nodes(rng, rec, n, ["a", "b", "c"])]
+    chain = compute.compute_chain(spark.createDataFrame(rows + [(None, i, "m", "a", "c", 1, ["a"], "") for i in range(3)], NODES)).collect()
+    got = {(r.rec, r.idx): (r.depth, r.parent_id) for r in chain}
+    for rec in sizes:
+        for idx, v in fold([(r[1], r[2], r[3], r[4], r[6]) for r in rows if r[0] == rec]).items():
+            assert got.pop((rec, idx)) == v
+    assert got == {(None, i): (0, "") for i in range(3)}  # no recording, no edges
+    longer = sum(n > short for n in sizes.values())
+    assert asked == ([longer] if longer else [])  # rounds for the others only
+
+
 def test_stats_of_a_random_chain(spark):
     rng = random.Random(8)
     rows = [r for i in range(6) for r in random_nodes(rng, f"r{i}", rng.randint(1, 30), ["a", "b"])]

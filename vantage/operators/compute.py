@@ -6,12 +6,15 @@ has depth ``r`` or more exactly if a key that it wants is produced, at an earlie
 position, by a node of depth ``r - 1`` or more.  For that only the earliest such
 position of each key counts, so a round is one small aggregate and two joins on
 (recording, key) and (recording, position); nodes that end at a depth leave the
-frontier.  There are as many rounds as the deepest chain has nodes, and cycles
+frontier.  Recordings of at most ``SHORT`` positions need none of that: each is packed into one
+row once, and its nodes are folded there by array functions.  There are as many rounds as the deepest chain has nodes, and cycles
 cannot occur, since an edge always leads to an earlier position.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ from vantage.operators.listings import with_fields
 from vantage.operators.windows import running_max_in_group
 from vantage.session import written
 
+#: Recordings of at most so many positions are folded as one array (the work in one is the square of its nodes).
+SHORT = 64
 #: Positions of a recording that are looked through in one window.
 POSITIONS = 4096
 
@@ -53,22 +58,81 @@ def levels(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         reached = reached.unionByName(frontier.select("rec", "pos"))
 
 
+def _keys(model: Column, field: Column, depends_on: Column) -> tuple[Column, Column]:
+    """(key that a node produces, keys that it wants)."""
+    model, field = _text(model), _text(field)
+    wants = F.transform(F.filter(F.coalesce(depends_on, F.array().cast("array<string>")), lambda d: d != ""),
+                        lambda d: F.concat(model, F.lit("."), d))
+    return F.when(field != "", F.concat(model, F.lit("."), field)), wants
+
+
 def _keyed(nodes: DataFrame) -> DataFrame:
     """A chain's nodes as ``levels`` takes them."""
-    model, field = _text("model"), _text("field_name")
-    wants = F.transform(F.filter(F.coalesce("depends_on", F.array().cast("array<string>")), lambda d: d != ""),
-                        lambda d: F.concat(model, F.lit("."), d))
-    return nodes.select("rec", F.col("idx").alias("pos"), F.when(field != "", F.concat(model, F.lit("."), field)).alias("key"),
-                        wants.alias("wants"))
+    key, wants = _keys(F.col("model"), F.col("field_name"), F.col("depends_on"))
+    return nodes.select("rec", F.col("idx").alias("pos"), key.alias("key"), wants.alias("wants"))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _folded(items: Column) -> Column:
+    """``items``: the nodes of a recording in order, as structs with pos, key, name and wants.  For each its depth, and the
+    position of its parent: the latest holder of the first dependency that reaches the depth."""
+    kind = "array<struct<pos:int,key:string,name:string,depth:int,chosen:string>>"
+
+    def step(done: Column, x: Column) -> Column:
+        reach = F.transform(x["wants"], lambda d: F.array_max(F.transform(F.filter(done, lambda e: e["key"] == d), lambda e: e["depth"])))
+        return _let(reach, lambda reach: _let(F.array_max(reach), lambda top: F.concat(done, F.array(F.struct(
+            x["pos"].alias("pos"), x["key"].alias("key"), x["name"].alias("name"), F.coalesce(top + 1, F.lit(0)).alias("depth"),
+            F.when(top.isNotNull(), F.get(x["wants"], (F.array_position(reach, top) - 1).cast("int"))).alias("chosen"))))))
+
+    def holder(done: Column, e: Column) -> Column:
+        return F.array_max(F.transform(F.filter(done, lambda o: (o["name"] == e["chosen"]) & (o["pos"] <= e["pos"])), lambda o: o["pos"]))
+
+    return _let(F.aggregate(items, F.array().cast(kind), step), lambda done: F.transform(
+        done, lambda e: F.struct(e["depth"].alias("depth"), holder(done, e).alias("parent"))))
+
+
+def _by_length(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(nodes of short recordings with ``depth`` and the position of the ``parent``, nodes of all others or None).
+
+    A recording is packed by ``SHORT`` positions, so that no array is longer whatever the recording; one with
+    more than its first array is no short one."""
+    cols = [c for c in nodes.columns if c != "rec"]
+    packed = written(nodes.groupBy("rec", F.floor(F.col("idx") / SHORT).alias("chunk")).agg(
+        F.sort_array(F.collect_list(F.struct("idx", *[c for c in cols if c != "idx"]))).alias("nodes")))
+    later = packed.filter("chunk > 0").select("rec").distinct()
+    long = None if later.isEmpty() else written(later)
+
+    def item(x: Column) -> Column:
+        keys = _keys(x["model"], x["field_name"], x["depends_on"])
+        name = F.concat(_text(x["model"]), F.lit("."), F.when(_text(x["field_name"]) != "", x["field_name"]).otherwise(_text(x["method"])))
+        return F.struct(x["idx"].alias("pos"), keys[0].alias("key"), name.alias("name"),
+                        F.when(F.col("rec").isNotNull(), keys[1]).otherwise(F.array().cast("array<string>")).alias("wants"))
+
+    short = packed if long is None else packed.join(long, "rec", "left_anti")
+    folded = _folded(F.transform("nodes", item))
+    short = short.select("rec", F.explode(F.arrays_zip("nodes", folded.alias("folded"))).alias("n")).select(
+        "rec", *[F.col(f"n.nodes.{c}").alias(c) for c in cols], F.col("n.folded.depth").alias("depth"), F.col("n.folded.parent").alias("parent"))
+    if long is None:
+        return short, None
+    return short, packed.join(long, "rec", "left_semi").select("rec", F.inline("nodes")).select("rec", *cols)
 
 
 def compute_depths(nodes: DataFrame) -> DataFrame:
     """``nodes`` (as for ``compute_chain``) with node_id and depth, without parents."""
-    nodes = written(nodes)
-    depth, _ = levels(_keyed(nodes))
-    return (nodes.join(depth.withColumnRenamed("pos", "idx"), ["rec", "idx"], "left")
-            .withColumn("depth", F.coalesce("level", F.lit(0)).cast("int")).drop("level")
-            .withColumn("node_id", F.concat(F.lit("compute-"), F.col("idx").cast("string"))))
+    node_id = F.concat(F.lit("compute-"), F.col("idx").cast("string"))
+    short, long = _by_length(nodes)
+    short = short.drop("parent").withColumn("node_id", node_id)
+    if long is None:
+        return short.select(*nodes.columns, "depth", "node_id")
+    long = written(long)
+    depth, _ = levels(_keyed(long))
+    deep = (long.join(depth.withColumnRenamed("pos", "idx"), ["rec", "idx"], "left")
+            .withColumn("depth", F.coalesce("level", F.lit(0)).cast("int")).drop("level").withColumn("node_id", node_id))
+    return short.unionByName(deep).select(*nodes.columns, "depth", "node_id")
 
 
 def compute_chain(nodes: DataFrame) -> DataFrame:
@@ -80,7 +144,17 @@ def compute_chain(nodes: DataFrame) -> DataFrame:
     under the name (field, else method) of the first dependency that reaches
     that depth; empty without one."""
     cols = ["rec", "idx", "model", "field_name", "method", "duration_ms", "depends_on", "trigger_field"]
-    nodes = written(nodes.select(*cols))
+    short, long = _by_length(nodes.select(*cols))
+    rest = [F.col(c) for c in cols[2:]]
+
+    def done(chain: DataFrame, depth: Column) -> DataFrame:
+        return chain.select("rec", "idx", F.concat(F.lit("compute-"), F.col("idx").cast("string")).alias("node_id"), *rest, depth.alias("depth"),
+                            F.coalesce(F.concat(F.lit("compute-"), F.col("parent").cast("string")), F.lit("")).alias("parent_id"))
+
+    short = done(short, F.col("depth"))
+    if long is None:
+        return short
+    nodes = written(long)
     keyed = _keyed(nodes)
     depth, firsts = levels(keyed)
     depth = written(depth)
@@ -97,10 +171,8 @@ def compute_chain(nodes: DataFrame) -> DataFrame:
     latest = running_max_in_group(held.unionByName(looked), ["rec", "key"], ["pos", "kind"], "holder",
                                   ts_col="pos", bucket=POSITIONS, out_col="parent")
     parent = latest.filter("kind = 1").select("rec", F.col("pos").alias("idx"), "parent")
-    return (nodes.join(depth.withColumnRenamed("pos", "idx"), ["rec", "idx"], "left").join(parent, ["rec", "idx"], "left")
-            .select("rec", "idx", F.concat(F.lit("compute-"), F.col("idx").cast("string")).alias("node_id"), *cols[2:],
-                    F.coalesce("level", F.lit(0)).cast("int").alias("depth"),
-                    F.coalesce(F.concat(F.lit("compute-"), F.col("parent").cast("string")), F.lit("")).alias("parent_id")))
+    deep = nodes.join(depth.withColumnRenamed("pos", "idx"), ["rec", "idx"], "left").join(parent, ["rec", "idx"], "left")
+    return short.unionByName(done(deep, F.coalesce("level", F.lit(0)).cast("int")))
 
 
 def compute_edges(chain: DataFrame) -> DataFrame:
