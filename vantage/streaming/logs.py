@@ -164,10 +164,17 @@ def run_entries(spark: SparkSession, path: str, out: str, checkpoint: str, idle_
     """Assembles what has landed since the last run into Parquet files at ``out``, and flushes idle logs.
 
     Timers keep a query going, so it runs until a batch without new segments is through; what
-    that leaves open stays in the checkpoint for the next run."""
+    that leaves open stays in the checkpoint for the next run.  A first batch without segments does not
+    count: it may repeat one that the last run was stopped in."""
     query = (entry_stream(segment_stream(spark, path), idle_ms).writeStream.format("parquet").outputMode("append")
              .option("path", out).option("checkpointLocation", checkpoint).trigger(processingTime=tick).start())
-    while query.isActive and (query.lastProgress is None or query.lastProgress["numInputRows"] > 0):
+    idle = set()
+    while query.isActive:
+        last = query.lastProgress
+        if last is not None and last["numInputRows"] == 0:
+            idle.add(last["timestamp"])
+            if len(idle) > 1 or any(p["numInputRows"] > 0 for p in query.recentProgress):
+                break
         time.sleep(0.05)
     if query.exception() is not None:
         raise query.exception()
