@@ -547,6 +547,23 @@ def test_mixing_sample_is_bounded_by_rows(spark, monkeypatch):
     assert mixing.mixture(docs, labels).count() == 400 and seen == [4]  # one row for each doc_id
 
 
+def test_mixing_plan_does_not_grow_with_the_steps(spark, monkeypatch):
+    """The driver makes code of the rate once, however many steps were taken."""
+    docs = spark.createDataFrame([(i, f"some words {'ab'[i % 2]} {i}") for i in range(8)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int")
+    length = {}
+    for k in (2, 40):
+        steps = [np.array([0.01, 0.01]) * (-1 if j % 3 == 2 else 1) for j in range(k)]
+        monkeypatch.setattr(mixing, "fit_steps", lambda m, d, t, steps=steps: (m, None, steps))
+        out = mixing.mixed(docs, labels)
+        length[k] = out._jdf.queryExecution().optimizedPlan().toString().count("greatest(")
+        want = 1.0
+        for s in steps:
+            want = max(0.0, want - s[0])  # posteriors add up to 1
+        assert all(abs(r.mix.rate - want) < 1e-6 for r in out.collect())
+    assert 0 < length[40] == length[2]
+
+
 def test_many_languages_and_repeated_rows(spark):
     """No language is left out, and rows that share a doc_id and text count once."""
     rng = np.random.default_rng(1)

@@ -78,7 +78,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def _fit(x: np.ndarray, label: np.ndarray, k: int, prior: np.ndarray, rounds: int = 200, ridge: float = 2e-5) -> np.ndarray:
     """Softmax regression by accelerated gradient steps, each class weighted as in ``prior``."""
-    x = np.c_[x, np.ones(len(x), np.float32)].astype(np.float32)
+    x = np.c_[x, np.ones(len(x), np.float32)].astype(np.float32, copy=False)
     weight = (prior / np.bincount(label, minlength=k))[label].astype(np.float32)
     goal = np.eye(k, dtype=np.float32)[label]
     w = v = np.zeros((x.shape[1], k), np.float32)
@@ -119,7 +119,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, np
     prior = np.array([n[d] for d in domains], float)
     prior /= prior.sum()
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows])
-    return domains, prior, _fit(x, np.array([domains.index(r["domain"]) for r in rows]), len(domains), prior)
+    label = np.array([domains.index(r["domain"]) for r in rows])
+    del rows  # as large as x
+    return domains, prior, _fit(x, label, len(domains), prior)
 
 
 def memberships(docs: DataFrame, domains: list[str], prior: np.ndarray, weights: np.ndarray, keep: list[str]) -> DataFrame:
@@ -145,11 +147,20 @@ def memberships(docs: DataFrame, domains: list[str], prior: np.ndarray, weights:
                       *[F.get("j.p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(domains)])
 
 
-def moved(now: Column, step: np.ndarray, domains: list[str]) -> Column:
-    """One projected step of the rate ``now``."""
-    for x, d in zip(step, domains, strict=True):
-        now = now - F.lit(float(x)) * F.col(f"p_{d}")
-    return F.greatest(F.lit(0.0), now)
+def moved(now: Column, steps: list[np.ndarray], domains: list[str]) -> Column:
+    """The rate ``now`` after projected ``steps``.
+
+    The steps are one literal that a fold runs over: the expression, and the code that the driver makes of it, is as
+    long for any number of steps and the same in every round."""
+    if not steps:
+        return now
+
+    def one(rate: Column, step: Column) -> Column:
+        for i, d in enumerate(domains):
+            rate = rate - step[i] * F.col(f"p_{d}")
+        return F.greatest(F.lit(0.0), rate)
+
+    return F.aggregate(F.lit([[float(x) for x in s] for s in steps]), now, one)
 
 
 def fit_steps(members: DataFrame, domains: list[str], targets: dict[str, float]) -> tuple[DataFrame, np.ndarray, list[np.ndarray]]:
@@ -166,10 +177,11 @@ def fit_steps(members: DataFrame, domains: list[str], targets: dict[str, float])
     row = members.agg(*[F.sum(n * p[i] * p[j]).alias(f"m_{i}_{j}") for i in range(k) for j in range(i, k)]).first()
     second = np.array([[row[f"m_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / total
     safe = 1 / np.linalg.eigvalsh(second)[-1]
-    length, before, left, best = safe, None, 0, np.inf
-    rate = F.col("rate")
+    length, before, kept, best = safe, None, 0, np.inf
     for turn in range(ROUNDS):
-        got = out.agg(*[F.sum(n * x * rate).alias(f"t_{i}") for i, x in enumerate(p)]).first()
+        # the rate is a column before it is summed: one fold a row
+        got = (out.withColumn("rate", moved(F.col("rate"), steps[kept:], domains))
+               .agg(*[F.sum(n * x * F.col("rate")).alias(f"t_{i}") for i, x in enumerate(p)]).first())
         share = np.array([got[f"t_{i}"] for i in range(k)]) / total
         gap = share - goal
         if before is not None:
@@ -181,11 +193,9 @@ def fit_steps(members: DataFrame, domains: list[str], targets: dict[str, float])
         best = min(best, float(gap @ gap))
         before = gap
         steps.append(np.round(length * gap, 12))
-        rate = moved(rate, steps[-1], domains)
-        left += 1
-        if left == KEPT_STEPS:
-            out, rate, left = cut_lineage(out.withColumn("rate", rate)), F.col("rate"), 0
-    return out.withColumn("rate", rate), share, steps
+        if len(steps) == kept + KEPT_STEPS:
+            out, kept = cut_lineage(out.withColumn("rate", moved(F.col("rate"), steps[kept:], domains))), len(steps)
+    return out.withColumn("rate", moved(F.col("rate"), steps[kept:], domains)), share, steps
 
 
 def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float]) -> tuple[DataFrame, np.ndarray]:
@@ -236,10 +246,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     rows = docs.select("doc_id", "text", F.struct("*").alias("doc"))
     members = written(memberships(rows, domains, prior, weights, ["doc"]))
     _, _, steps = fit_steps(cut_lineage(members.drop("doc")), domains, targets or TARGETS)
-    rate = F.lit(1.0)
-    for step in steps:
-        rate = moved(rate, step, domains)
-    done = members.withColumn("rate", rate).withColumn("copies", drawn_copies(F.col("rate"))).filter("copies > 0")
+    done = members.withColumn("rate", moved(F.lit(1.0), steps, domains)).withColumn("copies", drawn_copies(F.col("rate"))).filter("copies > 0")
     mix = F.struct("n_tokens", likeliest(domains).alias("domain"), "rate", "copies")
     copy_no, mix_name = _free("copy_no", docs.columns), _free("mix", docs.columns)
     return (done.select("doc", mix.alias("m"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("c"))
