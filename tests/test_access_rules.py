@@ -153,3 +153,12 @@ def test_many_cases_are_joined_without_broadcast(spark):
         assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) != []
         plan = many._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_results_are_bound_once_and_verdicts_write_no_reasons(spark, case):
+    """The fold names no expression of its results, and a plan that asks for verdicts formats no text."""
+    frame, schema, access, rules = case[:4]
+    out = spark.range(1).select(ar._run(F.array(F.lit(0), F.lit(1), F.lit(ar.AND)), F.transform(F.array(F.col("id"), F.col("id") + 1), lambda x: x < 2)).alias("r"))
+    assert out.first().r and "transform(" not in out._jdf.queryExecution().analyzed().toString().split("aggregate(", 1)[1]
+    plan = ar.trace(frame, schema, access, rules).select("request_id", "failing_stage", "verdict")._jdf.queryExecution().optimizedPlan().toString()
+    assert "rule(s) failed" not in plan and "rule(s) grant access" not in plan and "collect_list" not in plan

@@ -251,15 +251,19 @@ def _evaluated(conditions: Column) -> Column:
 
 def _run(program: Column, results: Column) -> Column:
     """The postfix program on a stack of booleans; an empty program holds."""
-    def step(stack: Column, t: Column) -> Column:
+    def step(results: Column, stack: Column, t: Column) -> Column:
         last, n = F.element_at(stack, -1), F.size(stack)
         below = F.get(stack, n - 2)
         return (F.when(t >= 0, F.concat(stack, F.array(F.get(results, t))))
                 .when(t == NOT, F.concat(F.slice(stack, 1, n - 1), F.array(~last)))
                 .otherwise(F.concat(F.slice(stack, 1, F.greatest(n - 2, F.lit(0))), F.array(F.when(t == AND, below & last).otherwise(below | last)))))
 
-    return F.aggregate(program, F.array().cast("array<boolean>"), step,
-                       lambda stack: F.when(F.size(stack) == 0, F.lit(True)).otherwise(F.get(stack, F.lit(0))))
+    def whole(results: Column) -> Column:
+        return F.aggregate(program, F.array().cast("array<boolean>"), lambda stack, t: step(results, stack, t),
+                           lambda stack: F.when(F.size(stack) == 0, F.lit(True)).otherwise(F.get(stack, F.lit(0))))
+
+    # results are bound to a variable: named in the fold itself, they would be worked out again at each step
+    return F.get(F.transform(F.array(results), whole), F.lit(0))
 
 
 # -------------------------------------------------------------------- rules
@@ -313,13 +317,15 @@ def trace(requests: DataFrame, schema: DataFrame, access_rules: DataFrame, recor
 
     ``requests``: request_id, uid, login, user_found, active, company_id, company_ids, n_direct,
     effective (array of group ids), model, op, record (``record_of``; NULL for none); ``schema``: model.
-    Adds ``stages`` (array of stage, verdict, reason, in order, as far as the trace got), ``results``
+    Adds v1 to v5 (the verdict of each stage, NULL where the trace did not get), ``stages`` (array of stage, verdict, reason, in order, as far as the trace got), ``results``
     (the rules evaluated or listed in the last stage, with their conditions),
     failing_stage and verdict: ALLOWED unless a stage is DENIED or ERROR."""
     has = {r["model"] for r in schema.filter(F.col("model").isin("res.users", "res.groups")).select("model").distinct().collect()}
     groups = F.array_join(F.coalesce("effective", F.array().cast("array<int>")), ",")
-    asked = written(requests.withColumn("groups", groups))
-    cases = written(asked.select(*CASE, "effective").dropDuplicates(CASE))
+    asked = written(requests.withColumn("groups", groups).withColumn("recorded", F.col("record").isNotNull()))
+    # groups are read back from their text: distinct rows of plain columns are hashed, rows beside an array are sorted
+    ids_of = F.when(F.col("groups") == "", F.array().cast("array<int>")).otherwise(F.split("groups", ",").cast("array<int>"))
+    cases = written(asked.select(*CASE).distinct().withColumn("effective", ids_of))
     many = cases.count() >= MANY_CASES
     ids = F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("group_id", F.lit("")).alias("g")))), lambda r: r["g"])
     by_model = access_rules.groupBy("model").agg(F.count(F.lit(1)).alias("n_access"), F.array_join(ids, ", ").alias("access_groups"))
@@ -339,39 +345,47 @@ def trace(requests: DataFrame, schema: DataFrame, access_rules: DataFrame, recor
              .fillna(False, ["in_schema", "has_rules"]))
     d = asked.join(_sorted(facts, many), CASE, "left")
 
-    def stage(verdict: str, reason: Column) -> Column:
-        return F.struct(F.lit(verdict).alias("verdict"), reason.alias("reason"))
+    def stage(*ways: tuple[Column | None, str, Column]) -> tuple[Column, Column]:
+        """(verdict, reason) of the first way whose condition holds; None holds always.  Reasons are apart, so that
+        none is written where only verdicts are asked for."""
+        out = []
+        for k in (1, 2):
+            made = F
+            for condition, *said in ways:
+                value = F.lit(said[0]) if k == 1 else said[1]
+                made = made.when(F.lit(True) if condition is None else condition, value)
+            out.append(made)
+        return out[0], out[1]
 
     model, uid, login = quoted(F.col("model")), F.col("uid").cast("string"), F.coalesce("login", F.lit(""))
     superuser = F.col("uid") == 1
-    direct, effective = F.col("n_direct"), F.size(F.coalesce("effective", F.array().cast("array<int>")))
+    direct, effective = F.col("n_direct"), F.col("n_effective")
     n_access, r = F.col("n_access"), REASONS
-    s1 = F.when(~F.coalesce("user_found", F.lit(False)), stage(DENIED, F.lit(r["no user"])))
-    s1 = (s1.when(~F.coalesce("active", F.lit(False)), stage(DENIED, _say(r["inactive"], uid, login)))
-          .when(superuser, stage(OK, _say(r["superuser"], uid, login))).otherwise(stage(OK, _say(r["user"], uid, login, direct))))
-    s2 = F.when(effective == 0, stage(OK, _say(r["no groups"], uid, login))).otherwise(
-        stage(OK, _say(r["groups"], uid, login, direct, effective - direct, effective)))
+    v1, r1 = stage((~F.coalesce("user_found", F.lit(False)), DENIED, F.lit(r["no user"])),
+                   (~F.coalesce("active", F.lit(False)), DENIED, _say(r["inactive"], uid, login)),
+                   (superuser, OK, _say(r["superuser"], uid, login)), (None, OK, _say(r["user"], uid, login, direct)))
+    v2, r2 = stage((effective == 0, OK, _say(r["no groups"], uid, login)),
+                   (None, OK, _say(r["groups"], uid, login, direct, effective - direct, effective)))
     if "res.users" not in has:
-        s1 = stage(ERROR, F.lit(r["no users"]))
+        v1, r1 = stage((None, ERROR, F.lit(r["no users"])))
     if "res.groups" not in has:
-        s2 = stage(ERROR, F.lit(r["no groups model"]))
-    no_model = stage(ERROR, _say(r["no model"], model))
-    s3 = (F.when(~F.col("in_schema"), no_model).when(n_access == 0, stage(DENIED, _say(r["no access"], model)))
-          .when(F.col("n_granting") > 0, stage(OK, _say(r["granted"], "model_q", "op", "n_granting", "n_access")))
-          .when(F.col("n_applicable") == 0, stage(DENIED, _say(r["no member"], "model_q", "op", "n_access")))
-          .otherwise(stage(DENIED, _say(r["no grant"], "model_q", "op", "n_applicable", "op"))))
-    s4 = (F.when(~F.col("has_rules"), stage(SKIPPED, _say(r["no rules"], model)))
-          .when(F.col("n_global") + F.col("n_group") == 0, stage(SKIPPED, _say(r["no rules for op"], "model_q", "op")))
-          .when((F.col("n_group") > 0) & (F.col("n_group_applied") == 0), stage(DENIED, _say(r["no rule group"], "model_q", "op", "n_group")))
-          .otherwise(stage(OK, _say(r["rules"], "model_q", "op", F.col("n_global") + F.col("n_group_applied"), "n_global", "n_group_applied"))))
-    open_ = F.lit(True)
-    d = d.withColumn("model_q", model).withColumn("s1", s1)
-    for before, here, value in (("s1", "s2", s2), ("s2", "s3", s3), ("s3", "s4", s4)):
-        open_ = (F.col(f"{before}.verdict") == OK) & (~superuser if before == "s1" else F.lit(True))
+        v2, r2 = stage((None, ERROR, F.lit(r["no groups model"])))
+    v3, r3 = stage((~F.col("in_schema"), ERROR, _say(r["no model"], model)), (n_access == 0, DENIED, _say(r["no access"], model)),
+                   (F.col("n_granting") > 0, OK, _say(r["granted"], "model_q", "op", "n_granting", "n_access")),
+                   (F.col("n_applicable") == 0, DENIED, _say(r["no member"], "model_q", "op", "n_access")),
+                   (None, DENIED, _say(r["no grant"], "model_q", "op", "n_applicable", "op")))
+    v4, r4 = stage((~F.col("has_rules"), SKIPPED, _say(r["no rules"], model)),
+                   (F.col("n_global") + F.col("n_group") == 0, SKIPPED, _say(r["no rules for op"], "model_q", "op")),
+                   ((F.col("n_group") > 0) & (F.col("n_group_applied") == 0), DENIED, _say(r["no rule group"], "model_q", "op", "n_group")),
+                   (None, OK, _say(r["rules"], "model_q", "op", F.col("n_global") + F.col("n_group_applied"), "n_global", "n_group_applied")))
+    d = (d.withColumn("n_effective", F.size(F.coalesce("effective", F.array().cast("array<int>"))))
+         .withColumn("model_q", model).withColumn("v1", v1))
+    for before, here, value in (("v1", "v2", v2), ("v2", "v3", v3), ("v3", "v4", v4)):
+        open_ = (F.col(before) == OK) & (~superuser if before == "v1" else F.lit(True))
         d = d.withColumn(here, F.when(open_, value))
     # stage 5: the rules of the case against the record
     code = compiled(record_rules.select("domain"))
-    reached = d.filter((F.col("s4.verdict") == OK) & F.col("record").isNotNull()).select(
+    reached = d.filter((F.col("v4") == OK) & F.col("recorded")).select(
         "request_id", *CASE, "uid", "company_id", "company_ids", "record")
     ready = of_case.join(code, "domain", "left")
     rows = reached.join(_sorted(ready, many), CASE).withColumn("conditions", F.when(F.col("applies"), _evaluated(F.col("conditions"))))
@@ -386,15 +400,13 @@ def trace(requests: DataFrame, schema: DataFrame, access_rules: DataFrame, recor
     d = d.join(done.hint("merge"), "request_id", "left")  # one row a request
     failed = F.concat_ws("; ", F.when(F.col("global_failed") > 0, _say("%s global rule(s) failed", "global_failed")),
                          F.when(~F.col("group_pass"), F.lit("no group rule domain passed")))
-    s5 = (F.when(F.col("record").isNull(), stage(SKIPPED, F.lit(r["no record"])))
-          .when(failed == "", stage(OK, _say(r["domain"], "model_q", "op"))).otherwise(stage(DENIED, _say(r["domain failed"], "model_q", "op", failed))))
-    d = d.withColumn("s5", F.when(F.col("s4.verdict") == OK, s5))
-    passed = F.array(*[F.when(F.col(f"s{i}").isNotNull(), F.struct(F.lit(n).alias("stage"), F.col(f"s{i}.verdict").alias("verdict"),
-                                                                   F.col(f"s{i}.reason").alias("reason")))
-                       for i, n in enumerate(STAGES, 1)])
-    d = d.withColumn("stages", F.filter(passed, lambda s: s.isNotNull()))
-    fails = F.filter("stages", lambda s: s["verdict"].isin(DENIED, ERROR))
-    return (d.withColumn("failing_stage", F.get(fails, F.lit(0))["stage"])
+    v5, r5 = stage((~F.col("recorded"), SKIPPED, F.lit(r["no record"])), (failed == "", OK, _say(r["domain"], "model_q", "op")),
+                   (None, DENIED, _say(r["domain failed"], "model_q", "op", failed)))
+    d = d.withColumn("v5", F.when(F.col("v4") == OK, v5))
+    passed = F.array(*[F.when(F.col(f"v{i}").isNotNull(), F.struct(F.lit(n).alias("stage"), F.col(f"v{i}").alias("verdict"), reason.alias("reason")))
+                       for i, (n, reason) in enumerate(zip(STAGES, (r1, r2, r3, r4, r5), strict=True), 1)])
+    failing = F.coalesce(*[F.when(F.col(f"v{i}").isin(DENIED, ERROR), F.lit(n)) for i, n in enumerate(STAGES, 1)])
+    return (d.withColumn("stages", F.filter(passed, lambda s: s.isNotNull())).withColumn("failing_stage", failing)
             .withColumn("verdict", F.when(F.col("failing_stage").isNull(), "ALLOWED").otherwise(DENIED)))
 
 

@@ -141,9 +141,9 @@ STAGE_NAMES = {"user": "s1_user", "groups": "s2_groups", "model_acl": "s3_model_
 def trace(spark, sf_dir):
     t = ar.trace(with_users(requests(spark, sf_dir), spark, sf_dir), *rule_frames(spark))
     failing = F.coalesce(*[F.when(F.col("failing_stage") == k, F.lit(v)) for k, v in STAGE_NAMES.items()])
-    return t.select("request_id", "uid", "model", "op", F.col("s1.verdict").alias("s1_user"), F.col("s2.verdict").alias("s2_groups"),
-                    F.col("s3.verdict").alias("s3_model_acl"), F.col("s4.verdict").alias("s4_record_rules"),
-                    F.col("s5.verdict").alias("s5_domain"), failing.alias("failing_stage"), "verdict")
+    return t.select("request_id", "uid", "model", "op", F.col("v1").alias("s1_user"), F.col("v2").alias("s2_groups"),
+                    F.col("v3").alias("s3_model_acl"), F.col("v4").alias("s4_record_rules"),
+                    F.col("v5").alias("s5_domain"), failing.alias("failing_stage"), "verdict")
 
 
 # ------------------------------------------------------- DuckDB twin of R6-R10
