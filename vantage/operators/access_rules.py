@@ -398,9 +398,10 @@ def trace(requests: DataFrame, schema: DataFrame, access_rules: DataFrame, recor
         F.sort_array(F.collect_list(F.struct((~F.col("is_global")).alias("grouped"), "pos", "name", "domain", "applies", "pass",
                                              "parse_error", "conditions"))).alias("results"))
     d = d.join(done.hint("merge"), "request_id", "left")  # one row a request
-    failed = F.concat_ws("; ", F.when(F.col("global_failed") > 0, _say("%s global rule(s) failed", "global_failed")),
-                         F.when(~F.col("group_pass"), F.lit("no group rule domain passed")))
-    v5, r5 = stage((~F.col("recorded"), SKIPPED, F.lit(r["no record"])), (failed == "", OK, _say(r["domain"], "model_q", "op")),
+    over, under = F.col("global_failed") > 0, ~F.col("group_pass")
+    failed = F.concat_ws("; ", F.when(over, _say("%s global rule(s) failed", "global_failed")), F.when(under, F.lit("no group rule domain passed")))
+    fails = F.coalesce(over, F.lit(False)) | F.coalesce(under, F.lit(False))
+    v5, r5 = stage((~F.col("recorded"), SKIPPED, F.lit(r["no record"])), (~fails, OK, _say(r["domain"], "model_q", "op")),
                    (None, DENIED, _say(r["domain failed"], "model_q", "op", failed)))
     d = d.withColumn("v5", F.when(F.col("v4") == OK, v5))
     passed = F.array(*[F.when(F.col(f"v{i}").isNotNull(), F.struct(F.lit(n).alias("stage"), F.col(f"v{i}").alias("verdict"), reason.alias("reason")))
