@@ -4,7 +4,9 @@ import random
 
 import pytest
 
-from vantage.operators import compute
+from pyspark.sql import functions as F
+
+from vantage.operators import compute, nested
 
 NODES = "rec string, idx int, model string, field_name string, method string, duration_ms int, depends_on array<string>, trigger_field string"
 
@@ -84,6 +86,47 @@ def test_stats_of_a_random_chain(spark):
         assert s.trigger_field == (roots[0] if roots else "")
 
 
+@pytest.mark.parametrize("size", [3, 500])
+def test_packed_chain_documents_equal_those_of_rows(spark, monkeypatch, size):
+    """Edges, statistics and documents of short recordings come from their rows alone, without another shuffle."""
+    rng = random.Random(3)
+    rows = [r for i, n in enumerate([1, 2, 3, 7, 8, 9, 15, 20]) for r in random_nodes(rng, f"r{i}", n, ["a", "b", "c"])]
+    rows += [(None, i, "m", "a", "c", 1, ["a"], "") for i in range(3)]  # no recording
+    rows += [("odd", 0, None, "a", None, None, ["a"], None), ("odd", 1, "m", None, "x", None, [None, "a", "a"], "t"), ("odd", 2, "m", "a", "y", None, ["a", "z"], None)]
+    rows += [("neg", 0, "m", "a", "y", -4, ["a"], None), ("neg", 1, "m", "b", "y", 0, ["a", "a"], "q")]
+
+    def documents(chain):
+        docs = nested.chain_documents(chain, compute.compute_edges(chain), compute.compute_stats(chain), size)
+        return docs.select("rec", "chunk", *[F.to_json(c) for c in ("nodes", "edges", "summary")])
+
+    def written_down(docs):
+        return sorted(map(tuple, docs.collect()), key=str)
+
+    frame = spark.createDataFrame(rows, NODES)
+    want = written_down(documents(compute.compute_chain(frame)))
+    assert any("depends" in (r[3] or "") for r in want) and any("parent" in (r[3] or "") for r in want)
+    for short, longer in ((64, False), (8, True)):
+        monkeypatch.setattr(compute, "SHORT", short)
+        chain = compute.compute_chain(frame, packed=True)
+        assert (chain.long is not None) == longer
+        docs = documents(chain)
+        assert written_down(docs) == want
+        assert longer or "Exchange" not in docs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_recordings_are_dealt_out_once(spark, tmp_path):
+    """Ordering the lines of a recording and packing them takes one shuffle."""
+    from vantage.plans.profiles import compute_nodes
+
+    spark.createDataFrame([(1, 2, 3, 1, 4.0, 5.0, 0.0, 0.0, "R", None), (None, 2, 3, 2, 4.0, 5.0, 0.0, 0.0, "A", None)],
+                          "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
+                          "l_tax double, l_returnflag string, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    nodes = compute_nodes(spark, str(tmp_path))
+    assert sorted((r.rec, r.idx) for r in nodes.filter("rec IS NOT NULL").collect()) == [("1", 0)]
+    packed = nodes.groupBy("rec", F.floor(F.col("idx") / compute.SHORT).alias("chunk")).agg(F.collect_list("idx"))
+    assert packed._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def events_of(frames, index, name):
     """R18 for one profile, method after method: the definition."""
     metas = {m: sorted([i[1:] for i in index if i[0] == m], key=lambda f: f[:2]) for m in {i[0] for i in index}}

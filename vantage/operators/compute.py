@@ -9,11 +9,15 @@ position of each key counts, so a round is one small aggregate and two joins on
 frontier.  Recordings of at most ``SHORT`` positions need none of that: each is packed into one
 row once, and its nodes are folded there by array functions.  There are as many rounds as the deepest chain has nodes, and cycles
 cannot occur, since an edge always leads to an earlier position.
+
+A chain may stay packed (``Chain``): what is worked out for each recording, its edges and
+its statistics, is then a column beside the nodes of a short one, and needs no further shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -28,6 +32,18 @@ SHORT = 64
 POSITIONS = 4096
 
 
+class Chain(NamedTuple):
+    """A compute chain, its short recordings packed: (rec, ``nodes`` in order), and the nodes of all others as rows (None: no others)."""
+    short: DataFrame
+    long: DataFrame | None
+
+
+class Part(NamedTuple):
+    """Something worked out for each recording of a ``Chain``: a column of ``short``, and rows for the others."""
+    short: Column
+    long: DataFrame | None
+
+
 def _text(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
@@ -96,7 +112,8 @@ def _folded(items: Column) -> Column:
 
 
 def _by_length(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(nodes of short recordings with ``depth`` and the position of the ``parent``, nodes of all others or None).
+    """(rec, ``nodes``: those of a short recording in order, ``folded``: for each its depth and the position of its parent;
+    the nodes of all others as rows, or None).
 
     A recording is packed by ``SHORT`` positions, so that no array is longer whatever the recording; one with
     more than its first array is no short one."""
@@ -113,47 +130,52 @@ def _by_length(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
                         F.when(F.col("rec").isNotNull(), keys[1]).otherwise(F.array().cast("array<string>")).alias("wants"))
 
     short = packed if long is None else packed.join(long, "rec", "left_anti")
-    folded = _folded(F.transform("nodes", item))
-    short = short.select("rec", F.explode(F.arrays_zip("nodes", folded.alias("folded"))).alias("n")).select(
-        "rec", *[F.col(f"n.nodes.{c}").alias(c) for c in cols], F.col("n.folded.depth").alias("depth"), F.col("n.folded.parent").alias("parent"))
+    short = short.select("rec", "nodes", _folded(F.transform("nodes", item)).alias("folded"))
     if long is None:
         return short, None
     return short, packed.join(long, "rec", "left_semi").select("rec", F.inline("nodes")).select("rec", *cols)
 
 
+def _node_id(idx: Column) -> Column:
+    return F.concat(F.lit("compute-"), idx.cast("string"))
+
+
 def compute_depths(nodes: DataFrame) -> DataFrame:
     """``nodes`` (as for ``compute_chain``) with node_id and depth, without parents."""
-    node_id = F.concat(F.lit("compute-"), F.col("idx").cast("string"))
+    node_id = _node_id(F.col("idx"))
     short, long = _by_length(nodes)
-    short = short.drop("parent").withColumn("node_id", node_id)
+    short = (short.select("rec", F.explode(F.arrays_zip("nodes", "folded")).alias("n")).select("rec", "n.nodes.*", F.col("n.folded.depth").alias("depth"))
+             .withColumn("node_id", node_id).select(*nodes.columns, "depth", "node_id"))
     if long is None:
-        return short.select(*nodes.columns, "depth", "node_id")
+        return short
     long = written(long)
     depth, _ = levels(_keyed(long))
     deep = (long.join(depth.withColumnRenamed("pos", "idx"), ["rec", "idx"], "left")
             .withColumn("depth", F.coalesce("level", F.lit(0)).cast("int")).drop("level").withColumn("node_id", node_id))
-    return short.unionByName(deep).select(*nodes.columns, "depth", "node_id")
+    return short.unionByName(deep)
 
 
-def compute_chain(nodes: DataFrame) -> DataFrame:
+def compute_chain(nodes: DataFrame, packed: bool = False) -> DataFrame | Chain:
     """Depth and parent of each compute node.  ``nodes``: rec, idx (0-based time order), model,
     field_name, method, duration_ms, depends_on, trigger_field.
 
     Depth is one more than the deepest earlier node of the same model that
     produces a dependency, 0 without one.  The parent is the latest node so far
     under the name (field, else method) of the first dependency that reaches
-    that depth; empty without one."""
+    that depth; empty without one.  ``packed``: as a ``Chain``, else its nodes as rows."""
     cols = ["rec", "idx", "model", "field_name", "method", "duration_ms", "depends_on", "trigger_field"]
     short, long = _by_length(nodes.select(*cols))
-    rest = [F.col(c) for c in cols[2:]]
 
-    def done(chain: DataFrame, depth: Column) -> DataFrame:
-        return chain.select("rec", "idx", F.concat(F.lit("compute-"), F.col("idx").cast("string")).alias("node_id"), *rest, depth.alias("depth"),
-                            F.coalesce(F.concat(F.lit("compute-"), F.col("parent").cast("string")), F.lit("")).alias("parent_id"))
+    def done(idx: Column, rest: Callable[[str], Column], depth: Column, parent: Column) -> list[Column]:
+        return [idx.alias("idx"), _node_id(idx).alias("node_id"), *[rest(c).alias(c) for c in cols[2:]], depth.alias("depth"),
+                F.coalesce(_node_id(parent), F.lit("")).alias("parent_id")]
 
-    short = done(short, F.col("depth"))
+    short = short.select("rec", F.zip_with("nodes", "folded", lambda n, f: F.struct(
+        *done(n["idx"], lambda c: n[c], f["depth"], f["parent"]))).alias("nodes"))
+    if not packed:
+        short = short.select("rec", F.inline("nodes"))
     if long is None:
-        return short
+        return Chain(short, None) if packed else short
     nodes = written(long)
     keyed = _keyed(nodes)
     depth, firsts = levels(keyed)
@@ -172,13 +194,36 @@ def compute_chain(nodes: DataFrame) -> DataFrame:
                                   ts_col="pos", bucket=POSITIONS, out_col="parent")
     parent = latest.filter("kind = 1").select("rec", F.col("pos").alias("idx"), "parent")
     deep = nodes.join(depth.withColumnRenamed("pos", "idx"), ["rec", "idx"], "left").join(parent, ["rec", "idx"], "left")
-    return short.unionByName(done(deep, F.coalesce("level", F.lit(0)).cast("int")))
+    deep = deep.select("rec", *done(F.col("idx"), F.col, F.coalesce("level", F.lit(0)).cast("int"), F.col("parent")))
+    return Chain(short, written(deep)) if packed else short.unionByName(deep)
 
 
-def compute_edges(chain: DataFrame) -> DataFrame:
+def _edges_in(nodes: Column) -> Column:
+    """``compute_edges`` of one recording, from its nodes."""
+    def edge(kind: str, src: Column, dst: Column, field: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), src.alias("src"), dst.alias("dst"), field.alias("trigger_field"))
+
+    def needed(n: Column) -> Column:
+        def holder(dep: Column) -> Column:
+            same = F.filter(nodes, lambda o: (o["model"] == n["model"]) & (o["field_name"] == dep))
+            return F.array_max(F.transform(same, lambda o: F.struct(o["idx"], o["node_id"].alias("node_id"))))["node_id"]
+
+        found = F.transform(n["depends_on"], lambda dep: edge("depends", holder(dep), n["node_id"], dep))
+        return F.coalesce(F.filter(found, lambda e: e["src"] != e["dst"]), F.array().cast(kind))
+
+    kind = "array<struct<kind:string,src:string,dst:string,trigger_field:string>>"
+    parents = F.transform(F.filter(nodes, lambda n: n["parent_id"] != ""),
+                          lambda n: edge("parent", n["parent_id"], n["node_id"], _text(n["trigger_field"])))
+    both = F.concat(parents, F.flatten(F.transform(nodes, needed)))
+    return F.when(F.col("rec").isNotNull(), both).otherwise(F.array().cast(kind))
+
+
+def compute_edges(chain: DataFrame | Chain) -> DataFrame | Part:
     """Parent edges (parent -> node, trigger field) plus dependency edges:
     each dependency resolved against the recording's final field index
     (last node per model.field), self excluded."""
+    if isinstance(chain, Chain):
+        return Part(_edges_in(F.col("nodes")), None if chain.long is None else compute_edges(chain.long))
     parent = chain.filter(F.col("parent_id") != "").select(
         "rec", F.col("parent_id").alias("src"), F.col("node_id").alias("dst"),
         _text("trigger_field").alias("trigger_field"), F.lit("parent").alias("kind"))
@@ -192,13 +237,35 @@ def compute_edges(chain: DataFrame) -> DataFrame:
     return parent.unionByName(dep_edges)
 
 
-def compute_stats(chain: DataFrame) -> DataFrame:
+def _stats_in(nodes: Column) -> Column:
+    """``compute_stats`` of one recording, from its nodes."""
+    def summed(total: Column, n: Column) -> Column:
+        ms = n["duration_ms"].cast("long")
+        return F.coalesce(total + ms, total, ms)
+
+    def told(total: Column) -> Column:
+        limit = F.greatest(F.floor(total / F.size(nodes)) * 2, F.lit(10))
+        slowest = F.array_max(F.transform(nodes, lambda n: F.struct(n["duration_ms"].alias("ms"), (-n["idx"]).alias("neg"))))
+        roots = F.filter(nodes, lambda n: (n["depth"] == 0) & (_text(n["trigger_field"]) != ""))
+        trigger = F.array_min(F.transform(roots, lambda n: F.struct(n["idx"], n["trigger_field"].alias("field"))))["field"]
+        return F.struct(
+            total.alias("total_ms"), F.size(nodes).cast("long").alias("node_count"), F.array_max(F.transform(nodes, lambda n: n["depth"])).alias("max_depth"),
+            F.when(slowest["ms"] > 0, _node_id(-slowest["neg"])).otherwise("").alias("slowest_node"),
+            F.greatest(slowest["ms"], F.lit(0)).alias("slowest_ms"), F.coalesce(trigger, F.lit("")).alias("trigger_field"),
+            F.size(F.filter(nodes, lambda n: n["duration_ms"] >= limit)).cast("long").alias("bottleneck_count"))
+
+    return _let(F.aggregate(nodes, F.lit(None).cast("long"), summed), told)
+
+
+def compute_stats(chain: DataFrame | Chain) -> DataFrame | Part:
     """Per recording total ms, node count, max depth, bottlenecks
     (ms >= max(2 * (sum div n), 10)), slowest node (first on ties) and the
     trigger field of the first depth-0 node that has one.
 
     Durations are first counted per recording and value, so the threshold, which needs
     the recording's totals, is compared with distinct durations only."""
+    if isinstance(chain, Chain):
+        return Part(_stats_in(F.col("nodes")), None if chain.long is None else compute_stats(chain.long))
     ms = F.col("duration_ms").cast("long")
     counted = chain.groupBy("rec", "duration_ms").agg(
         F.count(F.lit(1)).alias("n"), F.max("depth").alias("depth"), F.min("idx").alias("first"),

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vantage.operators.compute import Chain, Part
+
 CHUNK = 500
 
 
@@ -50,9 +52,31 @@ def waterfall_documents(spans: DataFrame, lanes: DataFrame, summary: DataFrame,
     return nested_result(packed(spans, "spans", ("full_sql",)), [packed(lanes, "lanes")], summary, keys)
 
 
-def chain_documents(chain: DataFrame, edges: DataFrame, stats: DataFrame, size: int = CHUNK) -> DataFrame:
-    """(rec, chunk, nodes, edges, summary); an edge lies in the chunk of the node it ends in."""
+def _end(dst: Column) -> Column:
+    return F.regexp_extract(dst, r"(\d+)$", 1).cast("long")  # node ids end in the node's position
+
+
+def chain_documents(chain: DataFrame | Chain, edges: DataFrame | Part, stats: DataFrame | Part, size: int = CHUNK) -> DataFrame:
+    """(rec, chunk, nodes, edges, summary); an edge lies in the chunk of the node it ends in.
+
+    The documents of a packed chain's short recordings are cut from their rows."""
+    if isinstance(chain, Chain):
+        short = _short_documents(chain.short.select("rec", "nodes", edges.short.alias("edges"), stats.short.alias("summary")), size)
+        return short if chain.long is None else short.unionByName(chain_documents(chain.long, edges.long, stats.long, size))
     nodes = in_chunks(chain, ["rec"], F.col("idx"), [c for c in chain.columns if c not in ("rec", "idx")], "nodes", size)
-    at = F.regexp_extract("dst", r"(\d+)$", 1).cast("long")  # node ids end in the node's position
-    ends = in_chunks(edges, ["rec"], at, ["kind", "src", "dst", "trigger_field"], "edges", size)
+    ends = in_chunks(edges, ["rec"], _end(F.col("dst")), ["kind", "src", "dst", "trigger_field"], "edges", size)
     return nested_result(nodes, [ends], stats, ["rec"])
+
+
+def _short_documents(rows: DataFrame, size: int) -> DataFrame:
+    def chunk_of(at: Column) -> Column:
+        return F.floor(at.cast("long") / F.lit(size)).cast("long")
+
+    chunk = F.col("chunk")
+    nodes = F.transform(F.filter("nodes", lambda n: chunk_of(n["idx"]).eqNullSafe(chunk)), lambda n: n.dropFields("idx"))
+    ends = F.transform(F.filter("edges", lambda e: chunk_of(_end(e["dst"])) == chunk), lambda e: F.struct(
+        _end(e["dst"]).alias("_at"), *[e[c].alias(c) for c in ("kind", "src", "dst", "trigger_field")]))
+    edges = F.transform(F.sort_array(ends), lambda e: e.dropFields("_at"))
+    cut = rows.select("rec", F.explode(F.array_distinct(F.transform("nodes", lambda n: chunk_of(n["idx"])))).alias("chunk"), "nodes", "edges", "summary")
+    cut = cut.select("rec", "chunk", nodes.alias("nodes"), edges.alias("edges"), F.when(F.col("rec").isNotNull() & (chunk == 0), F.col("summary")).alias("summary"))
+    return cut.withColumn("edges", F.when(F.size("edges") > 0, F.col("edges")))

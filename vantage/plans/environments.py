@@ -184,9 +184,5 @@ SELECT rec, chunk, nodes, edges,
             'bottleneck_count': bottleneck_count}}) END AS summary
 FROM nd2 LEFT JOIN ed USING (rec, chunk) JOIN sums USING (rec)""", ops="N3 R17 J14 A19")
 def q_chain_documents(spark, sf_dir):
-    chain = written(pp.chain(spark, sf_dir))
-    cols = ["rec", "idx", "node_id", "model", "field_name", "method", "duration_ms", "depends_on", "trigger_field",
-            "depth", "parent_id"]
-    stats = compute_stats(chain).select("rec", "total_ms", "node_count", "max_depth", "slowest_node", "slowest_ms",
-                                        "trigger_field", "bottleneck_count")
-    return _as_text(nested.chain_documents(chain.select(*cols), compute_edges(chain), stats), "nodes", "edges", "summary")
+    chain = po.compute_chain(pp.compute_nodes(spark, sf_dir), packed=True)
+    return _as_text(nested.chain_documents(chain, compute_edges(chain), compute_stats(chain)), "nodes", "edges", "summary")

@@ -113,14 +113,14 @@ NODE_ORDER = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_quantit
 def compute_nodes(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                                                  "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-                                                 "l_returnflag", "l_shipdate")
+                                                 "l_returnflag", "l_shipdate").withColumn("rec", F.col("l_orderkey").cast("string"))
     ln = F.col("l_linenumber")
     deps = F.when(ln > 1, F.array(F.concat(F.lit("f"), (F.col("l_suppkey") % ln).cast("string")),
                                   F.concat(F.lit("f"), (F.col("l_partkey") % ln).cast("string")))) \
         .otherwise(F.array().cast("array<string>"))
-    w = Window.partitionBy("l_orderkey").orderBy(*NODE_ORDER)
+    w = Window.partitionBy("rec").orderBy(*NODE_ORDER)  # by the key that recordings are packed by: dealt out once
     return li.select(
-        F.col("l_orderkey").cast("string").alias("rec"),
+        "rec",
         (F.row_number().over(w) - 1).cast("int").alias("idx"),
         F.concat(F.lit("m"), (F.col("l_partkey") % 2).cast("string")).alias("model"),
         F.concat(F.lit("f"), ln.cast("string")).alias("field_name"),
