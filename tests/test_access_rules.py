@@ -162,3 +162,32 @@ def test_results_are_bound_once_and_verdicts_write_no_reasons(spark, case):
     assert out.first().r and "transform(" not in out._jdf.queryExecution().analyzed().toString().split("aggregate(", 1)[1]
     plan = ar.trace(frame, schema, access, rules).select("request_id", "failing_stage", "verdict")._jdf.queryExecution().optimizedPlan().toString()
     assert "rule(s) failed" not in plan and "rule(s) grant access" not in plan and "collect_list" not in plan
+
+
+def test_many_cases_give_what_few_do(spark, case, monkeypatch):
+    """Rules looked up in the request's row, and rules joined case by case: the same rows, also where ids, rules and groups repeat or
+    are null.  The row's way deals the requests out once and unfolds nothing."""
+    frame, schema, access, rules = case[:4]
+    odd = frame.filter("request_id < 60")
+    frame = (frame.unionByName(odd.filter("request_id < 20")).unionByName(odd.filter("request_id < 30").withColumn("op", F.lit("read")))
+             .unionByName(odd.filter("request_id % 7 = 0").withColumn("request_id", F.col("request_id") + 1000).withColumn("model", F.lit(None).cast("string")))
+             .unionByName(odd.filter("request_id % 7 = 1").withColumn("request_id", F.col("request_id") + 1000).withColumn("op", F.lit(None).cast("string")))
+             .unionByName(odd.filter("request_id % 7 = 2").withColumn("request_id", F.col("request_id") + 1000).withColumn("op", F.lit("none")))
+             .unionByName(odd.filter("request_id % 7 = 3").withColumn("request_id", F.lit(None).cast("int")))
+             .unionByName(odd.filter("request_id % 7 = 4").withColumn("request_id", F.col("request_id") + 1000).withColumn("effective", F.array(F.lit(3), F.lit(None), F.lit(3), F.lit(8))))
+             .unionByName(odd.filter("request_id % 7 = 5").withColumn("request_id", F.col("request_id") + 1000).withColumn("effective", F.lit(None).cast("array<int>"))))
+    access = access.unionByName(access.filter("pos < 100")).unionByName(access.filter("pos < 50").withColumn("group_id", F.lit(None).cast("string")))
+    rules = (rules.unionByName(rules.filter("pos < 200")).unionByName(rules.filter("pos < 150").withColumn("model", F.lit(None).cast("string")))
+             .unionByName(rules.filter("pos BETWEEN 300 AND 600").withColumn("pos", F.col("pos") + 20000).withColumn("domain", F.lit(None).cast("string")))
+             .unionByName(rules.filter("pos BETWEEN 600 AND 900").withColumn("pos", F.col("pos") + 20000).withColumn("group_ids", F.array(F.lit(None), F.lit(4)).cast("array<int>"))))
+    got = {}
+    for many in (10**9, 0):
+        monkeypatch.setattr(ar, "MANY_CASES", many)
+        out = ar.suggestions(ar.trace(frame, schema, access, rules))
+        got[many] = sorted(map(str, out.select("request_id", "uid", "model", "op", *[f"v{i}" for i in range(1, 6)], "stages", "failing_stage", "verdict",
+                                               "suggestions").collect()))
+    assert [x for x in zip(got[0], got[10**9], strict=True) if x[0] != x[1]] == [] and len(got[0]) > 600
+    monkeypatch.setattr(ar, "MANY_CASES", 0)
+    plan = ar.trace(case[0], schema, access, rules).select("request_id", "stages")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and "Generate" not in plan  # requests with the lists of their model, rules with their compiled domains
+    assert len(plan) < 200_000  # no filter or projection writes the evaluation out again
